@@ -19,6 +19,10 @@ SLICE_BYTES = 2_000_000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORDS = (~_IS_SPACE).astype(np.uint8)
+#: Runs of ASCII punctuation are words of their own.
+MARKS = _WORDS.copy()
+MARKS[[k for k in range(33, 127) if not chr(k).isalnum()]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20_240_517).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,10 +79,11 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = True, kinds: np.ndarray = _WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, in order, and for each text the place of its first word (one more entry ends the last).
 
-    A null text has no words. A-Z are lower-cased if ``lower``.
+    A null text has no words. A-Z are lower-cased if ``lower``. ``kinds`` has a number for each byte: 0 parts words, and so
+    does a change from one number to another.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -88,9 +93,10 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     ends = ends - ends[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    space = _IS_SPACE[data]
+    kind = kinds[data]
+    space = kind == 0
     begins = ~space
-    begins[1:] &= space[:-1]
+    begins[1:] &= kind[1:] != kind[:-1]
     cut = ends[:-1][(ends[:-1] < len(data)) & (ends[:-1] > 0)]
     begins[cut] = ~space[cut]
     starts = np.flatnonzero(begins)

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 
@@ -57,19 +58,19 @@ def _column(f):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def phi(z: pd.Series) -> pd.Series:
     """The normal distribution function."""
     return _column(normal_cdf)(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """P(|Z| > |z|) for a standard normal Z."""
     return _column(lambda v: math.erfc(abs(v) / math.sqrt(2)))(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|) for Student's t."""
     return pd.Series([None if np.isnan(a) or np.isnan(b) or b <= 0 else 2 * (1 - student_cdf(abs(a), b)) for a, b in zip(t.astype(float), df.astype(float))], dtype=float)

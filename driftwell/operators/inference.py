@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -107,8 +108,6 @@ def ols_hc0(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
     One aggregate for the normal equations, one for the residual-weighted products; systems of a few terms are solved in a
     pandas function a group, which gets one row.
     """
-    import pandas as pd
-
     k = len(xs)
     rows = df.dropna(subset=[y, *xs]).select(*by, F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
     gram = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(k) for j in range(k)]
@@ -237,7 +236,7 @@ def deflated_sharpe(trials: DataFrame, column: str, by: list[str], sharpes: str
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], alpha: float = 0.05) -> DataFrame:
     """df with rank, threshold, adjusted_p_raw (p n / rank), adjusted_p (monotone) and reject, within families ``by``."""
     df = df.where(F.col(p).isNotNull())
-    order, family = W.partitionBy(*by).orderBy(p), W.partitionBy(*by)
+    order, family = W.partitionBy(*by).orderBy(p, *(c for c in df.columns if c not in by and c != p)), W.partitionBy(*by)
     df = df.withColumns({"rank": F.row_number().over(order), "_n": F.count("*").over(family)})
     df = df.withColumns({"threshold": alpha * F.col("rank") / F.col("_n"), "adjusted_p_raw": F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("rank"))})
     later = W.partitionBy(*by).orderBy("rank").rowsBetween(0, W.unboundedFollowing)

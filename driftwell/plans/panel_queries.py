@@ -146,7 +146,7 @@ def high_is_one(spark, d):
     return cleaning.high_is_one(df).select("series_id", "ts", "label")
 
 
-_PERIODS = [("all", "1900-01-01", "2999-12-31"), ("early", "1900-01-01", "1994-12-31"), ("late", "1995-01-01", "2999-12-31"), ("middle", "1993-06-01", "1996-05-31")]
+_PERIODS = [("all", "1900-01-01", "2999-12-31"), ("early", "1900-01-01", "1998-05-31"), ("late", "1998-06-01", "2999-12-31"), ("middle", "1996-06-01", "1999-05-31")]
 
 
 @query(
@@ -488,12 +488,12 @@ def half_life(spark, d):
 
 
 @query(
-    f"""WITH {S.BRAND_WEEK}, x AS (SELECT series_id, avg(ret) FILTER (ts < DATE '1995-01-01') / nullif(stddev_samp(ret) FILTER (ts < DATE '1995-01-01'), 0) AS o, avg(ret) FILTER (ts >= DATE '1995-01-01') / nullif(stddev_samp(ret) FILTER (ts >= DATE '1995-01-01'), 0) AS r FROM panel GROUP BY 1),
+    f"""WITH {S.BRAND_WEEK}, x AS (SELECT series_id, avg(ret) FILTER (ts < DATE '1998-06-01') / nullif(stddev_samp(ret) FILTER (ts < DATE '1998-06-01'), 0) AS o, avg(ret) FILTER (ts >= DATE '1998-06-01') / nullif(stddev_samp(ret) FILTER (ts >= DATE '1998-06-01'), 0) AS r FROM panel GROUP BY 1),
     y AS (SELECT series_id, CASE WHEN r / nullif(o, 0) > 0 THEN -ln(r / o) / 3.0 END AS rate FROM x)
     SELECT series_id, {r('rate', 'rate')}, {r('CASE WHEN rate > 0 THEN ln(2) / rate * 12 END', 'half_life_months')}, {r('0.4 * (1 - 0.5 * (1 - exp(-rate * 12)))', 'tau')} FROM y"""
 )
 def empirical_decay(spark, d):
-    early, late = F.col("ts") < F.lit("1995-01-01").cast("date"), F.col("ts") >= F.lit("1995-01-01").cast("date")
+    early, late = F.col("ts") < F.lit("1998-06-01").cast("date"), F.col("ts") >= F.lit("1998-06-01").cast("date")
     s = lambda c: F.try_divide(F.avg(F.when(c, F.col("ret"))), F.stddev_samp(F.when(c, F.col("ret"))))
     x = P.brand_week(spark, d).groupBy("series_id").agg(s(early).alias("sr_original"), s(late).alias("sr_replicated")).withColumn("years", F.lit(3.0))
     df = A.empirical_decay(x)

@@ -126,7 +126,7 @@ class Network:
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4) -> Network:
     """Adam on the logistic loss over four fifths of the rows; the temperature is the best on the rest."""
-    width = x.shape[1] if x.ndim == 2 and x.shape[1] else 1
+    width = x.shape[1]
     rng = np.random.default_rng(3)
     if len(y) < LEAST or y.min() == y.max():
         p = 0.5 if len(y) < LEAST else (y.sum() + 1) / (len(y) + 2)
@@ -166,7 +166,7 @@ def scored(
     x = saved(rows.mapInArrow(_pooled(vectors), "id long, x array<float>"))
     known = labels.where(learn).where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"))
     sample = x.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(most).toPandas()
-    net = fit(np.array(sample["x"].tolist(), np.float64), sample["y"].to_numpy(float))
+    net = fit(np.array(sample["x"].tolist(), np.float64).reshape(-1, 2 * width + 2), sample["y"].to_numpy(float))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

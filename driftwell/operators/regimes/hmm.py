@@ -50,15 +50,20 @@ def backward(logb: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: float = 1e-6) -> dict:
-    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation."""
-    n, centre, spread = len(x), x.mean(), max(float(x.std()), FLOOR)
+def starts(centre: float, spread: float, k: int, restarts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First pi, a, mu and sd of each restart: states apart in scale, seldom left."""
     rng = np.random.default_rng(k)
     base = np.linspace(-1, 1, k) if k > 1 else np.zeros(1)
     sd = spread * np.exp(base[None, :] * np.linspace(0.5, 1.5, restarts)[:, None])
     mu = centre + 0.1 * spread * rng.standard_normal((restarts, k))
     a = np.broadcast_to(np.where(np.eye(k) > 0, 0.95 if k > 1 else 1.0, 0.05 / max(k - 1, 1)), (restarts, k, k)).copy()
-    pi = np.full((restarts, k), 1 / k)
+    return np.full((restarts, k), 1 / k), a, mu, sd
+
+
+def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: float = 1e-6) -> dict:
+    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation."""
+    n, spread = len(x), max(float(x.std()), FLOOR)
+    pi, a, mu, sd = starts(x.mean(), spread, k, restarts)
     last = np.full(restarts, -np.inf)
     for _ in range(most):
         logb = densities(x, mu, sd)
@@ -167,6 +172,116 @@ def block_filter(df: DataFrame, parameters: DataFrame, column: str = "ret", size
     return rows.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, f"series_id {series}, ts {kinds['ts']}, p_high double, log_score double")
 
 
+def block_fitted(df: DataFrame, column: str = "ret", k: int = 2, rounds: int = 20, size: int = 4096) -> DataFrame:
+    """(series_id, k, pi, a, mu, sd, loglik, n) by ``rounds`` rounds of Baum-Welch from one start, with blocks of ``size`` rows as tasks.
+
+    A round is three steps: a block's matrix; forward and backward carries of its series, one row a block; and the block's
+    expected counts, summed by series. States are ordered by deviation.
+    """
+    kinds = dict(df.dtypes)
+    series = kinds["series_id"]
+    rows = saved(numbered(df.where(F.col(column).isNotNull()).select("series_id", "ts", F.col(column).cast("double").alias("x")), size))
+    stats = rows.groupBy("series_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
+    schema = f"series_id {series}, k int, pi array<double>, a array<double>, mu array<double>, sd array<double>, spread double, loglik double, n long"
+
+    def first(frames):
+        for p in frames:
+            out = []
+            for r in p.itertuples():
+                spread = max(float(r.s), FLOOR)
+                pi, a, mu, sd = (v[0] for v in starts(r.m, spread, k, 1))
+                out.append((r.series_id, k, pi.tolist(), a.ravel().tolist(), mu.tolist(), sd.tolist(), spread, float("-inf"), r.n))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    parameters = saved(stats.mapInPandas(first, schema))
+
+    def parts(p: pd.DataFrame) -> tuple:
+        m = p.iloc[0]
+        logb, a = densities(p["x"].to_numpy(float), np.array(m["mu"]), np.array(m["sd"])), np.array(m["a"]).reshape(k, k)
+        top = logb.max(1)
+        return np.exp(logb - top[:, None]), top, a
+
+    def summary(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rn")
+        b, _, a = parts(p)
+        m = np.eye(k)
+        for row in b:
+            m = (m * row) @ a
+            m /= m.max()
+        return pd.DataFrame({"series_id": [p["series_id"].iloc[0]], "block": [p["block"].iloc[0]], "m": [m.ravel().tolist()], "pi": [list(p["pi"].iloc[0])]})
+
+    def carried(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        ms = [np.array(m).reshape(k, k) for m in p["m"]]
+        before, now = [], np.array(p["pi"].iloc[0], float)
+        for m in ms:
+            before.append(now.tolist())
+            now = now @ m
+            now /= now.sum()
+        after, now = [], np.ones(k) / k
+        for m in ms[::-1]:
+            after.append(now.tolist())
+            now = m @ now
+            now /= now.sum()
+        return pd.DataFrame({"series_id": p["series_id"], "block": p["block"], "before": before, "after": after[::-1]})
+
+    sums = f"series_id {series}, block long, w array<double>, wx array<double>, wxx array<double>, xi array<double>, first array<double>, ll double"
+
+    def expected(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rn")
+        b, top, a = parts(p)
+        n, x = len(p), p["x"].to_numpy(float)
+        alpha, ll, now = np.empty((n, k)), top.sum(), np.array(p["before"].iloc[0])
+        for t in range(n):
+            now = now * b[t]
+            ll += np.log(now.sum())
+            alpha[t] = now = now / now.sum()
+            now = now @ a
+        beta, xi, now = np.empty((n, k)), np.zeros((k, k)), np.array(p["after"].iloc[0])  # of the state after the block
+        for t in range(n - 1, -1, -1):
+            joint = alpha[t][:, None] * a * now[None, :]
+            if t < n - 1 or not p["last"].iloc[0]:
+                xi += joint / joint.sum()
+            beta[t] = a @ now
+            now = b[t] * beta[t]
+            now /= now.sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        m = np.array(p["mu"].iloc[0])
+        return pd.DataFrame([(p["series_id"].iloc[0], p["block"].iloc[0], gamma.sum(0).tolist(), (gamma * x[:, None]).sum(0).tolist(), (gamma * (x[:, None] - m) ** 2).sum(0).tolist(), xi.ravel().tolist(), gamma[0].tolist(), ll)], columns=[c.split()[0] for c in sums.split(", ")])
+
+    def maximised(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        old, p = q.iloc[0], p.sort_values("block")
+        w, wx, wd, xi = (np.sum(np.array(p[c].tolist()), axis=0) for c in ("w", "wx", "wxx", "xi"))
+        w = np.maximum(w, 1e-10)
+        mu = wx / w
+        var = np.maximum(wd / w - (mu - np.array(old["mu"])) ** 2, (FLOOR * old["spread"]) ** 2)
+        xi = xi.reshape(k, k) + 1e-10
+        return pd.DataFrame([(old["series_id"], k, p["first"].iloc[0], (xi / xi.sum(1, keepdims=True)).ravel().tolist(), mu.tolist(), np.sqrt(var).tolist(), old["spread"], float(p["ll"].sum()), old["n"])], columns=[c.split()[0] for c in schema.split(", ")])
+
+    last = rows.groupBy("series_id").agg(F.max("block").alias("end"))
+    rows = saved(rows.join(last, "series_id").withColumn("last", F.col("block") == F.col("end")).drop("end"))
+    for _ in range(rounds):
+        now = rows.join(parameters.select("series_id", "pi", "a", "mu", "sd"), "series_id")
+        maps = now.groupBy("series_id", "block").applyInPandas(summary, f"series_id {series}, block long, m array<double>, pi array<double>")
+        carries = maps.groupBy("series_id").applyInPandas(carried, f"series_id {series}, block long, before array<double>, after array<double>")
+        told = now.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(expected, sums)
+        old = parameters.withColumnRenamed("series_id", "_series").withColumn("series_id", F.col("_series"))
+        parameters = saved(told.groupBy("series_id").cogroup(old.groupBy("_series")).applyInPandas(maximised, schema))
+
+    def ordered(frames):
+        for p in frames:
+            for c in p.index:
+                o = np.argsort(np.array(p.at[c, "sd"]), kind="stable")
+                a = np.array(p.at[c, "a"]).reshape(k, k)[np.ix_(o, o)].ravel().tolist()
+                for name in ("pi", "mu", "sd"):
+                    p.at[c, name] = np.array(p.at[c, name])[o].tolist()
+                p.at[c, "a"] = a
+            yield p
+
+    return parameters.mapInPandas(ordered, schema).drop("spread")
+
+
 def parameter_table(parameters: DataFrame, periods: int = 252) -> DataFrame:
     """(series_id, k, state, ann_mean, ann_vol, duration, share) of each state; the share is that of the stationary chain of two states, null for more."""
     rows = parameters.select("series_id", "k", "a", F.posexplode("mu").alias("state", "mu"), "sd")

@@ -173,6 +173,14 @@ def test_regimes_are_recovered(spark):
     assert all(abs((r.start - DAY).days - t) <= 6 for r, t in zip(cuts, (0, 150, 300, 450)))
 
 
+def test_fits_by_blocks_are_those_of_whole_series(spark):
+    x = noise(150) * np.repeat([0.5, 2.0, 0.7], 50)
+    want = hmm.fit(x, 2, restarts=1, most=4, tolerance=-np.inf)
+    got = hmm.block_fitted(panel(spark, {"a": x}), rounds=4, size=40).first()
+    assert got.mu == pytest.approx(want["mu"].tolist(), abs=1e-8) and got.sd == pytest.approx(want["sd"].tolist(), abs=1e-8)
+    assert got.a == pytest.approx(want["a"].tolist(), abs=1e-6) and got.pi == pytest.approx(want["pi"].tolist(), abs=1e-8)
+
+
 def test_garch_likelihood_rises(spark):
     rng = np.random.default_rng(8)
     h, x = 1.0, []

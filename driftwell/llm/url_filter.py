@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import small_batches
+from driftwell.llm.common import saved, small_batches
 
 LONGEST = 24
 
@@ -109,7 +109,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", htm
     df = ruled(pages.drop(html) if html != url else pages, rules, url)
     hosts = df.select("host").distinct()
     named = hosts.select("host", F.posexplode(F.filter(F.split("host", r"[^\p{L}]+"), lambda x: x != "")).alias("k", "name"))
-    split = segmented(named.select("name").distinct(), unigrams(pages, html))
+    split = segmented(named.select("name").distinct(), saved(unigrams(pages, html)))
     by_host = named.join(split, "name").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "words"))), lambda s: s["words"])).alias("words"))
     df = df.join(by_host, "host", "left").withColumn("features", _features(buckets))
     taught = df.where("decided is not null")

@@ -58,11 +58,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second replica is the first with damage: of 200 pages, by crc32 of the id, one is lost, one cut and one changed."""
+    """The second replica is the first with damage: of 200 pages, by a hash of the id, one is lost, one cut and one changed. What is not there is at -1."""
     pages = table(spark, sf_dir, "pages").select("page_id", fixity.warc_record("page_id", "url", "html").alias("record"))
-    kind = remainder("page_id", 200)
+    kind = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("long") % 200
     damaged = F.when(kind == 1, F.expr("left(record, length(record) - 9)")).when(kind == 2, F.concat(F.lit("w"), F.expr("substring(record, 2)"))).otherwise(F.col("record"))
-    return fixity.audit(pages, pages.where(kind != 0).select("page_id", damaged.alias("record")))
+    found = fixity.audit(pages, pages.where(kind != 0).select("page_id", damaged.alias("record")))
+    return found.fillna(-1, [f"{side}_{c}" for side in ("first", "second") for c in ("offset", "bytes")])
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

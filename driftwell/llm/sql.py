@@ -32,4 +32,20 @@ ORACLE_SQL = {
         FROM grams d JOIN items i ON d.gram = i.gram
         WHERE d.kind = 'd' GROUP BY d.row_id, d.id, i.row_id, i.id HAVING count(*) >= ceil(0.8 * min(i.n_item) - 1e-9)
     """,
+    "op8_fixity_audit": r"""
+        WITH pages2 AS (
+            SELECT page_id, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6) AS BIGINT) % 200 AS kind,
+                'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Type: text/html' || nl
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') || nl || nl AS record
+            FROM pages, (SELECT chr(13) || chr(10) AS nl)
+        ), sizes AS (
+            SELECT page_id, kind, strlen(record) AS first_bytes, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN strlen(left(record, length(record) - 9)) ELSE strlen(record) END AS second_bytes FROM pages2
+        ), placed AS (
+            SELECT *, coalesce(sum(first_bytes) OVER before, 0) AS first_offset, coalesce(sum(second_bytes) OVER before, 0) AS second_offset
+            FROM sizes WINDOW before AS (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        )
+        SELECT page_id, CASE WHEN kind = 0 THEN 'missing' ELSE 'changed' END AS kind, CAST(first_offset AS BIGINT) AS first_offset, CAST(first_bytes AS BIGINT) AS first_bytes,
+            CASE WHEN kind > 0 THEN CAST(second_offset AS BIGINT) ELSE -1 END AS second_offset, coalesce(CAST(second_bytes AS BIGINT), -1) AS second_bytes
+        FROM placed WHERE kind < 3
+    """,
 }

@@ -1,6 +1,50 @@
 """DuckDB SQL of the queries that SQL can say."""
 
+
+def quality_rules(rounds: int = 25, trusted: float = 0.999, trust: int = 20) -> str:
+    """Counts, votes, and as many rounds of expectation-maximisation over vote patterns, each a pair of tables."""
+    votes = {
+        "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND n_words > 0"),
+        "symbols": ("20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+        "lines": ("100 * n_dup_lines > 35 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
+        "repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+        "capitals": ("100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 10 * word_chars"),
+    }
+    vote = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in votes.items())
+    on = lambda r, v, w: f"coalesce(sum(n * {w}) FILTER ({r} = {v}), 0)"
+    spoken = lambda r: f"(1 + coalesce(sum(n) FILTER ({r} <> 0), 0))"
+    rate = ", ".join(
+        f"({on(r, 1, 's')} + {trusted} * {trust} * {spoken(r)}) / ({on(r, 1, 's')} + {on(r, -1, 's')} + {trust} * {spoken(r)}) AS g_{r}, ({on(r, -1, '(1 - s)')} + 1) / ({on(r, 1, '(1 - s)')} + {on(r, -1, '(1 - s)')} + 2) AS b_{r}"
+        for r in votes
+    )
+    odds = " + ".join(["ln(prior / (1 - prior))", *(f"CASE p.{r} WHEN 1 THEN ln(g_{r} / (1 - b_{r})) WHEN -1 THEN ln((1 - g_{r}) / b_{r}) ELSE 0 END" for r in votes)])
+    names = ", ".join(f"p.{r}" for r in votes)
+    steps = ", ".join(
+        f"m{k} AS MATERIALIZED (SELECT (sum(n * s) + 0.5) / (sum(n) + 1) AS prior, {rate} FROM p{k}), p{k + 1} AS MATERIALIZED (SELECT {names}, p.n, 1 / (1 + exp(-({odds}))) AS s FROM p{k} p, m{k})" for k in range(rounds)
+    )
+    return rf"""
+        WITH texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM documents
+        ), places AS (SELECT row_id, unnest(range(1, len(w) - 1)) AS i, w FROM texts WHERE len(w) >= 3),
+        grams AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[i + 2]) AS often FROM places),
+        covered AS (SELECT row_id, count(DISTINCT place) AS n FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS place FROM grams WHERE often > 1) GROUP BY 1),
+        counted AS MATERIALIZED (
+            SELECT texts.row_id, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
+                len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+            FROM texts LEFT JOIN covered ON texts.row_id = covered.row_id
+        ), voted AS MATERIALIZED (SELECT *, {vote} FROM counted),
+        p0 AS MATERIALIZED (SELECT {names.replace("p.", "")}, CAST(count(*) AS DOUBLE) AS n, CASE WHEN least({names.replace("p.", "")}) = -1 THEN 0.1 ELSE 0.9 END AS s FROM voted GROUP BY ALL),
+        {steps}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND s >= 0.5 AS kept
+        FROM voted JOIN p{rounds} p USING ({names.replace("p.", "")})
+    """
+
+
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules(),
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT row_id, doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line

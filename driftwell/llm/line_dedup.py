@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from driftwell.llm.common import line_keys, saved, shared_folder, slices, small_batches
 
 
+SALTS = 8
+
+
 class LineRuns:
     """The runs of a store, as Parquet below a folder that all executors share."""
 
@@ -138,7 +141,10 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").cast("string").alias("_text"))
     keyed = keyed.withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
     lines = keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "_text").mapInArrow(_placed, "t1 long, t2 long, place int, h1 long, h2 long")
-    drops = lines.join(runs.frequent(), ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop"))
+    # a line of very many documents is dealt to several tasks by its text
+    lines = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
+    frequent = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = lines.join(frequent, ["h1", "h2", "salt"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop"))
     own = [f"c{k}" for k, c in enumerate(names) if c != text]
     joined = keyed.join(drops, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*own, "_text", "_drop")
     kinds = dict(keyed.dtypes)

@@ -5,8 +5,8 @@
    corpus. Each task sums its own texts, and Spark sums a bucket's rows.
 2. A document is the mean, and the mean square, of its words' unit vectors, with rare buckets weighted up, the logarithm of
    its length and its share of distinct words.
-3. A network with one hidden layer learns from at most ``most`` labelled rows, those of the least hashes of their ids; it is
-   small, and fitted on the driver. A fifth of those rows set the temperature that calibrates its probabilities.
+3. A network with one hidden layer learns from about ``most`` labelled rows at most, those whose ids have the least hashes; it
+   is small, and fitted on the driver. A fifth of those rows set the temperature that calibrates its probabilities.
 
 The vectors have a fixed size, so they go to all tasks whatever the corpus. Null and empty texts are vectors of zeros and get
 a score like any other. Rows with a null id or label are scored but not learned from. With fewer than ``LEAST`` labelled rows
@@ -165,7 +165,8 @@ def scored(
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     x = saved(rows.mapInArrow(_pooled(vectors), "id long, x array<float>"))
     known = labels.where(learn).where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"))
-    sample = x.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(most).toPandas()
+    share = min(1.0, most / max(1, known.count()))
+    sample = x.join(known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)), "id").toPandas().sort_values(["id", "y"])
     net = fit(np.array(sample["x"].tolist(), np.float64).reshape(-1, 2 * width + 2), sample["y"].to_numpy(float))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import held
+from driftwell.llm.common import held, saved
 
 #: Short declarations of well-known licenses; a parameter of the scan.
 TEMPLATES = {
@@ -118,12 +118,12 @@ def scanned(
     # a text's hash names it: copies are compared once, and ids may be null or repeated
     rows = rows.withColumn("t", F.sha2(F.coalesce("text", F.lit("")), 256))
     held_rows = held(rows.select("t", "text").withColumns({"words": terms(F.col("text"))}), "words")
-    worth = held_rows.where(F.arrays_overlap("words", heavy)).dropDuplicates(["t"])
+    worth = saved(held_rows.where(F.arrays_overlap("words", heavy)).select("t", "text").dropDuplicates(["t"]))  # one pass over all texts; few stay
     lines = worth.select("t", F.posexplode(F.split("text", "\n")).alias("line", "said"))
     lines = held(lines.withColumn("words", terms(F.col("said"))), "words").where(F.arrays_overlap("words", heavy))
     headers = compared(lines.select(F.struct("t", "line").alias("key"), "words"), model, spark).where(F.col("score") >= threshold)
     top = headers.groupBy(F.col("key.t").alias("t")).agg(F.count("*").alias("n_headers"), F.min(F.struct((-F.col("score")).alias("s"), F.col("license"), F.col("key.line").alias("line"))).alias("best"))
-    files = compared(worth.select(F.col("t").alias("key"), "words"), model, spark).where(F.col("score") >= file_threshold)
+    files = compared(worth.select(F.col("t").alias("key"), terms(F.col("text")).alias("words")), model, spark).where(F.col("score") >= file_threshold)
     slim = rows.select("id", "path", "t").withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     mine = slim.join(top.select("t", "n_headers", "best"), "t", "left")
     spoken = slim.where("dir is not null").join(files.select(F.col("key").alias("t"), "score", "license"), "t")

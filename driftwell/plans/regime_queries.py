@@ -224,9 +224,15 @@ def stream_bars(spark, d):
     return rounded(df.withColumns({c: F.col(c).cast("timestamp_ntz").cast("string") for c in ("start", "stop")}), "mean")
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * unnest([0, 1, 2, 3])) AS b FROM events)
+    SELECT event_type AS series_id, CAST(b AS VARCHAR) AS start, CAST(b + INTERVAL 1 HOUR AS VARCHAR) AS stop, count(*) AS n, {r('avg(value)', 'mean')}, min(value) AS low, max(value) AS high
+    FROM e GROUP BY event_type, b HAVING b + INTERVAL 1 HOUR <= {_CLOSED}""",
+    dates=(),
+)
 def stream_sliding_bars(spark, d):
-    return rounded(run.available(signals.bars(run.events(spark, d), "event_type", "value", "1 hour", "15 minutes")))
+    df = run.available(signals.bars(run.events(spark, d), "event_type", "value", "1 hour", "15 minutes"))
+    return rounded(df.withColumns({c: F.col(c).cast("timestamp_ntz").cast("string") for c in ("start", "stop")}), "mean")
 
 
 @query()

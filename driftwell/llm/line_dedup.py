@@ -144,7 +144,8 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10
     # a line of very many documents is dealt to several tasks by its text
     lines = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
     frequent = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    drops = lines.join(frequent, ["h1", "h2", "salt"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop"))
+    # written, so that the join below is of two plain shuffles and Spark can split a text that very many rows have
+    drops = saved(lines.join(frequent, ["h1", "h2", "salt"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop")))
     own = [f"c{k}" for k, c in enumerate(names) if c != text]
     joined = keyed.join(drops, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*own, "_text", "_drop")
     kinds = dict(keyed.dtypes)

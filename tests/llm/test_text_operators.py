@@ -236,6 +236,22 @@ def test_tiktoken_ids_are_those_of_tokenizers(spark):
     assert encode("<|endoftext|>") == t.encode("<|endoftext|>", add_special_tokens=False).ids
 
 
+def test_packing_keeps_added_tokens_and_long_runs_of_spaces(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", " " * 1_000_000, "<|endoftext|>" * 3, None]
+    ids = [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for x in texts]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 2]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k, want in enumerate(ids):
+        own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc == k)
+        assert sum(n for _, n, _ in own) == len(want)
+        assert all(zlib.crc32(want[a : a + n].tobytes()) == crc for a, n, crc in own)
+
+
 def test_licenses(spark):
     MIT = "Released under the MIT License.\n" + "some words more " * 9  # a header, not a license file
     rows = [

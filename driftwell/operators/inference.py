@@ -196,6 +196,15 @@ def block_bootstrap(df: DataFrame, metrics: dict[str, Column], by: list[str], re
     return stack(values).join(ends, [*by, "metric"], "left")
 
 
+def auc_bootstrap(df: DataFrame, score: str, label: str, by: list[str], replicates: int = 500, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, level: float = 0.95) -> DataFrame:
+    """(by, metric, value, low, high): percentile interval of the AUC, from ranks within each replicate; replicates of one class are left out."""
+    rows, drawn = _drawn(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), by, replicates, length, circular, seed, least)
+    reps = auc(drawn.join(rows, [*by, "_i"]), score, label, [*by, "rep"])
+    tail = (1 - level) / 2
+    ends = reps.groupBy(*by).agg(F.percentile("auc", F.lit(tail)).alias("low"), F.percentile("auc", F.lit(1 - tail)).alias("high"))
+    return auc(rows, score, label, by).select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")).join(ends, by, "left")
+
+
 def sharpe_difference(df: DataFrame, a: str, b: str, by: list[str], replicates: int = 200, length: int = 21, seed: int = 7) -> DataFrame:
     """(by, value, low, high, p): difference of two Sharpe ratios with the same blocks for both; p is twice the smaller share of replicates on either side of 0."""
     x = F.coalesce(sharpe(a), F.lit(0.0)) - F.coalesce(sharpe(b), F.lit(0.0))

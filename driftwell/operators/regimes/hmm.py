@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwell.operators.blocks import numbered, saved
 
 FLOOR = 1e-3
-PARAMETERS = "k int, pi array<double>, a array<double>, mu array<double>, sd array<double>, loglik double, bic double, n long"
+PARAMETERS = "k int, pi array<double>, a array<double>, mu array<double>, sd array<double>, loglik double, bic double, n long, converged boolean"
 
 
 def densities(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -61,10 +61,10 @@ def starts(centre: float, spread: float, k: int, restarts: int) -> tuple[np.ndar
 
 
 def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: float = 1e-6) -> dict:
-    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation."""
+    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation. ``converged`` tells whether that one settled within ``most`` rounds."""
     n, spread = len(x), max(float(x.std()), FLOOR)
     pi, a, mu, sd = starts(x.mean(), spread, k, restarts)
-    last = np.full(restarts, -np.inf)
+    last, settled = np.full(restarts, -np.inf), np.zeros(restarts, bool)
     for _ in range(most):
         logb = densities(x, mu, sd)
         alpha, ll = forward(logb, pi, a)
@@ -72,7 +72,8 @@ def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: fl
         gamma = alpha * beta
         gamma /= gamma.sum(-1, keepdims=True)
         total = ll.sum(0)
-        if np.all(total - last < tolerance * np.abs(total)):
+        settled = total - last < tolerance * np.abs(total)
+        if np.all(settled):
             break
         last = total
         b = np.exp(logb - logb.max(-1, keepdims=True))
@@ -87,11 +88,11 @@ def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: fl
     r = int(np.argmax(total))
     o = np.argsort(sd[r], kind="stable")
     p = (k - 1) + k * (k - 1) + 2 * k
-    return {"k": k, "pi": pi[r][o], "a": a[r][np.ix_(o, o)].ravel(), "mu": mu[r][o], "sd": sd[r][o], "loglik": float(total[r]), "bic": float(-2 * total[r] + p * np.log(n)), "n": n}
+    return {"k": k, "pi": pi[r][o], "a": a[r][np.ix_(o, o)].ravel(), "mu": mu[r][o], "sd": sd[r][o], "loglik": float(total[r]), "bic": float(-2 * total[r] + p * np.log(n)), "n": n, "converged": bool(settled[r])}
 
 
 def fitted(df: DataFrame, column: str = "ret", by: tuple[str, ...] = ("series_id",), states: tuple[int, ...] = (2,), restarts: int = 4, least: int = 30, most: int = 100) -> DataFrame:
-    """(by, k, pi, a (row by row), mu, sd, loglik, bic, n) for each number of states; series of under ``least`` values are left out."""
+    """(by, k, pi, a (row by row), mu, sd, loglik, bic, n, converged) for each number of states; series of under ``least`` values are left out."""
     kinds = dict(df.dtypes)
     rows = df.where(F.col(column).isNotNull()).select(*by, "ts", F.col(column).alias("x"))
     rows = rows.withColumn("states", F.explode(F.array(*map(F.lit, states))))

@@ -18,14 +18,14 @@ def _cost(n, s1, s2):
     return n * F.log(F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(1e-12)))
 
 
-def segmented(df: DataFrame, column: str = "ret", penalty: float = 3.0, least: int = 21, levels: int = 20) -> DataFrame:
-    """(series_id, ts, x, segment): each level splits every segment where its cost falls most, if that is over penalty * ln(rows of the series)."""
+def segmented(df: DataFrame, column: str = "ret", penalty: float = 3.0, least: int = 21) -> DataFrame:
+    """(series_id, ts, x, segment): each level splits every segment where its cost falls most, if that is over penalty * ln(rows of the series), until none is."""
     rows = df.where(F.col(column).isNotNull()).select("series_id", "ts", F.col(column).cast("double").alias("x"))
     whole = W.partitionBy("series_id")
     # centred first, so that sums of squares keep their digits
     rows = rows.withColumns({"y": F.col("x") - F.avg("x").over(whole), "total": F.count("*").over(whole), "segment": F.lit("1")})
     rows = saved(rows)
-    for _ in range(levels):
+    while True:
         seg = W.partitionBy("series_id", "segment")
         run = seg.orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
         p = rows.withColumns({"i": F.row_number().over(seg.orderBy("ts")), "a1": F.sum("y").over(run), "a2": F.sum(F.col("y") * F.col("y")).over(run)})

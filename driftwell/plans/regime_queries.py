@@ -38,10 +38,10 @@ def weekly(spark, d) -> DataFrame:
 
 @query()
 def hmm_fit(spark, d):
-    """Two to four states of each brand, and the number of states of least BIC."""
-    fits = hmm.fitted(weekly(spark, d), states=(1, 2, 3), restarts=3, most=40)
+    """One to four states of each brand, and the number of states of least BIC."""
+    fits = hmm.fitted(weekly(spark, d), states=(1, 2, 3, 4), restarts=5, most=300)
     best = A.best(fits, ["series_id"], "bic", ["k"], largest=False).select("series_id", F.col("k").alias("best_k"))
-    return rounded(fits.join(best, "series_id").select("series_id", "k", "best_k", "loglik", "bic", "n", F.get("sd", F.lit(0)).alias("sd_low"), F.element_at("sd", -1).alias("sd_high")))
+    return rounded(fits.join(best, "series_id").select("series_id", "k", "best_k", "loglik", "bic", "n", "converged", F.get("sd", F.lit(0)).alias("sd_low"), F.element_at("sd", -1).alias("sd_high")))
 
 
 @query()
@@ -167,11 +167,11 @@ def garch_filter(spark, d):
 def regimes_by_bic(spark, d):
     """The number of states of least BIC on raw and on GARCH-filtered returns."""
     df = weekly(spark, d)
-    pit = garch.residuals(df, garch.fitted(df, nus=(0.0, 6.0), rounds=0)).select("series_id", "ts", F.col("pit").alias("ret"))
+    pit = garch.residuals(df, garch.fitted(df)).select("series_id", "ts", F.col("pit").alias("ret"))
     both = df.withColumn("series", F.lit("raw")).unionByName(pit.withColumn("series", F.lit("pit")))
-    fits = hmm.fitted(both, by=("series_id", "series"), states=(1, 2), restarts=2, most=25)
+    fits = hmm.fitted(both, by=("series_id", "series"), states=(1, 2, 3, 4), restarts=3, most=300)
     best = A.best(fits, ["series_id", "series"], "bic", ["k"], largest=False)
-    return A.crosstab(best, "series", "k", [1, 2])
+    return A.crosstab(best, "series", "k", [1, 2, 3, 4])
 
 
 def _features(spark, d) -> DataFrame:

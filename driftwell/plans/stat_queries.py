@@ -79,7 +79,8 @@ def bootstrap_auc(spark, d):
     """A bootstrap interval of the AUC of each language: labels have no time, ids stand for it."""
     df = scored(spark, d).withColumn("ts", F.col("doc_id"))
     accuracy = F.avg((F.col("long") == F.col("quality")).cast("double"))
-    return rounded(I.block_bootstrap(df, {"accuracy": accuracy, "base_rate": F.avg("quality")}, ["lang"], 100))
+    rest = I.block_bootstrap(df, {"accuracy": accuracy, "base_rate": F.avg("quality")}, ["lang"], 500)
+    return rounded(I.auc_bootstrap(df, "n_chars", "quality", ["lang"], 500).unionByName(rest))
 
 
 _LABELLED = f"""{S.BRAND_WEEK}, x AS (SELECT series_id, ts, ret, CAST(volume >= avg(volume) OVER (PARTITION BY series_id) AS INT) AS truth,

@@ -173,6 +173,25 @@ def test_regimes_are_recovered(spark):
     assert all(abs((r.start - DAY).days - t) <= 6 for r, t in zip(cuts, (0, 150, 300, 450)))
 
 
+def test_fits_tell_whether_they_converged():
+    x = noise(200) * np.repeat([0.5, 2.0], 100)
+    assert not hmm.fit(x, 2, restarts=2, most=2)["converged"]
+    assert hmm.fit(x, 2, restarts=2, most=300)["converged"]
+
+
+def test_auc_bootstrap_equals_direct_ranks(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 60)
+    s = np.round(rng.standard_normal(60) + y, 1)
+    df = spark.createDataFrame([("a", DAY + dt.timedelta(days=i), float(s[i]), int(y[i])) for i in range(60)], "g string, ts date, s double, y int")
+    direct = lambda a, b: np.mean([(p > q) + (p == q) / 2 for p in a[b == 1] for q in a[b == 0]])
+    rows, drawn = inf._drawn(df, ["g"], 40, 7, True, 7, 50)
+    reps = drawn.toPandas().groupby("rep")["_i"].apply(lambda i: direct(s[i.to_numpy()], y[i.to_numpy()]))
+    got = inf.auc_bootstrap(df, "s", "y", ["g"], 40, 7).first()
+    assert got.value == pytest.approx(direct(s, y))
+    assert (got.low, got.high) == pytest.approx((np.percentile(reps, 2.5), np.percentile(reps, 97.5)))
+
+
 def test_fits_by_blocks_are_those_of_whole_series(spark):
     x = noise(150) * np.repeat([0.5, 2.0, 0.7], 50)
     want = hmm.fit(x, 2, restarts=1, most=4, tolerance=-np.inf)

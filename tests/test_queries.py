@@ -30,6 +30,18 @@ def plain(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
+def test_auc_has_an_interval_in_bootstrap_auc(spark):
+    got = [r for r in registry.queries()["bootstrap_auc"](spark, SF).collect() if r.metric == "auc"]
+    assert got and all(r.low <= r.high for r in got if r.low is not None)
+
+
+def test_number_of_states_goes_up_to_four(spark):
+    fits = registry.queries()["hmm_fit"](spark, SF)
+    assert {r.k for r in fits.select("k").distinct().collect()} == {1, 2, 3, 4}
+    assert "converged" in fits.columns
+    assert registry.queries()["regimes_by_bic"](spark, SF).columns == ["series", "k_1", "k_2", "k_3", "k_4"]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, duck, name):
     got, want = plain(registry.queries()[name](spark, SF).toPandas()), plain(duck.sql(registry.oracle_sql()[name]).df())

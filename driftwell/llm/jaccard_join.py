@@ -1,10 +1,10 @@
-"""Near-duplicate join of texts by the Jaccard similarity of their word shingles, over a MinHash LSH forest.
+"""Near-duplicate join of texts by the Jaccard similarity of their word shingles, over MinHash prefixes of fixed depth.
 
 1. Texts with the same 128-bit hash are one class.
-2. A class has ``trees`` label sequences of ``depth`` MinHash values. Each tree is a trie of those sequences; classes below
-   one trie node share a prefix. ``forest_depth`` starts at the whole sequences and shortens the prefix until a pair at the
-   threshold shares one in at least one tree with the target probability.
-3. Classes that share a prefix are candidates. Each is joined to the smallest class below its node, so that a node of any
+2. A class has ``trees`` label sequences of ``depth`` MinHash values. Only a hash of each tree's prefix is kept, which is
+   banding: ``forest_depth`` solves for the longest prefix at which a pair at the threshold shares one in at least one tree
+   with the target probability, before any data are seen.
+3. Classes that share a prefix are candidates. Each is joined to the smallest class of that prefix, so that a prefix of any
    size gives no more edges than it has members; components of those edges hold every candidate pair.
 4. Inside a component all pairs are verified by exact shingle sets. A component is cut into blocks of ``block`` classes and
    each pair of blocks is a group of its own, so that no task gets more than two blocks. Groups count links and return one

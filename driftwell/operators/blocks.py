@@ -3,21 +3,13 @@ recursions run as a scan over blocks."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from driftwell.sources.shared import saved
 
 
 def numbered(df: DataFrame, size: int = 4096) -> DataFrame:

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+from driftwell.sources.shared import new_folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +16,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the source has now, through a Parquet sink with its own checkpoint."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
+    spark, at = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

@@ -19,8 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    model = quality_rules.fit_docs(quality_rules.counts(docs.select("text")))
-    return quality_rules.judged(docs, model).where("kept").select(*COLUMNS)
+    return quality_rules.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.sources.shared import new_folder, saved, shared_folder, written  # noqa: F401
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,20 +30,6 @@ _RANDOM = np.random.default_rng(20_240_517).integers(1, 2**63, 256, dtype=np.uin
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where the session names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def held(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with those columns computed once a row: a filter on them stays above, where Catalyst would else repeat their expressions below."""
     rest = [c for c in df.columns if c not in columns]

@@ -1,26 +1,36 @@
 """DuckDB SQL of the queries that SQL can say."""
 
 
-def quality_rules(rounds: int = 25, trusted: float = 0.999, trust: int = 20) -> str:
-    """Counts, votes, and as many rounds of expectation-maximisation over vote patterns, each a pair of tables."""
+def quality_rules(rounds: int = 30) -> str:
+    """Counts, votes, and as many rounds of expectation-maximisation over vote patterns from four starts, each a pair of tables; then the likeliest."""
     votes = {
-        "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND n_words > 0"),
+        "word_length": ("2 * word_chars < 5 * n_words OR word_chars > 7 * n_words", "word_chars BETWEEN 3 * n_words AND 6 * n_words"),
         "symbols": ("20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+        "letters": ("100 * n_letters < 90 * word_chars", "100 * n_letters >= 94 * word_chars"),
+        "endings": ("10 * n_ended < 9 * n_lines", "n_ended = n_lines"),
         "lines": ("100 * n_dup_lines > 35 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
         "repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-        "capitals": ("100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 10 * word_chars"),
+        "variety": ("100 * n_distinct < 45 * n_words", "100 * n_distinct >= 60 * n_words"),
+        "lower": ("100 * n_lower < 70 * n_words", "100 * n_lower >= 84 * n_words"),
+        "capitals": ("100 * n_capitals > 20 * word_chars", "100 * n_capitals <= 6 * word_chars"),
     }
-    vote = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in votes.items())
+    vote = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in votes.items())
     on = lambda r, v, w: f"coalesce(sum(n * {w}) FILTER ({r} = {v}), 0)"
-    spoken = lambda r: f"(1 + coalesce(sum(n) FILTER ({r} <> 0), 0))"
-    rate = ", ".join(
-        f"({on(r, 1, 's')} + {trusted} * {trust} * {spoken(r)}) / ({on(r, 1, 's')} + {on(r, -1, 's')} + {trust} * {spoken(r)}) AS g_{r}, ({on(r, -1, '(1 - s)')} + 1) / ({on(r, 1, '(1 - s)')} + {on(r, -1, '(1 - s)')} + 2) AS b_{r}"
-        for r in votes
+    sums = ", ".join(f"{on(r, 1, 's')} + 1 AS gp_{r}, {on(r, -1, 's')} + 0.5 AS gn_{r}, {on(r, 1, '(1 - s)')} + 0.5 AS bp_{r}, {on(r, -1, '(1 - s)')} + 1 AS bn_{r}" for r in votes)
+    chance = lambda r: f"gp_{r} / (gp_{r} + gn_{r}) < bp_{r} / (bp_{r} + bn_{r})"
+    pooled = lambda r: f"(gp_{r} + bp_{r}) / (gp_{r} + gn_{r} + bp_{r} + bn_{r})"
+    rates = ", ".join(
+        f"CASE WHEN {chance(r)} THEN {pooled(r)} ELSE gp_{r} / (gp_{r} + gn_{r}) END AS g_{r}, CASE WHEN {chance(r)} THEN 1 - {pooled(r)} ELSE bn_{r} / (bp_{r} + bn_{r}) END AS b_{r}" for r in votes
     )
     odds = " + ".join(["ln(prior / (1 - prior))", *(f"CASE p.{r} WHEN 1 THEN ln(g_{r} / (1 - b_{r})) WHEN -1 THEN ln((1 - g_{r}) / b_{r}) ELSE 0 END" for r in votes)])
-    names = ", ".join(f"p.{r}" for r in votes)
+    bad = " + ".join(["ln(1 - prior)", *(f"CASE p.{r} WHEN 1 THEN ln(1 - b_{r}) WHEN -1 THEN ln(b_{r}) ELSE 0 END" for r in votes)])
+    own, names = ", ".join(votes), ", ".join(f"p.{r}" for r in votes)
+    count = lambda v: " + ".join(f"({r} = {v})::INT" for r in votes)
     steps = ", ".join(
-        f"m{k} AS MATERIALIZED (SELECT (sum(n * s) + 0.5) / (sum(n) + 1) AS prior, {rate} FROM p{k}), p{k + 1} AS MATERIALIZED (SELECT {names}, p.n, 1 / (1 + exp(-({odds}))) AS s FROM p{k} p, m{k})" for k in range(rounds)
+        f"""q{k} AS MATERIALIZED (SELECT begun, (sum(n * s) + 1) / (sum(n) + 2) AS prior, {sums} FROM p{k} GROUP BY begun),
+        m{k} AS MATERIALIZED (SELECT begun, prior, {rates} FROM q{k}),
+        p{k + 1} AS MATERIALIZED (SELECT {names}, p.begun, p.n, 1 / (1 + exp(-({odds}))) AS s{f", n * ({bad} + ln(1 + exp({odds}))) AS l" if k + 1 == rounds else ""} FROM p{k} p JOIN m{k} m ON p.begun = m.begun)"""
+        for k in range(rounds)
     )
     return rf"""
         WITH texts AS MATERIALIZED (
@@ -31,15 +41,19 @@ def quality_rules(rounds: int = 25, trusted: float = 0.999, trust: int = 20) ->
         grams AS (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, w[i], w[i + 1], w[i + 2]) AS often FROM places),
         covered AS (SELECT row_id, count(DISTINCT place) AS n FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS place FROM grams WHERE often > 1) GROUP BY 1),
         counted AS MATERIALIZED (
-            SELECT texts.row_id, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
-                len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+            SELECT texts.row_id, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                len(regexp_extract_all(t, '\p{{L}}')) AS n_letters, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Ll}}'))) AS n_lower, len(list_distinct(w)) AS n_distinct,
+                len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?][\x20\x09-\x0D]*$'))) AS n_ended, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
             FROM texts LEFT JOIN covered ON texts.row_id = covered.row_id
         ), voted AS MATERIALIZED (SELECT *, {vote} FROM counted),
-        p0 AS MATERIALIZED (SELECT {names.replace("p.", "")}, CAST(count(*) AS DOUBLE) AS n, CASE WHEN least({names.replace("p.", "")}) = -1 THEN 0.1 ELSE 0.9 END AS s FROM voted GROUP BY ALL),
-        {steps}
+        patterns AS MATERIALIZED (SELECT {own}, CAST(count(*) AS DOUBLE) AS n, {count(-1)} AS against, {count(1)} AS pro FROM voted GROUP BY ALL),
+        p0 AS MATERIALIZED (
+            SELECT {own}, begun, n, CASE WHEN begun = 4 THEN (pro + 0.5) / (pro + against + 1) WHEN against >= begun THEN 0.1 ELSE 0.9 END AS s FROM patterns, (SELECT unnest([1, 2, 3, 4]) AS begun)
+        ), {steps},
+        best AS MATERIALIZED (SELECT begun FROM (SELECT begun, sum(l) AS l FROM p{rounds} GROUP BY 1) ORDER BY round(l / 1e-6) DESC, begun LIMIT 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND s >= 0.5 AS kept
-        FROM voted JOIN p{rounds} p USING ({names.replace("p.", "")})
+        FROM voted JOIN p{rounds} p USING ({own}) JOIN best USING (begun)
     """
 
 

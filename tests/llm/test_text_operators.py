@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -42,32 +43,43 @@ def test_counts_equal_brute_force(spark, odd):
         often = collections.Counter(grams)
         lines = [x for x in (t or "").split("\n") if words(x)]
         covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
-        return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+        letters, lower, ended = sum(unicodedata.category(c)[0] == "L" for c in t or ""), sum(unicodedata.category(x[0]) == "Ll" for x in w), sum(x.rstrip(" \t\x0b\x0c\r")[-1] in ".!?" for x in lines)
+        return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), letters, lower, ended, len(set(w)), len(lines)
 
     for r in quality_rules.counts(df).collect():
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want(r.text), r.doc_id
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_letters, r.n_lower, r.n_ended, r.n_distinct, r.n_lines) == want(r.text), r.doc_id
 
 
-def test_label_model_finds_rules_that_are_right():
+@pytest.mark.parametrize("wrong", [0.05, 0.1, 0.2])
+def test_a_rule_that_is_often_wrong_gets_that_accuracy_and_loses_no_clean_text(wrong):
+    """Four rules see junk of either kind, three at a time; the fifth sees half of it, and speaks against clean texts at random."""
     rng = random.Random(2)
     truth, patterns = [], collections.Counter()
-    for _ in range(4000):
+    for _ in range(20_000):
         bad = rng.random() < 0.15
-        kind = rng.randrange(3)
-        p = tuple((-1 if bad and kind == k else 1 if rng.random() < 0.95 else 0) if rng.random() > 0.001 else -1 for k in range(3))
-        patterns[p] += 1
-        truth.append((p, bad))
-    model = quality_rules.fit(sorted(patterns.items()), ("a", "b", "c"))
-    odds = {p: math.log(model.prior / (1 - model.prior)) + sum(math.log(g / (1 - b)) if v == 1 else math.log((1 - g) / b) if v == -1 else 0 for v, (g, b) in zip(p, model.right.values())) for p in patterns}
-    assert sum((odds[p] < 0) == bad for p, bad in truth) / len(truth) > 0.98
+        quiet = rng.randrange(4)
+        p = [(-1 if k != quiet and rng.random() < 0.95 else 1) if bad else (1 if rng.random() < 0.97 else 0) for k in range(4)]
+        p.append(-1 if rng.random() < (0.5 if bad else wrong) else 1)
+        patterns[tuple(p)] += 1
+        truth.append((tuple(p), bad))
+    model = quality_rules.fit(sorted(patterns.items()), tuple("abcde"))
+    assert model.right["e"][0] == pytest.approx(1 - wrong, abs=0.02)
+    assert all(model.odds(p) > 0 for p, bad in truth if not bad)
+    assert sum(model.odds(p) < 0 for p, bad in truth if bad) > 0.98 * sum(bad for _, bad in truth)
+    assert any(-1 in p and model.odds(p) > 0 for p in patterns)
+
+
+def test_label_model_without_texts():
+    model = quality_rules.fit([])
+    assert model.prior == 0.5 and model.odds((1,) * len(quality_rules.RULES)) == 0
 
 
 def test_rules_on_odd_and_empty_tables(spark, odd):
     for df in (odd, odd.limit(0)):
-        model = quality_rules.fit_docs(quality_rules.counts(df))
-        out = quality_rules.judged(df.withColumnsRenamed({"lang": "t1"}), model)
+        out = quality_rules.judged(df.withColumnsRenamed({"lang": "n_words", "source": "t1"}))
         assert out.where("kept and base_failed").count() == 0
         assert out.count() == df.count()
+        assert out.where("text is null and n_words <> 0").count() == 0
 
 
 def dedup(rows, threshold):

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -143,33 +144,92 @@ def corpus(n=300):
     return rows + [(d, t) for d, t, *_ in ODD]
 
 
-@pytest.mark.parametrize("size", [3_000, 10_000_000])
-def test_base_scores_equal_brute_force_and_the_tree_beats_them(spark, size):
-    import zlib
-
-    rows = corpus()
+def tokens(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\n"]
+
+
+def left_out(d):
+    return d is None or zlib.crc32(str(d).encode()) % 5 == 1
+
+
+def brute_tree(rows, least, gain):
+    """Scores by a tree of dictionaries over tuples of words, whole contexts counted anew on each level."""
+    train = [tokens(t) for d, t in rows if not left_out(d)]
+    c = collections.Counter(w for t in train for w in t)
+    room = sum(c.values()) + 0.5 * (len(c) + 1)
+    kept, discount, deepest = {(): None}, suffix_tree.DISCOUNT, 0
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 0.5) / room
+        below = float(np.float32(p(context[1:], w)))
+        n = kept[context]
+        total = sum(n.values())
+        return max(n[w] - discount, 0) / total + discount * len(n) / total * below
+
+    def before(t, i, k):
+        return tuple(["\t", *t][i + 1 - k : i + 1])
+
+    k = 1
+    while True:
+        found = collections.defaultdict(collections.Counter)
+        for t in train:
+            for i, w in enumerate(t):
+                if i + 1 >= k and before(t, i, k)[1:] in kept:
+                    found[before(t, i, k)][w] += 1
+        new = {}
+        for context, n in found.items():
+            total, g = sum(n.values()), math.lgamma
+            if total >= least:
+                cost = {w: round(-math.log(float(np.float32(p(context[1:], w)))) * suffix_tree.STEPS) / suffix_tree.STEPS for w in n}
+                won = sum(g(x - discount) - g(1 - discount) + (x - 1) * cost[w] for w, x in n.items()) + (len(n) - 1) * math.log(discount) + g(len(n)) - g(total)
+                if won > gain:
+                    new[context] = n
+        if not new:
+            break
+        kept.update(new)
+        k += 1
+    out = []
+    for _, text in rows:
+        t, total = tokens(text), 0.0
+        for i, w in enumerate(t):
+            j = 0
+            while j <= i and before(t, i, j + 1) in kept:
+                j += 1
+            total += math.log10(p(before(t, i, j), w))
+        out.append(total)
+    return out, k
+
+
+@pytest.mark.parametrize("size", [3_000, 40_000, 10_000_000])
+def test_scores_equal_brute_force_for_any_size_of_blocks(spark, size):
+    rows = corpus() + [(400 + k, "one two three four five six seven " * 3) for k in range(30)]
     got = suffix_tree.scored(spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, part string, block int"), held(), block_bytes=size).collect()
-    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    out = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 == 1
-    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [0]
-    c = collections.Counter(w for d, t in rows if not out(d) for w in tokens(t))
+    c = collections.Counter(w for d, t in rows if not left_out(d) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    want = sorted((str(d), out(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for d, t in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    there = [r for r in got if r.held_out]
-    assert sum(r.score for r in there) > sum(r.base_score for r in there) and all(r.score < 0 for r in got)
+    scores, depth = brute_tree(rows, 3, 2.0)
+    assert depth >= 3
+    key = lambda r: (str(r[0]), r[2], r[5])
+    base = [sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)) for _, t in rows]
+    want = sorted(((d, left_out(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, b, s) for (d, t), b, s in zip(rows, base, scores)), key=key)
+    found = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    assert [x[:5] for x in found] == [x[:5] for x in want]
+    assert [x[5:] for x in found] == [pytest.approx(x[5:], rel=1e-6) for x in want]
+    there = [x for x in found if x[1]]
+    assert sum(x[6] for x in there) > sum(x[5] for x in there)
+
+
+def test_probabilities_of_a_context_add_up_to_one():
+    rng = np.random.default_rng(2)
+    suffix = rng.dirichlet(np.ones(50))
+    counts = rng.integers(0, 6, 50).astype(float)
+    assert suffix_tree.smoothed(counts, counts.sum(), (counts > 0).sum(), suffix).sum() == pytest.approx(1.0)
 
 
-def test_the_trees_probabilities_add_up_to_one_at_most():
-    rng = np.random.default_rng(2)
-    group = np.sort(rng.integers(0, 20, 400))
-    counts = rng.integers(0, 6, 400).astype(float)
-    suffix = rng.dirichlet(np.ones(400))
-    a, b = suffix_tree._smoothed(counts, group, suffix, 3, -1e9)
-    for g in range(20):
-        own = group == g
-        if counts[own].sum() >= 3:
-            assert a[own].sum() + b[own][0] == pytest.approx(1.0)
+def test_ids_of_any_type(spark):
+    got = suffix_tree.scored(spark.createDataFrame([("a", "x y"), ("b", None), (None, "x")], "doc_id string, text string"), held())
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["None", "a", "b"]
 
 
 def test_scores_of_an_empty_table(spark):

@@ -1,7 +1,10 @@
 """The near-duplicate join against all pairs."""
 
+import collections
+import os
 import random
 
+import numpy as np
 import pytest
 from driftwell.llm import jaccard_join as jj
 
@@ -76,3 +79,65 @@ def test_depth_shortens_until_the_recall_is_met():
         d = jj.forest_depth(trees, 8, 0.8, 0.999)
         assert 1 - (1 - 0.8**d) ** trees >= 0.999 or d == 1
         assert d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** trees < 0.999
+
+
+def test_sequences_share_prefixes_as_labels_do():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, 40, dtype=np.uint64)) for _ in range(3)]
+    sets.append(np.unique(np.append(sets[0][:-1], np.uint64(7))))
+    found = jj.labels(sets, 8, 10)
+    key, rest = jj.sequences(found, 6)
+    for i in range(4):
+        for j in range(4):
+            for t in range(8):
+                assert (key[i, t] == key[j, t]) == (found[i, t, :6] == found[j, t, :6]).all()
+                for d in range(7, 11):
+                    shift = np.uint64(16 * (10 - d))
+                    assert (rest[i, t] >> shift == rest[j, t] >> shift) == (found[i, t, 6:d] == found[j, t, 6:d]).all()
+    assert 0.5 < (found[0] == found[3]).mean() < 1
+
+
+def test_a_dense_group_stops_early_and_keeps_its_links(spark):
+    """Of 400 near copies each has links enough; their recall is measured and the shorter prefixes are left to the others."""
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    base = rng.choices(words, k=200)
+    rows = []
+    for k in range(400):
+        own = list(base)
+        own[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(500, " ".join(rng.choices(words, k=60))), (501, " ".join(rng.choices(words, k=60)))]
+    found = jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+    m, p = 399, float(jj._met(np.float64(0.8), 10, 32))
+    assert (m + p) / (m / jj._met(np.float64(0.93), 10, 32) + 1) >= 0.9999  # so many links of such similarity end a class's search
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_recall_on_the_documents_table(spark):
+    """All pairs of different texts at 0.8 or more, found by shared windows, are in one class, and no links are missing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(t, []).append(d)
+    sets = {t: windows(t) for t in texts}
+    by = collections.defaultdict(list)
+    for t, s in sets.items():
+        for w in s:
+            by[w].append(t)
+    shared = collections.Counter()
+    for ts in by.values():
+        for i, a in enumerate(ts):
+            for b in ts[:i]:
+                shared[(a, b)] += 1
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    links = collections.Counter()
+    for a, b in pairs:
+        links[a] += len(texts[b])
+        links[b] += len(texts[a])
+    got = {r.doc_id: r for r in jj.near_duplicates(docs).collect()}
+    assert pairs
+    assert all(got[texts[a][0]].class_id == got[texts[b][0]].class_id for a, b in pairs)
+    assert all(got[d].n_links == links[t] + len(ds) - 1 for t, ds in texts.items() for d in ds)

@@ -1,26 +1,28 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame expressions only.
 
 An item with n distinct shingles is contained in a text to the degree c if a share c of them is in the text. Items are
-partitioned by n. A partition's MinHash sketch is the m = n - ceil(t n) + 1 least hashes of an item: a text that contains a
-share t of the item misses n - ceil(t n) shingles at most, so it has one of the sketch at least. Probing texts of any length
-with sketches therefore loses no match, and the length of a text plays no part. A hit is verified by the exact share.
+partitioned by size: a partition has the items of up to ``top`` shingles, a power of two, and more than half of that. Its MinHash
+signatures are the ``width`` least hashes of an item's shingles, width = top - ceil(t top) + 1. A text that contains a share t of an item
+misses n - ceil(t n) of its shingles at most, which is less than width, so it has one of the signature at least: searching texts
+of any length by signatures loses no match.
 
-Texts keep their shingle hashes in one array, so sketches are probed, and matches verified, in the same row: nothing of a
-text is shuffled. Items come in blocks of ``block`` sketch hashes at most; each block is one pass over the texts, so what goes
-to the tasks has a fixed bound however long the benchmark is.
+1. The signatures of all partitions are one table (hash, item). Each text's window hashes meet it in a join: by broadcast where the
+   table has ``broadcast_rows`` rows at most, which is counted first, and by a shuffle beyond. What comes out is (text, item), once each.
+2. Only texts that were found are read again; each is verified by the exact share of each of its items' shingles.
+
+Two scans of the texts, however long the benchmark is. Texts are named by a 128-bit hash, so ids may be null, repeated or of any type.
 
 Words are cut at white space and lower-cased. Items of fewer than ``size`` words are one shingle of all their words, looked
-for among windows of that length. Items without words match nothing; null and empty texts contain nothing.
+for among windows of that length. Items without words match nothing; null and empty texts contain nothing. Each row of
+``docs`` and each row of ``items`` that match give a row, repeated ones too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import SPACE, held
+from driftwell.llm.common import SPACE, held, saved
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -31,79 +33,75 @@ def words(text: Column) -> Column:
     return F.when(ink == "", F.array().cast("array<string>")).otherwise(F.split(ink, SPACE))
 
 
-def window_hashes(column: str, size: int) -> Column:
-    """Hashes of all windows of ``size`` words of an array column, in order."""
-    window = lambda w, i: F.xxhash64(w, *(F.get(column, i + k) for k in range(1, size)))
-    n = F.size(column)
-    return F.when(n >= size, F.transform(F.slice(column, 1, n - (size - 1)), window)).otherwise(F.array().cast("array<bigint>"))
-
-
-def sketches(items: DataFrame, id: str = "item_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(item, width, shingles, sketch) of each item with words; width is the words of a shingle."""
+def signatures(items: DataFrame, id: str = "item_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(item, words, top, shingles, signature) of each item with words; words of a shingle, and the partition's largest size."""
     df = items.select(F.col(id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(size))
-    by_width = F.array(*(window_hashes("w", k) for k in range(1, size + 1)))
-    df = df.select("item", width.alias("width"), F.sort_array(F.array_distinct(F.element_at(by_width, width))).alias("shingles"))
-    n = F.size("shingles")
-    return df.withColumn("sketch", F.slice("shingles", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1))
+    by_width = F.array(*(_window_hashes_of(k)(F.col("w")) for k in range(1, size + 1)))
+    df = df.select("item", width.alias("words"), F.sort_array(F.array_distinct(F.element_at(by_width, width))).alias("shingles"))
+    df = df.withColumn("top", F.pow(F.lit(2.0), F.ceil(F.log2(F.size("shingles")) - 1e-9)).cast("int"))
+    return df.withColumn("signature", F.slice("shingles", 1, F.col("top") - F.ceil(F.col("top") * F.lit(threshold) - 1e-9).cast("int") + 1))
+
+
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumns({"_t1": F.xxhash64(F.col(text).cast("string")), "_t2": F.xxhash64(F.lit(1), F.col(text).cast("string"))})
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has so many rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _found(docs: DataFrame, text: str, items: DataFrame, size: int, threshold: float, broadcast_rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The items with their numbers, (t1, t2, rows) of texts and the items that they may contain, and the widths of shingles."""
+    items = saved(items.withColumn("row", F.monotonically_increasing_id()))
+    widths = sorted(r["words"] for r in items.select("words").distinct().collect())  # ``size`` numbers at most
+    hashes = _small(items.select("row", F.explode("signature").alias("hash")), broadcast_rows)
+    texts = _named(docs.select(F.col(text).cast("string").alias("text")), "text").select("_t1", "_t2", F.explode(_windows(F.col("text"), widths)).alias("hash"))
+    pairs = texts.join(hashes, "hash").select("_t1", "_t2", "row").distinct()
+    return items, saved(pairs.groupBy("_t1", "_t2").agg(F.collect_list("row").alias("_rows"))), widths
+
+
+def _windows(text: Column, widths: list[int]) -> Column:
+    """Window hashes of a text, of all those widths; words are cut once."""
+    hashes = [_window_hashes_of(k) for k in widths]
+    return F.flatten(F.transform(F.array(words(text)), lambda w: F.concat(*(h(w) for h in hashes)))) if widths else F.array().cast("array<bigint>")
+
 
+def _window_hashes_of(size: int):
+    def run(w: Column) -> Column:
+        n = F.size(w)
+        window = lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))
+        return F.when(n >= size, F.transform(F.slice(w, 1, n - (size - 1)), window)).otherwise(F.array().cast("array<bigint>"))
 
-def _literal(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    return run
 
 
-def _blocks(items: DataFrame, block: int) -> Iterator[list]:
-    """Items in order, in lists of ``block`` shingles at most (or one item); the driver holds one list at a time."""
-    held, total = [], 0
-    for row in items.orderBy("width", F.size("shingles"), "item").toLocalIterator():
-        if held and total + len(row.shingles) > block:
-            yield held
-            held, total = [], 0
-        held.append(row)
-        total += len(row.shingles)
-    if held:
-        yield held
+def _verified(docs: DataFrame, text: str, items: DataFrame, found: DataFrame, widths: list[int], threshold: float, broadcast_rows: int) -> DataFrame:
+    """(columns of docs) with item, n_shared and n_item, of each row and item whose share is large enough."""
+    met = _named(docs, text).join(_small(found, broadcast_rows), ["_t1", "_t2"]).withColumn("_grams", F.array_distinct(_windows(F.col(text).cast("string"), widths)))
+    met = held(met, "_grams").withColumn("row", F.explode("_rows")).drop("_rows")
+    items = _small(items.select("row", "item", "shingles"), broadcast_rows // 100)  # items have many shingles
+    n, shared = F.size("shingles"), F.size(F.array_intersect("_grams", "shingles"))
+    met = met.join(items, "row").withColumns({"n_shared": shared, "n_item": n})
+    return met.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).drop("_grams", "shingles", "row")
 
 
-def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, block: int = 20_000) -> DataFrame:
+def contained(
+    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_rows: int = 1_000_000
+) -> DataFrame:
     """(id, item id, n_shared, n_item, containment) of each row of ``docs`` and item that it contains to ``threshold`` at least."""
-    spark = docs.sparkSession
-    out = None
-    for rows in _blocks(sketches(items, item_id, item_text, size, threshold), block):
-        found = _hits(docs.select(F.col(id).alias("doc"), F.col(text).alias("text")), rows, size, threshold, spark)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.select(F.col(id).alias("doc"), F.lit(None).alias("item"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
-    kind = items.schema[item_id].dataType
-    return out.select(F.col("doc").alias(id), F.col("item").cast(kind).alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
-
-
-def _probed(docs: DataFrame, rows: list, size: int) -> DataFrame:
-    """docs with _grams, its distinct window hashes of the widths that the items have, and _met, those in a sketch."""
-    widths = sorted({r.width for r in rows})
-    probe = sorted({h for r in rows for h in r.sketch})
-    df = docs.withColumn("_words", words(F.col("text")))
-    grams = F.concat(*(window_hashes("_words", k) for k in widths)) if len(widths) > 1 else window_hashes("_words", widths[0])
-    df = df.withColumn("_grams", grams).drop("_words")
-    return held(df.withColumn("_met", F.array_intersect("_grams", _literal(probe))), "_grams", "_met")
-
-
-def _hits(docs: DataFrame, rows: list, size: int, threshold: float, spark) -> DataFrame:
-    items = spark.createDataFrame([(r.item, r.shingles, list(r.sketch)) for r in rows], "item long, shingles array<long>, sketch array<long>")
-    by_hash = F.broadcast(items.select("item", "shingles", F.explode("sketch").alias("hash")))  # a block's bound
-    met = _probed(docs, rows, size).where(F.size("_met") > 0).select("doc", "_grams", F.explode("_met").alias("hash"))
-    tried = met.join(by_hash, "hash").select("doc", "item", F.size("shingles").alias("n_item"), F.size(F.array_intersect("_grams", "shingles")).alias("n_shared"), F.hash("_grams").alias("_g"))
-    return tried.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).distinct().select("doc", "item", "n_shared", "n_item")
-
-
-def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, block: int = 20_000) -> DataFrame:
-    """``docs`` without the rows that contain an item; decided row by row, so ids may be null or repeated."""
-    names = docs.columns
-    out = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").cast("string").alias("text"))
-    for rows in _blocks(sketches(items, item_id, item_text, size, threshold), block):
-        # every item's shingles stand in one literal: a sequence of (sketch, shingles) that a row's few hits are tried on
-        tests = F.from_json(F.lit(str([{"s": list(map(str, r.sketch)), "h": list(map(str, r.shingles))} for r in rows]).replace("'", '"')), "array<struct<s:array<string>,h:array<string>>>")
-        tests = F.transform(tests, lambda t: F.struct(t["s"].cast("array<bigint>").alias("s"), t["h"].cast("array<bigint>").alias("h")))
-        bad = F.exists(tests, lambda t: F.arrays_overlap(F.col("_met"), t["s"]) & (F.size(F.array_intersect(F.col("_grams"), t["h"])) >= F.ceil(F.size(t["h"]) * F.lit(threshold) - 1e-9)))
-        out = _probed(out, rows, size).where(F.when(F.size("_met") > 0, ~bad).otherwise(True)).drop("_grams", "_met")
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    docs = docs.select(F.col(id).alias("doc"), F.col(text).cast("string").alias("text"))
+    items, found, widths = _found(docs, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_rows)
+    out = _verified(docs, "text", items, found, widths, threshold, broadcast_rows)
+    return out.select(F.col("doc").alias(id), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """``docs`` without the rows that contain an item; decided by text, so ids may be null or repeated."""
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    items, found, widths = _found(texts, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_rows)
+    bad = saved(_verified(texts, "text", items, found, widths, threshold, broadcast_rows).select("_t1", "_t2").distinct())
+    return _named(docs, text).join(_small(bad, broadcast_rows), ["_t1", "_t2"], "left_anti").drop("_t1", "_t2")

@@ -81,13 +81,16 @@ ORACLE_SQL = {
             UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark
         ), worded AS (
             SELECT kind, row_id, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+        ), widths AS (
+            SELECT DISTINCT least(5, len(w)) AS width FROM worded WHERE kind = 'b' AND len(w) > 0
         ), grams AS (
-            SELECT DISTINCT kind, row_id, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram FROM worded WHERE len(w) >= 5
+            SELECT DISTINCT kind, row_id, id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS gram
+            FROM worded JOIN widths ON len(w) >= width AND (kind = 'd' OR width = least(5, len(w)))
         ), items AS (
-            SELECT row_id, id, gram, count(*) OVER (PARTITION BY row_id) AS n_item FROM grams WHERE kind = 'b'
+            SELECT row_id, id, width, gram, count(*) OVER (PARTITION BY row_id) AS n_item FROM grams WHERE kind = 'b'
         )
         SELECT d.id AS doc_id, i.id AS item_id, count(*)::INT AS n_shared, min(i.n_item)::INT AS n_item, count(*) / min(i.n_item) AS containment
-        FROM grams d JOIN items i ON d.gram = i.gram
+        FROM grams d JOIN items i ON d.gram = i.gram AND d.width = i.width
         WHERE d.kind = 'd' GROUP BY d.row_id, d.id, i.row_id, i.id HAVING count(*) >= ceil(0.8 * min(i.n_item) - 1e-9)
     """,
     "op8_fixity_audit": r"""

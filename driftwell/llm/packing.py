@@ -9,13 +9,16 @@ and each piece looks up its placement.
 Numbering deals the n pieces of a length to groups of about ``group`` or, if that is more, sqrt(n) pieces by hash, numbers within the groups, and adds what
 the groups before hold; copies of one document, all of one length, therefore spread over many tasks.
 
-Null text is empty; an empty document is the end token alone. Rows that are repeated are packed as often.
+Null text is empty; an empty document is the end token alone. Rows that are repeated are packed as often. Ids are of any type that
+a string can be cast to.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -105,47 +108,96 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 def _cut(vocabulary: str, end: int, capacity: int):
+    last = np.uint32(end).astype("<u4").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = batch_encoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                rows: list[tuple] = []
-                for i, found in enumerate(encode([text or "" for text in texts.slice(a, b - a).to_pylist()]), a):
-                    tokens = np.append(np.asarray(found.ids, np.uint32), np.uint32(end)).astype("<u4")
-                    doc, at, head = ids[i].as_py(), 0, len(tokens) % capacity or capacity
-                    for k, stop in enumerate(range(head, len(tokens) + 1, capacity)):
-                        rows.append((doc, k, at, stop - at, zlib.crc32(tokens[at:stop].tobytes())))
+                which, rows = [], []
+                for i, text in enumerate(texts.slice(a, b - a).to_pylist(), a):
+                    tokens = (encode(text) if text else b"") + last
+                    n = len(tokens) // 4
+                    at = 0
+                    for k, stop in enumerate(range(n % capacity or capacity, n + 1, capacity)):
+                        which.append(i)
+                        rows.append((k, at, stop - at, zlib.crc32(tokens[4 * at : 4 * stop])))
                         at = stop
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
+#: Fixed values of byte-level BPE: the pattern that cuts texts before merges, and the bytes that stand for themselves; others are named from 256 on.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+class _Kept(dict):
+    """A table that makes what it lacks, and starts anew at ``most`` entries."""
+
+    def __init__(self, make, most: int = 300_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 _ENCODERS: dict = {}
 
 
-def batch_encoder(vocabulary: str):
-    """Encodings of texts by a vocabulary of tokenizers, with its added tokens, kept for the process. A task has one core, so its texts are not spread over threads."""
+def encoder(vocabulary: str):
+    """A function from a text to its ids by that vocabulary of tokenizers, added tokens included, as little-endian 32-bit numbers; kept for the process.
+
+    A byte-level BPE merges inside the parts that its pattern cuts a text into, so ids of parts, made by the vocabulary's model, are kept by
+    part, and those of whole words by word. Texts that hold an added token, letters beyond Latin ones (where libraries' tables of
+    letters could differ) or vocabularies of any other make go to the tokenizer as they are.
+    """
     if vocabulary not in _ENCODERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        _ENCODERS[vocabulary] = partial(Tokenizer.from_file(vocabulary).encode_batch_fast, add_special_tokens=False)
+        with open(vocabulary, encoding="utf-8") as file:
+            made = json.load(file)
+        tokenizer = Tokenizer.from_file(vocabulary)
+        cut = made.get("pre_tokenizer") or {}
+        plain = made["model"].get("type") == "BPE" and not any(made["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain &= not made.get("normalizer") and not made.get("post_processor") and not made.get("truncation") and not made.get("padding")
+        plain &= cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        _ENCODERS[vocabulary] = _by_parts(tokenizer, [t["content"] for t in made.get("added_tokens") or []]) if plain else partial(_whole, tokenizer)
     return _ENCODERS[vocabulary]
 
 
-def encoder(ranks: str, pattern: str):
-    """Token ids of a text by a rank file alone: no added tokens, and very long runs of spaces fail. Packing does not use it."""
-    if (ranks, pattern) not in _ENCODERS:
-        import base64
+def _whole(tokenizer, text: str) -> bytes:
+    return np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+
+def _by_parts(tokenizer, added: list[str]):
+    import regex
+
+    cut, model = regex.compile(BYTE_LEVEL), tokenizer.model
+    names = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+    part = _Kept(lambda x: np.array([t.id for t in model.tokenize(x.encode().decode("latin1").translate(names))], "<u4").tobytes())
+    parts = lambda text: b"".join(map(part.__getitem__, cut.findall(text)))
+    word = _Kept(lambda x: parts(" " + x))
+    whole = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, added)]))
+    # a space that a space or the end follows belongs to a run of white space, which is cut by what stands around it
+    runs = re.compile(r" (?:\s|$)")
 
-        import tiktoken
+    def encode(text: str) -> bytes:
+        if whole.search(text):
+            return _whole(tokenizer, text)
+        if runs.search(text):
+            return parts(text)
+        first, *rest = text.split(" ")
+        return parts(first) + b"".join(map(word.__getitem__, rest))
 
-        with open(ranks, "rb") as lines:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[ranks, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-    return _ENCODERS[ranks, pattern]
+    return encode
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = 2, capacity: int = 1024) -> DataFrame:
@@ -154,7 +206,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary:
 
     small_batches(docs.sparkSession)
     run = _cut(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), end, capacity)
-    return docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id).cast("string").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc string, piece int, start long, length long, ids_crc32 long").withColumn("doc", F.col("doc").cast(docs.schema[id].dataType))
 
 
 def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = 2, capacity: int = 1024, group: int = 500) -> DataFrame:

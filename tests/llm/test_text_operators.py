@@ -228,7 +228,6 @@ def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.packed(odd).collect()
     texts = {d: x for d, x, *_ in ODD}
     by = collections.defaultdict(list)
@@ -249,18 +248,30 @@ def test_packing_round_trip(spark, odd):
     assert packing.packed(odd.limit(0)).count() == 0
 
 
-def test_tiktoken_ids_are_those_of_tokenizers(spark):
+def test_ids_are_those_of_tokenizers():
+    import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.encoder(path)
+    ids = lambda x: np.frombuffer(encode(x), "<u4").tolist()
     rng = random.Random(9)
-    for _ in range(300):
-        x = "".join(rng.choice("ab 'sS\n\té漢😀#1<|endoftext|>") for _ in range(rng.randint(0, 40)))
-        assert encode(x) == t.encode(x, add_special_tokens=False).ids
-    assert encode("<|endoftext|>") == t.encode("<|endoftext|>", add_special_tokens=False).ids
+    texts = ["".join(rng.choice(["a", "b", " ", " ", "'s", "'S", "\n", "\t", "é", "ß", "漢", "😀", "#", "1", "<|endoftext|>", "\x1c", "\x85", "\xa0", "²", "ŉ", "  ", " \n"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    latin = [chr(k) for k in range(0x250)]
+    texts += [f"a{x} {x}b {x} 1{x}'s{x}{x}" for x in latin] + ["".join(rng.choices(latin + [" "] * 200, k=40)) for _ in range(2000)]
+    texts += ["plain words, and more.\nThe end ", " x", "", "x" * 100_000, "don't  stop", "a\n b", "a\n \nb"]
+    assert [ids(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_of_other_vocabularies():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for x in ("Some words here", "<|startoftext|> x"):
+        assert np.frombuffer(packing.encoder(path)(x), "<u4").tolist() == Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids
 
 
 def test_packing_keeps_added_tokens_and_long_runs_of_spaces(spark):

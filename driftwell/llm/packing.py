@@ -19,7 +19,9 @@ import json
 import math
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -131,13 +133,15 @@ def _cut(vocabulary: str, end: int, capacity: int):
 
 #: Fixed values of byte-level BPE: the pattern that cuts texts before merges, and the bytes that stand for themselves; others are named from 256 on.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that end words, each a part of its own after a letter.
+MARKS = frozenset(".,;:?!")
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 class _Kept(dict):
     """A table that makes what it lacks, and starts anew at ``most`` entries."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 400_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -168,6 +172,7 @@ def encoder(vocabulary: str):
         cut = made.get("pre_tokenizer") or {}
         plain = made["model"].get("type") == "BPE" and not any(made["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         plain &= not made.get("normalizer") and not made.get("post_processor") and not made.get("truncation") and not made.get("padding")
+        plain &= sys.byteorder == "little" and array("I").itemsize == 4
         plain &= cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
         _ENCODERS[vocabulary] = _by_parts(tokenizer, [t["content"] for t in made.get("added_tokens") or []]) if plain else partial(_whole, tokenizer)
     return _ENCODERS[vocabulary]
@@ -182,9 +187,21 @@ def _by_parts(tokenizer, added: list[str]):
 
     cut, model = regex.compile(BYTE_LEVEL), tokenizer.model
     names = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
-    part = _Kept(lambda x: np.array([t.id for t in model.tokenize(x.encode().decode("latin1").translate(names))], "<u4").tobytes())
+    space = names[32]
+
+    def merged(x: str) -> bytes:
+        name = space + x[1:] if x[0] == " " and x.isascii() and x[1:].isalpha() else x.encode().decode("latin1").translate(names)
+        return array("I", [t.id for t in model.tokenize(name)]).tobytes()
+
+    def of_word(x: str) -> bytes:
+        if x.isalpha():  # one part
+            return merged(" " + x)
+        if x[-1:] in MARKS and x[:-1].isalpha():
+            return word[x[:-1]] + part[x[-1]]
+        return parts(" " + x)
+
+    part, word = _Kept(merged), _Kept(of_word)
     parts = lambda text: b"".join(map(part.__getitem__, cut.findall(text)))
-    word = _Kept(lambda x: parts(" " + x))
     whole = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, added)]))
     # a space that a space or the end follows belongs to a run of white space, which is cut by what stands around it
     runs = re.compile(r" (?:\s|$)")

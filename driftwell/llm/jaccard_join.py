@@ -87,6 +87,15 @@ def _signed(size: int, trees: int, deepest: int, least: int):
     return run
 
 
+#: Edges of a task, of tables of edges that are small against the number of partitions.
+EDGES = 100_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as that number of rows needs, so that small tables don't make a file for each partition."""
+    return df.coalesce(max(1, -(-rows // EDGES)))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of all ends of ``edges`` (u, v): root is the smallest id that a path of edges reaches.
 
@@ -95,12 +104,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u"))
+        both = e.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        near = both.join(least, "a")
         if large:
-            return near.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        hops = near.where("b < a").select(F.explode(F.array(F.struct(F.col("b").alias("u"), F.col("m").alias("v")), F.struct(F.col("a").alias("u"), F.col("m").alias("v")))).alias("e"))
+            return both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v")
+        hops = both.where("b < a").join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("u"), F.col("m").alias("v")), F.struct(F.col("a").alias("u"), F.col("m").alias("v")))).alias("e"))
         return hops.select("e.u", "e.v").where("u <> v").distinct()
 
     def mark(e: DataFrame) -> tuple:
@@ -108,15 +116,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = saved(edges.where("u <> v").distinct())
     before = mark(edges)
-    for _ in range(rounds):
-        edges = saved(star(star(edges, True), False))
+    edges = _few(edges, before[0])
+    for _ in range(rounds if before[0] else 0):
+        edges = saved(_few(star(star(edges, True), False), before[0]))
         now = mark(edges)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("root")), F.struct(F.col("v").alias("id"), F.col("v").alias("root")))).alias("e")).select("e.id", "e.root").distinct()
 
 
 def _met(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:

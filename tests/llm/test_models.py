@@ -105,7 +105,7 @@ def test_audit_locates_every_difference(spark):
     second = spark.createDataFrame(changed, first.schema)
     record = lambda df: df.select("page_id", fixity.warc_record("page_id", "url", "html").alias("record"))
     a, b = record(first), record(second)
-    got = {r.page_id: r for r in fixity.audit(a, b, fanout=4).collect()}
+    got = {r.page_id: r for r in fixity.audit(a, b).collect()}
     assert {k: r.kind for k, r in got.items()} == {30: "changed", 60: "missing", 897: "missing", 4: "added"}
 
     def places(df):
@@ -129,6 +129,34 @@ def test_audit_locates_every_difference(spark):
     assert fixity.audit(a, twin).count() == 0
 
 
+def test_audit_of_keys_of_any_range_and_type(spark):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**63 - 1]
+    rows = [(k, f"r{k}") for k in ends]
+    df = lambda rows, kind="long": spark.createDataFrame(rows, f"page_id {kind}, record string")
+    got = fixity.audit(df(rows), df([(k, r + "!" if k in (ends[0], ends[-1]) else r) for k, r in rows if k != -1])).collect()
+    at, places = 0, {}
+    for k, r in rows:
+        places[k] = at
+        at += len(r)
+    assert {(r.page_id, r.kind, r.first_offset) for r in got} == {(ends[0], "changed", 0), (-1, "missing", places[-1]), (ends[-1], "changed", places[ends[-1]])}
+    names = [("a", "x"), ("b", None), (None, "y"), ("c", "z")]
+    got = fixity.audit(df(names, "string"), df([("a", "x"), ("b", "w"), ("c", "z")], "string")).collect()
+    assert {(r.page_id, r.kind) for r in got} == {("b", "changed"), (None, "missing")}
+    assert {r.kind for r in fixity.audit(df([(5, "x")]), df([(5, "y")])).collect()} == {"changed"}
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    pages = [(1, "http://a/", "<p>one</p>\r\n\r\nmore"), (2, None, ""), (None, "http://c/é", "é\n" * 50), (4, "http://d/", "\r\n\r\n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", fixity.warc_record("page_id", "url", "html").alias("record"))
+    fixity.write_warc(df.repartition(2), f"{tmp_path}/w")
+    got = fixity.read_warc(spark, f"{tmp_path}/w").collect()
+    assert sorted(r.record for r in got) == sorted(r.record for r in df.collect())
+    assert all(r.valid and r.date == "1970-01-01T00:00:00Z" for r in got)
+    assert {(r.record_id, r.url, r.body) for r in got} == {(f"<urn:page:{'' if k is None else k}>", u or "", h) for k, u, h in pages}
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    assert raw.count(b"WARC/1.1\r\n") == 4 and raw.endswith(b"\r\n\r\n")
+
+
 def held(c="doc_id"):
     return remainder(c) == 1
 

@@ -22,14 +22,49 @@ def calendar(panel: DataFrame) -> DataFrame:
     return panel.select("ts").distinct().withColumn("day", F.row_number().over(W.partitionBy().orderBy("ts")) - 1)
 
 
-def folds(days: DataFrame, efficiency: DataFrame, train: int, refit: int, share: float = 0.4, enough: int = 50) -> DataFrame:
-    """(ts, day, fold, eff, tau): tau is null in folds that cannot learn. efficiency: (ts, eff)."""
-    d = days.join(efficiency, "ts", "left").withColumn("fold", F.when(F.col("day") >= train, F.floor((F.col("day") - train) / refit)))
+def folds(days: DataFrame, efficiency: DataFrame, train: int, configs: list[dict], shares: list[float], enough: int = 50) -> DataFrame:
+    """(ts, day, eff, config, signal, refit, conditional, fold, tau): tau is null in folds that cannot learn. efficiency: (ts, eff); quantiles are taken once a date, of all shares."""
     frame = W.partitionBy().orderBy("day").rowsBetween(-train, -1)
-    past = F.when(F.count("eff").over(frame) >= enough, F.percentile("eff", F.lit(share)).over(frame))
-    d = d.withColumn("_past", past)
-    first = F.when(F.col("day") == F.col("fold") * refit + train, F.col("_past"))
-    return d.withColumn("tau", F.max(first).over(W.partitionBy("fold"))).drop("_past").where("fold is not null")
+    past = F.when(F.count("eff").over(frame) >= enough, F.percentile("eff", F.array(*map(F.lit, shares))).over(frame))
+    d = days.join(efficiency, "ts", "left").withColumn("_past", past).where(F.col("day") >= train)
+    d = d.withColumn("_c", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in c.items())) for c in configs)))).select(*d.columns, "_c.*")
+    d = d.withColumn("fold", F.floor((F.col("day") - train) / F.col("refit")))
+    first = F.when(F.col("day") == F.col("fold") * F.col("refit") + train, F.get("_past", F.col("share_at")))
+    return d.withColumn("tau", F.max(first).over(W.partitionBy("config", "fold"))).drop("_past")
+
+
+def _walked(panel: DataFrame, efficiency: DataFrame, configs: list[tuple[str, int, float, bool]], train: int, top: float, enough: int) -> DataFrame:
+    """walk_forward of (signal, refit, share, conditional) combinations, with ``config`` their number; panel: (series_id, ts, ret) and the signals."""
+    shares, signals = sorted({c[2] for c in configs}), sorted({c[0] for c in configs})
+    table = [{"config": k, "signal": s, "refit": r, "conditional": c, "share_at": shares.index(x)} for k, (s, r, x, c) in enumerate(configs)]
+    days = calendar(panel)
+    plan = folds(days, efficiency, train, table, shares, enough)
+    learned = F.col("tau").isNotNull() & F.col("eff").isNotNull()
+    plan = plan.withColumn("deploy", F.when(~F.col("conditional"), F.lit(1)).when(learned, (F.col("eff") < F.col("tau")).cast("int")))
+    starts = plan.groupBy("config", "signal", "fold").agg((F.min("day") - 1).alias("day"))
+    dated = panel.join(days, "ts").select("series_id", "day", F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("score")) for s in signals))).alias("s")).select("series_id", "day", "s.*")
+    basket = top_bottom(dated.join(F.broadcast(starts), ["day", "signal"]), ["config", "fold"], "score", top)  # a row each fold
+    sizes = basket.groupBy("config", "fold", "side").agg(F.count("*").alias("n_side"))
+    basket = basket.join(sizes, ["config", "fold", "side"]).select("config", "fold", "series_id", (F.col("side") / F.col("n_side")).alias("target"))
+    # decision dates only: the position after each of them, for assets in its basket or in the one before
+    decisions = plan.where("deploy is not null").withColumn("k", F.row_number().over(W.partitionBy("config").orderBy("day")))
+    held = decisions.join(basket, ["config", "fold"]).select("config", "k", "day", "series_id", (F.col("target") * F.col("deploy")).alias("weight")).where("weight <> 0")
+    ahead = held.select("config", (F.col("k") + 1).alias("k"), "series_id", F.col("weight").alias("old"))
+    change = held.select("config", "k", "series_id", "weight").join(ahead, ["config", "k", "series_id"], "full")
+    turnover = change.groupBy("config", "k").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
+    # a position is held on the dates after its decision up to the next one
+    before = W.partitionBy("config").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    of_day = plan.select("config", "ts", "day", "fold", "deploy", "tau", "conditional").withColumn("k_held", F.sum(F.coalesce(F.col("deploy") * 0 + 1, F.lit(0))).over(before))
+    earned = of_day.where("k_held > 0").select("config", "ts", "day", "k_held").join(held.select("config", F.col("k").alias("k_held"), "series_id", "weight"), ["config", "k_held"])
+    gross = earned.join(panel.select("ts", "series_id", "ret"), ["ts", "series_id"], "left").groupBy("config", "day").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
+    out = of_day.join(gross, ["config", "day"], "left").join(decisions.select("config", "day", "k").join(turnover, ["config", "k"], "left").drop("k"), ["config", "day"], "left")
+    live, skipped = F.col("deploy").isNotNull(), F.col("conditional") & F.col("tau").isNull()
+    return out.select(
+        "config", "ts", "day", "fold",
+        F.when(~skipped, F.when(live, F.coalesce("gross", F.lit(0.0))).otherwise(0.0)).alias("gross"),
+        F.when(~skipped, F.when(live, F.coalesce("turnover", F.lit(0.0))).otherwise(0.0)).alias("turnover"),
+        F.coalesce("deploy", F.lit(0)).alias("deployed"),
+    )
 
 
 def walk_forward(
@@ -39,49 +74,17 @@ def walk_forward(
 
     panel: (series_id, ts, ret, signal); efficiency: (ts, eff). Without ``conditional`` the basket is held on every date.
     """
-    days = calendar(panel)
-    plan = folds(days, efficiency, train, refit, share, enough)
-    learned = F.col("tau").isNotNull()
-    deploy = F.when(learned & F.col("eff").isNotNull(), (F.col("eff") < F.col("tau")).cast("int")) if conditional else F.lit(1)
-    plan = plan.withColumn("deploy", deploy)
-    starts = plan.groupBy("fold").agg((F.min("day") - 1).alias("day"))
-    dated = panel.join(days, "ts")
-    basket = top_bottom(dated.join(F.broadcast(starts), "day"), ["fold"], signal, top)  # a row each fold
-    sizes = basket.groupBy("fold", "side").agg(F.count("*").alias("k"))
-    basket = basket.join(sizes, ["fold", "side"]).select("fold", "series_id", (F.col("side") / F.col("k")).alias("target"))
-    # decision dates only: the position after each of them, for assets in its basket or in the one before
-    decisions = plan.where("deploy is not null").withColumn("k", F.row_number().over(W.partitionBy().orderBy("day")))
-    held = decisions.join(basket, "fold").select("k", "day", "series_id", (F.col("target") * F.col("deploy")).alias("weight")).where("weight <> 0")
-    ahead = held.select((F.col("k") + 1).alias("k"), "series_id", F.col("weight").alias("old"))
-    change = held.select("k", "series_id", "weight").join(ahead, ["k", "series_id"], "full")
-    turnover = change.groupBy("k").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
-    # a position is held on the dates after its decision up to the next one
-    of_day = plan.select("ts", "day", "fold", "deploy", "tau", "eff").withColumn(
-        "k_held", F.sum(F.coalesce(F.col("deploy") * 0 + 1, F.lit(0))).over(W.partitionBy().orderBy("day").rowsBetween(W.unboundedPreceding, -1))
-    )
-    earned = of_day.where("k_held > 0").select("ts", "day", "k_held").join(held.select(F.col("k").alias("k_held"), "series_id", "weight"), "k_held")
-    gross = earned.join(panel.select("ts", "series_id", "ret"), ["ts", "series_id"], "left").groupBy("day").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
-    out = of_day.join(gross, "day", "left").join(decisions.select("day", "k").join(turnover, "k", "left").drop("k"), "day", "left")
-    live = F.col("deploy").isNotNull()
-    skipped = F.col("tau").isNull() if conditional else F.lit(False)
-    return out.select(
-        "ts", "day", "fold",
-        F.when(~skipped, F.when(live, F.coalesce("gross", F.lit(0.0))).otherwise(0.0)).alias("gross"),
-        F.when(~skipped, F.when(live, F.coalesce("turnover", F.lit(0.0))).otherwise(0.0)).alias("turnover"),
-        F.coalesce("deploy", F.lit(0)).alias("deployed"),
-    )
+    return _walked(panel, efficiency, [(signal, refit, share, conditional)], train, top, enough).drop("config")
 
 
-def grid(panels: dict[int, str], panel: DataFrame, efficiency: DataFrame, refits: list[int], shares: list[float], **fixed) -> DataFrame:
-    """walk_forward of every combination: ``panels`` names the signal column of each momentum length; config columns mom, refit and share."""
-    out = None
-    for mom, signal in panels.items():
-        for refit in refits:
-            for share in shares:
-                run = walk_forward(panel, efficiency, signal, refit=refit, share=share, **fixed)
-                run = run.withColumns({"mom": F.lit(mom), "refit": F.lit(refit), "share": F.lit(share)})
-                out = run if out is None else out.unionByName(run)
-    return out
+def grid(
+    panels: dict[int, str], panel: DataFrame, efficiency: DataFrame, refits: list[int], shares: list[float], train: int = 252, top: float = 0.2, enough: int = 50, arms: tuple[bool, ...] = (True,)
+) -> DataFrame:
+    """walk_forward of every combination in one plan: ``panels`` names the signal column of each momentum length, ``arms`` says whether the basket waits for the condition; columns mom, refit, share and conditional."""
+    chosen = [(mom, signal, refit, share, arm) for mom, signal in panels.items() for refit in refits for share in shares for arm in arms]
+    runs = _walked(panel, efficiency, [c[1:] for c in chosen], train, top, enough)
+    names = panel.sparkSession.createDataFrame([(k, c[0], *c[2:]) for k, c in enumerate(chosen)], "config int, mom int, refit int, share double, conditional boolean")
+    return runs.join(F.broadcast(names), "config").drop("config")  # a row a combination
 
 
 def net(df: DataFrame, cost: float) -> DataFrame:

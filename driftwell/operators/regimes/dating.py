@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def bear_states(wealth: np.ndarray, fall: float = 0.2) -> np.ndarray:
-    """1 from a peak that a fall of ``fall`` follows to the trough before a rise of ``fall``, else 0; a switch is dated back to its extreme."""
+    """1 from a peak that a fall of ``fall`` follows to the trough before a rise of ``fall``, else 0; a switch is dated back to its extreme, the first of equal ones."""
     out = np.zeros(len(wealth), np.int32)
     bear, at = False, 0
     for t, x in enumerate(wealth):
-        if (x <= wealth[at]) if bear else (x >= wealth[at]):
+        if (x < wealth[at]) if bear else (x > wealth[at]):
             at = t
         elif (x >= (1 + fall) * wealth[at]) if bear else (x <= (1 - fall) * wealth[at]):
             bear = not bear

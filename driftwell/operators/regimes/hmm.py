@@ -125,7 +125,7 @@ def labelled(df: DataFrame, parameters: DataFrame, column: str = "ret", by: tupl
         return pd.DataFrame({**{c: p[c] for c in by}, "ts": p["ts"], "p_high": state[:, -1], "label": (state.argmax(1) == k - 1).astype(np.int32), "log_score": ll})
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"ts {kinds['ts']}", "p_high double, label int, log_score double"])
-    return rows.groupBy(*by).cogroup(parameters.withColumnsRenamed({c: f"_by_{c}" for c in by}).groupBy(*(f"_by_{c}" for c in by))).applyInPandas(run, schema)
+    return rows.groupBy(*by).cogroup(parameters.withColumns({f"_by_{c}": F.col(c) for c in by}).groupBy(*(f"_by_{c}" for c in by))).applyInPandas(run, schema)
 
 
 def block_filter(df: DataFrame, parameters: DataFrame, column: str = "ret", size: int = 4096) -> DataFrame:

@@ -41,6 +41,12 @@ def rolling_std(column: str, n: int, least: int | None = None) -> Column:
     return rolling(F.stddev_samp, column, n, least)
 
 
+def rolling_sharpe(column: str, n: int, least: int | None = None) -> Column:
+    """Annualised; null where the rows of the window are all alike."""
+    mean, deviation = rolling(F.avg, column, n, least), rolling_std(column, n, least)
+    return F.when(deviation > 0, mean / deviation * math.sqrt(YEAR))
+
+
 def momentum(column: str, n: int) -> Column:
     """The sum of the last ``n`` rows, if half of them have a value."""
     return rolling(F.sum, column, n, n // 2)

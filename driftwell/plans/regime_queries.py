@@ -116,6 +116,18 @@ def oos_log_score(spark, d):
     return rounded(scores.where(F.col("ts") >= cut).groupBy("series_id", "k").agg(F.avg("log_score").alias("log_score"), F.count("*").alias("n")))
 
 
+@query(
+    f"""WITH {S.BRAND_WEEK}, x AS (SELECT series_id, ts, ret FROM panel WHERE ret IS NOT NULL), m AS (SELECT series_id, avg(ret) AS m, stddev_pop(ret) AS s FROM x WHERE ts < DATE '2000-01-01' GROUP BY 1 HAVING count(*) >= 30)
+    SELECT series_id, {r('avg(-0.5 * ((ret - m) / s) ** 2 - ln(s * sqrt(2 * pi())))', 'log_score')}, count(*) AS n FROM x JOIN m USING (series_id) WHERE ts >= DATE '2000-01-01' GROUP BY 1""",
+    dates=(),
+)
+def oos_log_score_one(spark, d):
+    """The same of the model of one state, which SQL can say."""
+    df, cut = weekly(spark, d), F.lit("2000-01-01").cast("date")
+    scores = hmm.labelled(df, hmm.fitted(df.where(F.col("ts") < cut), states=(1,), restarts=1, most=5))
+    return rounded(scores.where(F.col("ts") >= cut).groupBy("series_id").agg(F.avg("log_score").alias("log_score"), F.count("*").alias("n")))
+
+
 @query()
 def jump_fit(spark, d):
     """Jump-model labels of each brand and penalty: share, switches, and agreement of online with fitted ones."""
@@ -237,18 +249,20 @@ def stream_sliding_bars(spark, d):
 
 @query()
 def stream_volatility(spark, d):
+    """Rows behind the last watermark wait for later events, and are not in the result."""
     return rounded(run.available(signals.recursion(run.events(spark, d), "event_type", "value", signals.ewma_step(), [0.0, 0.0, 0.0], "ret double, vol double")))
 
 
 @query()
 def stream_hmm(spark, d):
-    """States of event values under given parameters."""
+    """States of event values under given parameters; rows behind the last watermark wait for later events."""
     step, start = signals.hmm_step([0.5, 0.5], [[0.95, 0.05], [0.05, 0.95]], [40.0, 60.0], [20.0, 40.0])
     return rounded(run.available(signals.recursion(run.events(spark, d), "event_type", "value", step, start, "p_high double, label int")))
 
 
 @query()
 def stream_jump(spark, d):
+    """Rows behind the last watermark wait for later events, and are not in the result."""
     step, start = signals.jump_step([2.0, 4.0], 3.0)
     logs = run.events(spark, d).where("value > 0").withColumn("value", F.log("value"))
     return run.available(signals.recursion(logs, "event_type", "value", step, start, "label int"))

@@ -11,9 +11,11 @@ from driftwell.operators import backtest as T
 from driftwell.operators import cleaning, joins
 from driftwell.operators import inference as I
 from driftwell.operators import rolling as R
+from driftwell.operators.regimes import dating
 from driftwell.plans import fixtures as S
 from driftwell.plans.panel_queries import last_dates, r, rounded, stressed
 from driftwell.sources import panel as P
+from driftwell.sources.shared import saved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -155,15 +157,18 @@ def detector_accuracy(spark, d):
     return rounded(both.agg(F.avg("balanced_accuracy").alias("balanced_accuracy"), F.stddev_samp("balanced_accuracy").alias("std"), F.avg("median_delay").alias("delay"), F.avg("missed").alias("missed"), F.count("*").alias("n")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {S.BRAND_WEEK}, x AS (SELECT series_id, ts, row_number() OVER ({S.W}) AS rn, round(coalesce(exp(sum(logret) OVER {S.rows(None)}), 1.0), 9) AS w FROM panel),
+    m AS (SELECT series_id, rn, 0 AS bear, w AS ext, rn AS peak, CAST(NULL AS BIGINT) AS began FROM x WHERE rn = 1
+        UNION ALL SELECT series_id, rn, CASE WHEN turn THEN 1 - bear ELSE bear END, CASE WHEN turn OR further THEN w ELSE ext END, CASE WHEN turn OR further THEN rn ELSE peak END, CASE WHEN turn THEN peak + 1 END
+        FROM (SELECT *, NOT further AND CASE bear WHEN 0 THEN w <= 0.8 * ext ELSE w >= 1.2 * ext END AS turn
+            FROM (SELECT x.series_id, x.rn, x.w, m.bear, m.ext, m.peak, CASE m.bear WHEN 0 THEN x.w > m.ext ELSE x.w < m.ext END AS further FROM x JOIN m ON x.series_id = m.series_id AND x.rn = m.rn + 1))),
+    e AS (SELECT series_id, began, bear FROM m WHERE began IS NOT NULL)
+    SELECT x.series_id, x.ts, CAST(coalesce(arg_max(e.bear, e.began), 0) AS INT) AS bear FROM x LEFT JOIN e ON x.series_id = e.series_id AND e.began <= x.rn GROUP BY x.series_id, x.ts"""
+)
 def bear_dating(spark, d):
-    return turning_points(spark, d)
-
-
-def turning_points(spark, d):
-    from driftwell.operators.regimes.dating import turning_points as dated
-
-    return dated(cleaning.wealth(P.brand_week(spark, d)), "wealth", 0.2).select("series_id", "ts", "bear")
+    wealth = cleaning.wealth(P.brand_week(spark, d)).withColumn("wealth", F.round("wealth", 9))
+    return dating.turning_points(wealth, "wealth", 0.2).select("series_id", "ts", "bear")
 
 
 @query(
@@ -346,13 +351,34 @@ def performance(spark, d):
 
 @query()
 def config_grid(spark, d):
-    """Every refit and share, with and without the condition, on the development period; the best by Sharpe is marked."""
+    """Two shares, two refits and three momentum lengths, with and without the condition, before and after 1999.
+
+    The best conditional combination by Sharpe of the development period is chosen; its deflated Sharpe counts all combinations as
+    trials, and the later rows of both arms are its lockbox.
+    """
     panel, eff = brand_signals(spark, d)
-    runs = T.grid({8: "score"}, panel, eff, [4, 13], [0.3, 0.5], train=52, enough=20)
-    runs = T.net(runs, 0.001).where(F.col("ts") < F.lit("1999-01-01").cast("date"))
-    table = T.performance(runs, ["mom", "refit", "share"])
-    best = A.best(table, [], "sharpe", ["mom", "refit", "share"])
-    return rounded(table.join(F.broadcast(best.select("mom", "refit", "share", F.lit(True).alias("chosen"))), ["mom", "refit", "share"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))))  # one row
+    moms = {4: "m4", 8: "score", 13: "m13"}
+    panel = panel.withColumns({f"m{n}": F.round(R.rolling_mean("ret", n, n // 2), 9) for n in (4, 13)})
+    runs = T.net(T.grid(moms, panel, eff, [4, 13], [0.3, 0.5], train=52, enough=20, arms=(True, False)), 0.001)
+    runs = runs.withColumn("period", F.when(F.col("ts") < F.lit("1999-01-01").cast("date"), "development").otherwise("lockbox"))
+    runs = saved(runs)  # both the table and the trials read it
+    config = ["mom", "refit", "share"]
+    table = T.performance(runs, [*config, "conditional", "period"]).select(*config, "conditional", "period", "n", "ann_return", "ann_vol", "sharpe", "max_drawdown")
+    best = A.best(table.where("conditional and period = 'development'"), [], "sharpe", config).select(*config, F.lit(True).alias("chosen"))
+    trials = I.deflated_sharpe(runs.where("conditional and period = 'development' and pnl is not null"), "pnl", config)
+    table = table.join(F.broadcast(best), config, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))  # one row
+    return rounded(table.withColumn("dsr", F.when(F.col("chosen") & F.col("conditional") & (F.col("period") == "development"), F.lit(trials["dsr"]).cast("double"))))
+
+
+@query(
+    f"""WITH {_WALK}, x AS (SELECT ts, gross - 0.001 * turnover AS pnl FROM walk), s AS (SELECT ts, CASE WHEN count(pnl) OVER w >= 13 THEN avg(pnl) OVER w / nullif(stddev_samp(pnl) OVER w, 0) * sqrt(252) END AS sharpe FROM x WINDOW w AS (ORDER BY ts ROWS BETWEEN 25 PRECEDING AND CURRENT ROW))
+    SELECT ts, {r('sharpe', 'sharpe')}, {r('CASE WHEN count(sharpe) OVER w >= 3 THEN avg(sharpe) OVER w END', 'smooth')} FROM s WINDOW w AS (ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+)
+def rolling_sharpe(spark, d):
+    """Of half a year of the walk-forward profit, and its mean over five weeks."""
+    run = T.net(T.walk_forward(*brand_signals(spark, d), **_FIXED), 0.001).withColumn("series_id", F.lit("walk"))
+    run = run.withColumn("sharpe", R.rolling_sharpe("pnl", 26, 13))
+    return rounded(run.withColumn("smooth", R.rolling_mean("sharpe", 5, 3)).select("ts", "sharpe", "smooth"))
 
 
 @query()
@@ -391,7 +417,14 @@ def baselines(spark, d):
     return rounded(T.baselines(P.brand_week(spark, d)))
 
 
-@query()
+@query(
+    f"""WITH {S.BRAND_WEEK}, x AS (SELECT series_id, ts, ret, CASE WHEN count(ret) OVER {S.rows(20, 1)} >= 20 THEN round(sum(ret) OVER {S.rows(20, 1)}, 9) END AS past FROM panel), k AS (SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY ts) * 0.2)) AS k, row_number() OVER (PARTITION BY ts ORDER BY past DESC, series_id) AS a, row_number() OVER (PARTITION BY ts ORDER BY past, series_id) AS b FROM x WHERE past IS NOT NULL),
+    s AS (SELECT ts, avg(ret) FILTER (a <= k) - avg(ret) FILTER (b <= k AND a > k) AS spread FROM k GROUP BY 1), h AS (SELECT ts, avg(ret) AS hold FROM panel GROUP BY 1),
+    l AS (SELECT ts, spread * 0.5 AS pnl, 'momentum' AS strategy FROM s UNION ALL SELECT ts, -spread * 0.5, 'reversion' FROM s UNION ALL SELECT ts, hold, 'hold' FROM h), y AS (SELECT * FROM l WHERE pnl <> 0),
+    c AS (SELECT *, sum(pnl) OVER f AS c, avg(pnl) OVER (PARTITION BY strategy) AS m FROM y WINDOW f AS (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, c - max(c) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dd FROM c)
+    SELECT strategy, count(*) AS n, {r('avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252)', 'sharpe')}, {r('avg(pnl) / nullif(stddev_samp(pnl) FILTER (pnl < 0), 0) * sqrt(252)', 'sortino')}, {r('avg(pnl) * 252 / nullif(abs(min(dd)), 0)', 'calmar')},
+    {r('min(dd)', 'max_drawdown')}, {r('avg((pnl - m) ** 3) / var_pop(pnl) ** 1.5', 'skew')}, {r('avg((pnl - m) ** 4) / var_pop(pnl) ** 2 - 3', 'excess_kurtosis')} FROM d GROUP BY 1 HAVING count(*) >= 30"""
+)
 def active_performance(spark, d):
     runs = T.baselines(P.brand_week(spark, d))
     long = runs.unpivot(["ts"], ["momentum", "reversion", "hold"], "strategy", "pnl")

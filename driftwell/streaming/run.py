@@ -10,12 +10,22 @@ from driftwell.sources.shared import new_folder
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream; event time has to be a timestamp with a time zone."""
-    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(table.schema)
+    if any(f.endswith("/events.parquet") for f in table.inputFiles()):  # one file, beside those of other tables
+        source = source.option("pathGlobFilter", "events.parquet")
+        at = sf_dir
+    else:
+        at = f"{sf_dir}/events.parquet"
+    return source.parquet(at).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that the source has now, through a Parquet sink with its own checkpoint."""
+    """All rows that the source has now, through a Parquet sink with its own checkpoint.
+
+    Operators that wait for the watermark keep what lies behind the last one: those rows come out when later events arrive, and
+    not in a run that ends with the source.
+    """
     spark, at = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()

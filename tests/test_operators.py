@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from driftwell.functions import distributions
-from driftwell.operators import blocks, cleaning, efficiency, joins, rolling
+from driftwell.operators import backtest, blocks, cleaning, efficiency, joins, rolling
 from driftwell.operators import inference as inf
 from driftwell.operators.regimes import dating, garch, hmm, jump, segments
 from pyspark.sql import functions as F
@@ -154,6 +154,33 @@ def test_regression_errors(spark):
 def test_bear_dating():
     w = np.array([1.0, 1.1, 1.2, 1.0, 0.9, 0.95, 1.2, 1.3])
     assert dating.bear_states(w).tolist() == [0, 0, 0, 1, 1, 0, 0, 0]
+    assert dating.bear_states(np.array([1.0, 1.2, 1.2, 0.9])).tolist() == [0, 0, 1, 1]  # of equal peaks the first counts
+
+
+def test_a_grid_equals_its_runs_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    dates = pd.date_range("2001-01-01", periods=90).date
+    panel = pd.DataFrame([(f"s{k}", t, float(rng.normal()), float(rng.normal()), float(rng.normal())) for k in range(8) for t in dates], columns=["series_id", "ts", "ret", "a", "b"])
+    eff = pd.DataFrame({"ts": dates, "eff": [None if k % 11 == 0 else float(x) for k, x in enumerate(rng.random(90))]})
+    p, e = spark.createDataFrame(panel), spark.createDataFrame(eff, "ts date, eff double")
+    runs = backtest.grid({4: "a", 8: "b"}, p, e, [5, 7], [0.3, 0.6], train=20, enough=10, arms=(True, False)).toPandas()
+    assert len(runs) == 16 * 70
+    for mom, refit, share, arm in [(4, 5, 0.3, True), (8, 7, 0.6, True), (8, 5, 0.6, False)]:
+        one = backtest.walk_forward(p, e, {4: "a", 8: "b"}[mom], 20, refit, share, enough=10, conditional=arm).toPandas().sort_values("day").reset_index(drop=True)
+        own = runs[(runs.mom == mom) & (runs.refit == refit) & (runs.share == share) & (runs.conditional == arm)].sort_values("day").reset_index(drop=True)
+        for c in ("day", "fold", "gross", "turnover", "deployed"):
+            assert np.allclose(own[c].astype(float), one[c].astype(float), equal_nan=True), c
+
+
+def test_out_of_sample_scores_by_number_of_states(spark):
+    rng = np.random.default_rng(5)
+    rows = [("s", d, float(rng.normal() * (0.5 if k // 40 % 2 else 2.0))) for k, d in enumerate(pd.date_range("2001-01-01", periods=400).date)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, ret double").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    fits = hmm.fitted(df.where("k = 1").drop("k"), states=(1, 2), restarts=3, most=40)
+    got = {r.k: r.m for r in hmm.labelled(df, fits, by=("series_id", "k")).groupBy("k").agg(F.avg("log_score").alias("m")).collect()}
+    x = np.array([r[2] for r in rows])
+    assert got[1] == pytest.approx(float(np.mean(-0.5 * ((x - x.mean()) / x.std()) ** 2 - np.log(x.std() * np.sqrt(2 * np.pi)))), abs=1e-9)
+    assert got[2] > got[1]
 
 
 def test_regimes_are_recovered(spark):

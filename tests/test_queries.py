@@ -9,7 +9,6 @@ from driftwell.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"hmm_fit", "hmm_yearly", "config_grid", "regimes_by_bic", "conditional_gap", "oos_log_score"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
@@ -54,7 +53,7 @@ def test_equals_sql(spark, duck, name):
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     df = registry.queries()[name](spark, SF)
     assert len(df.columns) == len(set(df.columns))

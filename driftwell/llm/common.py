@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,24 @@ _RANDOM = np.random.default_rng(20_240_517).integers(1, 2**63, 256, dtype=np.uin
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def bucketed(df: DataFrame, buckets: int, columns: tuple[str, ...], made: list[tuple[str, str]], sort: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed by ``columns``, so that joins on them move nothing; ``made`` gets the table's name and folder."""
+    name, path = f"driftwell_{uuid.uuid4().hex}", new_folder(df.sparkSession, "bucketed")
+    writer = df.write.option("path", path).bucketBy(buckets, *columns)
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(name)
+    made.append((name, path))
+    return df.sparkSession.table(name)
+
+
+def dropped(spark: SparkSession, made: list[tuple[str, str]]) -> None:
+    """Takes away tables that nothing reads any more, and their files."""
+    for name, path in made:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made.clear()
+
+
 def held(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with those columns computed once a row: a filter on them stays above, where Catalyst would else repeat their expressions below."""
     rest = [c for c in df.columns if c not in columns]
@@ -45,6 +65,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of that many rows at most, for what runs inside; then the session's setting holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves every bit of the output."""
     with np.errstate(over="ignore"):

@@ -1,9 +1,10 @@
 """Lines found in many documents, by levelled sorted runs of line hashes.
 
-A run holds (h1, h2, n): the 128-bit hash of a line's key and the number of documents of a batch that have it, sorted by
-hash. A new batch is anti-joined with the keys that the runs already count to the threshold, since more of them decide
-nothing, and the rest becomes a run of its own. When a level has ``fanout`` runs they are merged into one of the next level,
-so that a key is rewritten a logarithmic number of times.
+A run holds (h1, h2, n): the 128-bit hash of a line's key and the number of documents of a batch that have it. It is a table
+bucketed and sorted by the hash, so runs and batches meet in merge joins that move nothing. A new batch is joined with the runs,
+the keys that they already count to the threshold are left out, since more of them decide nothing, and the rest becomes a run of its
+own. When a level has ``fanout`` runs they are merged into one of the next level, so that a key is rewritten a logarithmic number of
+times, and later batches meet fewer runs.
 
 A line's key is the line without white space at both ends, A-Z lower-cased. Lines with an empty key are never counted.
 A null text is one empty line. Rows of the same text count as so many documents.
@@ -11,7 +12,6 @@ A null text is one empty line. Rows of the same text count as so many documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,50 +19,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import line_keys, saved, shared_folder, slices, small_batches
+from driftwell.llm.common import bucketed, dropped, line_keys, saved, slices, small_batches
 
+KEY = ("h1", "h2")
 
-SALTS = 8
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class LineRuns:
-    """The runs of a store, as Parquet below a folder that all executors share."""
+    """The runs of a store, as bucketed tables below a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, threshold: int = 10, fanout: int = 3, buckets: int | None = None):
+        self.spark, self.threshold, self.fanout, self.buckets = spark, threshold, fanout, buckets or _parts(spark)
+        self.levels: list[list[tuple[DataFrame, list]]] = [[]]
 
-    def __init__(self, spark: SparkSession, threshold: int = 10, fanout: int = 4, folder: str | None = None):
-        self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.folder = folder or f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = [[]]
-        self.made = 0
+    def _write(self, counts: DataFrame, level: int) -> None:
+        made: list[tuple[str, str]] = []
+        self.levels[level].append((bucketed(counts, self.buckets, KEY, made, KEY), made))
 
-    def _write(self, counts: DataFrame, level: int) -> str:
-        path = f"{self.folder}/level-{level}/run-{self.made}"
-        self.made += 1
-        counts.repartitionByRange("h1").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs one after the other, their counts added up."""
+        out = runs[0].select(*KEY, "n")
+        for run in runs[1:]:
+            out = out.join(run.select(*KEY, F.col("n").alias("m")), list(KEY), "full").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run, _ in level]
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of keys in at least ``threshold`` documents so far."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long")
-        return self._merged(paths).where(F.col("n") >= self.threshold).select("h1", "h2")
+        """(h1, h2, n) of keys in at least ``threshold`` documents so far, n being as many of them as were counted."""
+        if not self.runs():
+            return self.spark.createDataFrame([], "h1 long, h2 long, n long")
+        return self._merged(self.runs()).where(F.col("n") >= self.threshold)
 
     def add(self, counts: DataFrame) -> None:
-        """A batch's (h1, h2, n)."""
-        if self.made:
-            counts = counts.join(self.frequent(), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._write(counts, 0))
+        """A batch's (h1, h2, n), bucketed as the runs are or in any other order."""
+        counts = counts.select(*KEY, "n")
+        seen = F.lit(0)
+        for k, run in enumerate(self.runs()):
+            counts = counts.join(run.select(*KEY, F.col("n").alias(f"n{k}")), list(KEY), "left")
+            seen = seen + F.coalesce(f"n{k}", F.lit(0))
+        self._write(counts.where(seen < self.threshold).select(*KEY, "n"), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged(self.levels[level]), level + 1))
+            self._write(self._merged([run for run, _ in self.levels[level]]), level + 1)
+            for _, made in self.levels[level]:
+                dropped(self.spark, made)
             self.levels[level] = []
             level += 1
 
+    def drop(self) -> None:
+        for level in self.levels:
+            for _, made in level:
+                dropped(self.spark, made)
+        self.levels = [[]]
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each slice: its distinct keys by batch number and how many of its documents have them."""
@@ -119,10 +136,24 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_counts(docs: DataFrame, text: str = "text", batches: int = 4) -> DataFrame:
-    """(batch, h1, h2, n) of all documents; a text's hash deals it to its batch."""
+    """(batch, h1, h2, n) of all documents, dealt by key; a text's hash picks its batch."""
     small_batches(docs.sparkSession)
     deal = docs.select(F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"), F.col(text).cast("string").alias("text"))
-    return deal.mapInArrow(_counted, "batch int, h1 long, h2 long, n long").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    found = deal.mapInArrow(_counted, "batch int, h1 long, h2 long, n long").repartition(_parts(docs.sparkSession), *KEY)
+    return found.groupBy("batch", *KEY).agg(F.sum("n").alias("n"))
+
+
+def frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10, batches: int = 4) -> DataFrame:
+    """(h1, h2, n) of lines in ``threshold`` documents or more, counted by batches."""
+    spark, made = docs.sparkSession, []
+    counts = bucketed(line_counts(docs, text, batches), _parts(spark), KEY, made, KEY)
+    runs = LineRuns(spark, threshold)
+    for b in range(batches):
+        runs.add(counts.where(F.col("batch") == b))
+    found = saved(runs.frequent())
+    runs.drop()
+    dropped(spark, made)
+    return found
 
 
 def drop_frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10, batches: int = 4) -> DataFrame:
@@ -131,21 +162,20 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10
     Columns of ``docs`` keep their names and order; one that is called like a new one gives way to the new one.
     A null text stays null.
     """
-    spark = docs.sparkSession
     docs = docs.drop(*({"kept_text", "n_lines", "n_dropped"} & set(docs.columns) - {text}))
-    counts = saved(line_counts(docs, text, batches))
-    runs = LineRuns(spark, threshold)
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n"))
+    frequent = frequent_lines(docs, text, threshold, batches)
     names = docs.columns
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text}`").cast("string").alias("_text"))
     keyed = keyed.withColumns({"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
     lines = keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "_text").mapInArrow(_placed, "t1 long, t2 long, place int, h1 long, h2 long")
-    # a line of very many documents is dealt to several tasks by its text
-    lines = lines.withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
-    frequent = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a line with more than a quarter of a task's share of all frequent lines is dealt to several tasks by its texts; there are four a task at most
+    share = frequent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / (4 * _parts(docs.sparkSession))
+    ways = F.ceil(F.col("n") / F.lit(max(share, 1.0))).cast("int")
+    hot = F.broadcast(frequent.where(ways > 1).select(*KEY, ways.alias("ways")))
+    lines = lines.join(hot, list(KEY), "left").withColumn("salt", F.pmod("t1", F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("n")
     # written, so that the join below is of two plain shuffles and Spark can split a text that very many rows have
-    drops = saved(lines.join(frequent, ["h1", "h2", "salt"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop")))
+    drops = saved(lines.join(frequent, [*KEY, "salt"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("_drop")))
     own = [f"c{k}" for k, c in enumerate(names) if c != text]
     joined = keyed.join(drops, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*own, "_text", "_drop")
     kinds = dict(keyed.dtypes)

@@ -80,21 +80,28 @@ def split_name(name: str, known: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A name's substrings that may be words, by the name's hashes: a name of n letters has LONGEST n of them, a stretch of it at a time."""
+    for batch in batches:
+        for t1, t2, name in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for a in range(0, len(name), 1000):
+                found = list({name[i : i + k] for i in range(a, min(a + 1000, len(name))) for k in range(1, min(LONGEST, len(name) - i) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([t1] * len(found), pa.int64()), pa.array([t2] * len(found), pa.int64()), pa.array(found, pa.string())], names=["t1", "t2", "word"])
+
+
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, words) of each distinct name, by the (word, n) counts; substrings meet the counts in a join, so neither side has to fit anywhere."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + 1
-    at = F.explode(F.sequence(F.lit(1), F.length("name")))
-    starts = names.select("name", at.alias("at"))
-    reach = F.least(F.lit(LONGEST), F.length("name") - F.col("at") + 1)
-    pieces = starts.select("name", F.explode(F.transform(F.sequence(F.lit(1), reach), lambda k: F.substr("name", F.col("at"), k))).alias("word")).distinct()
-    met = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", F.log(F.col("n") / total).alias("p"))).alias("known"))
+    names = names.select(F.xxhash64("name").alias("t1"), F.xxhash64(F.lit(1), "name").alias("t2"), "name")
+    pieces = names.mapInArrow(_pieces, "t1 long, t2 long, word string").distinct()
+    met = pieces.join(words, "word").groupBy("t1", "t2").agg(F.collect_list(F.struct("word", F.log(F.col("n") / total).alias("p"))).alias("known"))
     unknown = math.log(0.01 / total)
 
     @F.pandas_udf("array<string>")
     def viterbi(name: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([split_name(x, {} if k is None else {w["word"]: w["p"] for w in k}, unknown) for x, k in zip(name, known)])
 
-    return names.join(met, "name", "left").select("name", viterbi("name", "known").alias("words"))
+    return names.join(met, ["t1", "t2"], "left").select("name", viterbi("name", "known").alias("words"))
 
 
 def _features(buckets: int) -> Column:
@@ -111,6 +118,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", htm
     named = hosts.select("host", F.posexplode(F.filter(F.split("host", r"[^\p{L}]+"), lambda x: x != "")).alias("k", "name"))
     split = segmented(named.select("name").distinct(), saved(unigrams(pages, html)))
     by_host = named.join(split, "name").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "words"))), lambda s: s["words"])).alias("words"))
+    by_host = saved(by_host)  # so that the join below is of two plain shuffles, and Spark can split a host that very many pages have
     df = df.join(by_host, "host", "left").withColumn("features", _features(buckets))
     taught = df.where("decided is not null")
     block = (F.col("decided") == "block").cast("long")

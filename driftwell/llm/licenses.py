@@ -1,14 +1,18 @@
-"""License scans, in DataFrame expressions only: lines and whole texts against templates by TF-IDF cosine, then the license
-of the nearest ancestor directory for files that declare none.
+"""License scans, in DataFrame expressions only: lines, paragraphs and whole texts against templates by TF-IDF cosine, then the
+license of the nearest ancestor directory for files that declare none.
 
-Terms are lower-cased runs of letters and digits. idf(term) = ln((N + 1) / (df + 1)) + 1 over all documents, for the terms of
-the templates; any other term counts as one that is in a single document. A line's vector has tf * idf of its terms.
+Terms are lower-cased runs of letters and digits, and idf(term) = ln((N + 1) / (df + 1)) + 1 over all documents. A vector has tf * idf
+of a piece's terms. ``headers`` are compared with lines and with paragraphs (lines between empty ones); ``texts``, whole licenses,
+with whole files, and so are the headers.
 
-Few lines have to be compared: a line whose cosine with a template reaches ``threshold`` shares one of the template's heaviest
-terms, those before which the rest of its weight is under the threshold (the prefix filter). The test is exact, so texts and
-lines without such a term are dropped unseen.
+Few pieces have to be compared:
 
-A file declares the license of its best line, if that reaches ``threshold``; a file whose whole text reaches
+- a piece whose cosine with a template reaches a threshold shares one of the template's heaviest terms, those before which the
+  rest of its weight is under the threshold; texts and pieces without such a term are dropped unseen;
+- idf is 1 at least, so a piece's length is at least that of its plain counts, which bounds its cosine from above; the
+  document frequencies of other terms are then counted for those of the pieces that can still reach the threshold, by a join.
+
+Both tests are exact. A file declares the license of its best line or paragraph, if that reaches ``threshold``; a file whose whole text reaches
 ``file_threshold`` is a license file, and speaks for its directory and all below it that have none nearer. Of several license
 files of a directory the best speaks, the least license name and path breaking ties.
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import held, saved
 
-#: Short declarations of well-known licenses; a parameter of the scan.
+#: Short declarations and notices of well-known licenses; a parameter of the scan.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,12 +37,25 @@ TEMPLATES = {
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
 }
+#: Whole licenses, and the notices that files carry, of some paragraphs; a parameter of the scan.
+TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+}
 
 
 def terms(text: Column) -> Column:
@@ -60,17 +77,17 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> t
 
 
 class Model:
-    """Unit template vectors and idf weights."""
+    """Unit template vectors and the idf of their terms; templates are (license, text)."""
 
-    def __init__(self, templates: dict[str, str], n: int, df: dict[str, int]):
-        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for text in templates.values() for t in _terms(text)}
-        self.other = math.log((n + 1) / 2) + 1
+    def __init__(self, templates: list[tuple[str, str]], n: int, df: dict[str, int]):
+        self.n = n
+        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for _, text in templates for t in _terms(text)}
         self.vectors = {}
-        for name, text in templates.items():
+        for k, (license, text) in enumerate(templates):
             words = _terms(text)
             v = {t: words.count(t) * self.idf[t] for t in words}
             size = math.sqrt(sum(x * x for x in v.values()))
-            self.vectors[name] = {t: x / size for t, x in v.items()}
+            self.vectors[license, k] = {t: x / size for t, x in v.items()}
 
     def prefix(self, threshold: float) -> list[str]:
         """Terms of which a text within ``threshold`` of a template has one at least."""
@@ -86,14 +103,42 @@ class Model:
         return sorted(out)
 
 
-def compared(pieces: DataFrame, model: Model, spark) -> DataFrame:
-    """(key, license, score) of the best template of each piece (key, words); pieces without a template term are left out."""
-    idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))  # as many rows as the templates have terms
-    weights = F.broadcast(spark.createDataFrame([(t, name, x) for name, v in sorted(model.vectors.items()) for t, x in sorted(v.items())], "term string, license string, weight double"))
-    tf = pieces.select("key", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(idf, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(model.other)))
+def _tables(model: Model, spark) -> tuple[DataFrame, DataFrame]:
+    """idf, and weights, of the templates' terms: as many rows as templates have terms."""
+    idf = spark.createDataFrame(sorted(model.idf.items()), "term string, idf double")
+    weights = spark.createDataFrame([(t, license, k, x) for (license, k), v in sorted(model.vectors.items()) for t, x in sorted(v.items())], "term string, license string, template int, weight double")
+    return F.broadcast(idf), F.broadcast(weights)
+
+
+def reachable(pieces: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """(key, term, tf, idf) of pieces (key, words) whose cosine with a template can still reach the threshold; idf of the templates' terms only."""
+    idf, weights = _tables(model, pieces.sparkSession)
+    tf = pieces.select("key", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left")
+    least = F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(1.0)), 2)))
+    dots = tf.join(weights, "term").groupBy("key", "license", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot")).groupBy("key").agg(F.max("dot").alias("dot"))
+    keys = tf.groupBy("key").agg(least.alias("size")).join(dots, "key").where(F.col("dot") >= (threshold - 1e-9) * F.col("size")).select("key")
+    return saved(tf.join(keys, "key"))
+
+
+def other_idf(docs: DataFrame, text: str, found: list[DataFrame], n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(term, other) of the terms in ``found`` that have no idf yet, by their documents; they are broadcast to the texts if they are so few, and meet them in a shuffle else."""
+    missing = found[0].where("idf is null").select("term")
+    for more in found[1:]:
+        missing = missing.union(more.where("idf is null").select("term"))
+    missing = saved(missing.distinct())
+    few = missing.count() <= broadcast_rows
+    terms_of = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    df = terms_of.join(F.broadcast(missing) if few else missing, "term", "left_semi").groupBy("term").count()
+    return saved(df.select("term", (F.log((n + 1) / (F.col("count") + 1)) + 1).alias("other")))
+
+
+def compared(found: DataFrame, other: DataFrame, model: Model) -> DataFrame:
+    """(key, license, score) of the best template of each piece."""
+    _, weights = _tables(model, found.sparkSession)
+    x = F.col("tf") * F.coalesce("idf", "other", F.lit(math.log((model.n + 1) / 1) + 1))
+    tf = found.join(other, "term", "left").withColumn("x", x)
     size = tf.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = tf.join(weights, "term").groupBy("key", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = tf.join(weights, "term").groupBy("key", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = dots.join(size, "key").select("key", "license", F.round(F.col("dot") / F.col("size"), 9).alias("score"))
     best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
     return best.select("key", (-F.col("best.s")).alias("score"), "best.license")
@@ -106,24 +151,28 @@ def ancestors(directory: str) -> Column:
 
 
 def scanned(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "path", templates: dict[str, str] | None = None, threshold: float = 0.6, file_threshold: float = 0.5
+    docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "path", headers: dict[str, str] | None = None, texts: dict[str, str] | None = None, threshold: float = 0.6, file_threshold: float = 0.5
 ) -> DataFrame:
-    """One row of each row of ``docs``: id, path, license, score, origin ('header', 'directory' or 'none') and n_headers, the lines that declare a license."""
-    spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
+    """One row of each row of ``docs``: id, path, license, score, origin ('header', 'directory' or 'none') and n_headers, the lines and paragraphs that declare a license."""
+    headers, texts = TEMPLATES if headers is None else headers, TEXTS if texts is None else texts
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(path).cast("string").alias("path"))
-    vocabulary = sorted({t for x in templates.values() for t in _terms(x)})
-    n, df = document_frequencies(rows, "text", vocabulary)
-    model = Model(templates, n, df)
-    heavy = F.array(*map(F.lit, model.prefix(min(threshold, file_threshold))))
+    every = [*headers.items(), *texts.items()]
+    n, df = document_frequencies(rows, "text", sorted({t for _, x in every for t in _terms(x)}))
+    of_pieces, of_files = Model([*headers.items(), *((k, p) for k, x in texts.items() for p in x.split("\n"))], n, df), Model(every, n, df)
+    heavy = F.array(*map(F.lit, sorted({*of_pieces.prefix(threshold), *of_files.prefix(file_threshold)})))
     # a text's hash names it: copies are compared once, and ids may be null or repeated
     rows = rows.withColumn("t", F.sha2(F.coalesce("text", F.lit("")), 256))
     held_rows = held(rows.select("t", "text").withColumns({"words": terms(F.col("text"))}), "words")
     worth = saved(held_rows.where(F.arrays_overlap("words", heavy)).select("t", "text").dropDuplicates(["t"]))  # one pass over all texts; few stay
-    lines = worth.select("t", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    lines = held(lines.withColumn("words", terms(F.col("said"))), "words").where(F.arrays_overlap("words", heavy))
-    headers = compared(lines.select(F.struct("t", "line").alias("key"), "words"), model, spark).where(F.col("score") >= threshold)
-    top = headers.groupBy(F.col("key.t").alias("t")).agg(F.count("*").alias("n_headers"), F.min(F.struct((-F.col("score")).alias("s"), F.col("license"), F.col("key.line").alias("line"))).alias("best"))
-    files = compared(worth.select(F.col("t").alias("key"), terms(F.col("text")).alias("words")), model, spark).where(F.col("score") >= file_threshold)
+    paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.instr(F.btrim(x, F.lit(" \t\n\x0b\x0c\r")), "\n") > 0)
+    pieces = worth.select("t", F.posexplode(F.concat(F.split("text", "\n"), paragraphs)).alias("line", "said"))
+    pieces = held(pieces.withColumn("words", terms(F.col("said"))), "words").where(F.arrays_overlap("words", heavy))
+    near = reachable(pieces.select(F.struct("t", "line").alias("key"), "words"), of_pieces, threshold)
+    near_files = reachable(worth.select(F.col("t").alias("key"), terms(F.col("text")).alias("words")), of_files, file_threshold)
+    other = other_idf(rows, "text", [near, near_files], n)
+    said = compared(near, other, of_pieces).where(F.col("score") >= threshold)
+    top = said.groupBy(F.col("key.t").alias("t")).agg(F.count("*").alias("n_headers"), F.min(F.struct((-F.col("score")).alias("s"), F.col("license"), F.col("key.line").alias("line"))).alias("best"))
+    files = compared(near_files, other, of_files).where(F.col("score") >= file_threshold)
     slim = rows.select("id", "path", "t").withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     mine = slim.join(top.select("t", "n_headers", "best"), "t", "left")
     spoken = slim.where("dir is not null").join(files.select(F.col("key").alias("t"), "score", "license"), "t")

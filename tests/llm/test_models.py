@@ -78,6 +78,13 @@ def test_hosts_are_split_and_learned_from(spark):
     assert (got[100].verdict, got[101].verdict) == ("block", "allow")
 
 
+def test_a_very_long_host_takes_space_in_proportion(spark):
+    name = "cheappills" * 5000
+    df = spark.createDataFrame([(1, f"http://{name}.org/", "<p>cheap pills</p>" * 50)], "page_id long, url string, html string")
+    got = url_filter.judged(df, RULES).first()
+    assert got.words[:10_000] == ["cheap", "pills"] * 5000 and "".join(got.words) == name + "org"
+
+
 def test_viterbi_equals_all_splits():
     rng = random.Random(5)
     known = {w: -rng.random() * 10 for w in ["a", "ab", "b", "abc", "c", "ca", "cab", "bc"]}

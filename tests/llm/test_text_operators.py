@@ -105,12 +105,16 @@ def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.drop_frequent_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, threshold=3, fanout=2)
-    for k in range(4):
+def test_runs_are_compacted_and_leave_out_what_is_decided(spark):
+    runs = line_dedup.LineRuns(spark, threshold=3, fanout=2, buckets=2)
+    for k in range(5):
         runs.add(spark.createDataFrame([(1, 1, 1), (2, k, 1)], "h1 long, h2 long, n long"))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1, 3)]  # the fourth and fifth are not counted any more
+    both = runs._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in both.split("Initial Plan")[-1]
+    runs.drop()
+    assert runs.frequent().count() == 0
 
 
 def test_line_keys_of_slices():
@@ -307,19 +311,31 @@ def test_licenses(spark):
 
 def test_license_scores_equal_brute_force(spark):
     rng = random.Random(7)
+    common = [f"c{k}" for k in range(30)]
     texts = [rng.choice(list(licenses.TEMPLATES.values())) if k % 2 else " ".join(rng.choices("the license of mit apache under x y z version".split(), k=rng.randint(1, 9))) for k in range(60)]
-    texts = [" ".join(w for w in t.split() if rng.random() > 0.2) or "x" for t in texts]
+    texts = [" ".join([*(w for w in t.split() if rng.random() > 0.2), *rng.choices(common, k=rng.randint(0, 3))]) or "x" for t in texts]
     df = spark.createDataFrame([(k, t, f"d{k}/f") for k, t in enumerate(texts)], "doc_id long, text string, path string")
-    n, df_ = licenses.document_frequencies(df, "text", sorted({t for x in licenses.TEMPLATES.values() for t in licenses._terms(x)}))
-    m = licenses.Model(licenses.TEMPLATES, n, df_)
+    often = collections.Counter(w for t in texts for w in set(licenses._terms(t)))
+    idf = lambda w: math.log((len(texts) + 1) / (often[w] + 1)) + 1
+
+    def vector(t):
+        v = {w: n * idf(w) for w, n in collections.Counter(licenses._terms(t)).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / size for w, x in v.items()}
+
+    templates = [(k, vector(x)) for k, x in [*licenses.TEMPLATES.items(), *((k, p) for k, t in licenses.TEXTS.items() for p in t.split("\n"))]]
     got = {r.doc_id: (r.license, r.score) for r in licenses.scanned(df).where("origin = 'header'").collect()}
     for k, t in enumerate(texts):
-        tf = collections.Counter(licenses._terms(t))
-        v = {w: c * m.idf.get(w, m.other) for w, c in tf.items()}
-        size = math.sqrt(sum(x * x for x in v.values())) or 1
-        best = max(((round(sum(v.get(w, 0) * x for w, x in u.items()) / size, 9), name) for name, u in m.vectors.items()), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
-        assert (k in got) == (best[0] >= 0.6)
+        v = vector(t)
+        score, name = max(((round(sum(v.get(w, 0) * x for w, x in u.items()), 9), name) for name, u in templates), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
+        assert (k in got) == (score >= 0.6)
         if k in got:
-            assert got[k][1] == pytest.approx(best[0], abs=1e-6)
+            assert got[k] == (name, pytest.approx(score, abs=1e-6))
 
 
+def test_whole_licenses_speak_for_their_directories_at_any_size_of_the_corpus(spark):
+    for n in (50, 2000):
+        rows = [(1, "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"], "lib/LICENSE"), (2, "plain", "lib/src/a.c"), (3, "/*\n" + licenses.TEXTS["Apache-2.0"] + "\n*/\n" + "int x;\n" * 50, "app/b.c")]
+        rows += [(10 + k, f"some ordinary words of text {k % 7}", f"other/{k}") for k in range(n)]
+        got = {r.doc_id: (r.license, r.origin) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, path string")).where("license is not null").collect()}
+        assert got == {1: ("MIT", "header"), 2: ("MIT", "directory"), 3: ("Apache-2.0", "header")}

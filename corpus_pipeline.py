@@ -1,68 +1,5 @@
-"""A corpus pipeline: each stage works on what its predecessor kept, and is written as Parquet and read again between stages.
+"""A corpus pipeline; driftwell.llm.pipeline has its stages."""
 
-Stages filter or rewrite ``documents`` (doc_id, text, lang, source, n_chars) and the last packs it into sequences.
-"""
+from driftwell.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from driftwell.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
-from driftwell.llm.common import shared_folder
-from driftwell.sources.tables import table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
-
-
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go from the text; n_chars follows it."""
-    done = line_dedup.drop_frequent_lines(docs.select(*COLUMNS))
-    return done.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least doc_id."""
-    return jaccard_join.first_of_each(docs).select(*COLUMNS)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return decontaminate.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024 ids."""
-    return packing.packed(docs)
-
-
-STAGES = [
-    ("quality_rules", quality_rules_stage),
-    ("line_dedup", line_dedup_stage),
-    ("ngram_jaccard_join", near_duplicate_stage),
-    ("benchmark_decontamination", decontamination_stage),
-    ("best_fit_packing", packing_stage),
-]
-
-#: Token ids of a vocabulary file are not for SQL to find; the tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{folder}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]

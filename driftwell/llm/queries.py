@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm import decontaminate, fixity, jaccard_join, licenses, line_dedup, packing, quality_classifier, quality_rules, suffix_tree, url_filter
+from driftwell.llm import pipeline as corpus
 from driftwell.llm.common import remainder
 from driftwell.llm.sql import ORACLE_SQL
 from driftwell.sources.tables import table
@@ -73,9 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,10 +121,10 @@ def _start(pattern: tuple[int, ...], start: int | None) -> float:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[str, ...] = RULES, rounds: int = 30) -> LabelModel:
-    """Expectation-maximisation over the counts of vote patterns, from each of ``STARTS``; the likeliest model is taken, of equal ones the first.
+    """Expectation-maximisation over the counts of vote patterns, from each of ``STARTS``; the likeliest model is taken, imagined votes and texts counted too, of equal ones the first.
 
-    One and a half imagined votes of a rule in each class, one of them right, keep rates inside (0, 1), however many texts there
-    are. A rule is no worse than chance: where its vote for a text is more frequent among bad ones, it gets one rate for both and tells
+    One and a half imagined votes of a rule in each class, one of them right, keep rates inside (0, 1), and so does one text of each class; they
+    also tell which class is the good one where all texts are alike. A rule is no worse than chance: where its vote for a text is more frequent among bad ones, it gets one rate for both and tells
     nothing. Without patterns the prior is a half and nothing is said by any vote.
     """
     total = sum(n for _, n in patterns)
@@ -145,7 +145,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[str, ...] = RU
                     b = 1 - g
                 right[rule] = (g, b)
             model = LabelModel((sum(n * s for (_, n), s in zip(patterns, share)) + 1) / (total + 2), right)
-            share, likelihood = [], 0.0
+            share, likelihood = [], math.log(model.prior * (1 - model.prior)) + sum(math.log(g * b) + 0.5 * math.log((1 - g) * (1 - b)) for g, b in right.values())
             for p, n in patterns:
                 odds = model.odds(p)
                 share.append(1 / (1 + math.exp(-odds)) if odds > -700 else 0.0)

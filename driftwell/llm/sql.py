@@ -24,6 +24,7 @@ def quality_rules(rounds: int = 30) -> str:
     )
     odds = " + ".join(["ln(prior / (1 - prior))", *(f"CASE p.{r} WHEN 1 THEN ln(g_{r} / (1 - b_{r})) WHEN -1 THEN ln((1 - g_{r}) / b_{r}) ELSE 0 END" for r in votes)])
     bad = " + ".join(["ln(1 - prior)", *(f"CASE p.{r} WHEN 1 THEN ln(1 - b_{r}) WHEN -1 THEN ln(b_{r}) ELSE 0 END" for r in votes)])
+    imagined = " + ".join(f"ln(g_{r} * b_{r}) + 0.5 * ln((1 - g_{r}) * (1 - b_{r}))" for r in votes)
     own, names = ", ".join(votes), ", ".join(f"p.{r}" for r in votes)
     count = lambda v: " + ".join(f"({r} = {v})::INT" for r in votes)
     steps = ", ".join(
@@ -50,7 +51,7 @@ def quality_rules(rounds: int = 30) -> str:
         p0 AS MATERIALIZED (
             SELECT {own}, begun, n, CASE WHEN begun = 4 THEN (pro + 0.5) / (pro + against + 1) WHEN against >= begun THEN 0.1 ELSE 0.9 END AS s FROM patterns, (SELECT unnest([1, 2, 3, 4]) AS begun)
         ), {steps},
-        best AS MATERIALIZED (SELECT begun FROM (SELECT begun, sum(l) AS l FROM p{rounds} GROUP BY 1) ORDER BY round(l / 1e-6) DESC, begun LIMIT 1)
+        best AS MATERIALIZED (SELECT begun FROM (SELECT p.begun, sum(l) + max(ln(prior * (1 - prior)) + {imagined}) AS l FROM p{rounds} p JOIN m{rounds - 1} m ON p.begun = m.begun GROUP BY 1) ORDER BY round(l / 1e-6) DESC, begun LIMIT 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND s >= 0.5 AS kept
         FROM voted JOIN p{rounds} p USING ({own}) JOIN best USING (begun)

@@ -69,6 +69,13 @@ def test_a_rule_that_is_often_wrong_gets_that_accuracy_and_loses_no_clean_text(w
     assert any(-1 in p and model.odds(p) > 0 for p in patterns)
 
 
+def test_rules_that_speak_against_all_texts_alike_lose_none():
+    """Two of five rules are wrong for this corpus; a few texts break others too."""
+    patterns = {(1, 1, 1, -1, -1): 40, (-1, -1, 1, -1, -1): 2, (1, 1, 0, -1, -1): 5}
+    model = quality_rules.fit(sorted(patterns.items()), tuple("abcde"))
+    assert {p: model.odds(p) > 0 for p in patterns} == {(1, 1, 1, -1, -1): True, (-1, -1, 1, -1, -1): False, (1, 1, 0, -1, -1): True}
+
+
 def test_label_model_without_texts():
     model = quality_rules.fit([])
     assert model.prior == 0.5 and model.odds((1,) * len(quality_rules.RULES)) == 0

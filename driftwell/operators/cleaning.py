@@ -67,7 +67,7 @@ def high_is_one(df: DataFrame, label: str = "label", ret: str = "ret") -> DataFr
     return df.join(sd, "series_id").withColumn(label, F.when(flip, 1 - F.col(label)).otherwise(F.col(label))).drop("_sd0", "_sd1")
 
 
-def likeliest(probabilities: str) -> Column:
+def likeliest(probabilities: str | Column) -> Column:
     """The state of the largest of an array of probabilities, the first of equals, from 0."""
     return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int")
 

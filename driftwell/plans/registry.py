@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.plans import panel_queries, regime_queries, stat_queries
+from driftwell.plans import panel_queries, regime_queries, stat_queries, universe_queries
 
-MODULES = (panel_queries, stat_queries, regime_queries)
+MODULES = (panel_queries, stat_queries, regime_queries, universe_queries)
 
 
 def _dated(f):

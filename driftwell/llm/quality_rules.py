@@ -163,9 +163,10 @@ def fit_docs(counted: DataFrame, rounds: int = 30) -> LabelModel:
     return fit(sorted((tuple(r[x] for x in RULES), r["count"]) for r in rows), rounds=rounds)
 
 
-def judged(docs: DataFrame, text: str = "text", rounds: int = 30) -> DataFrame:
-    """``docs`` with its counts, base_failed, p_good and kept. Rows are written with their counts once, for the fit and for the verdicts."""
-    df = written(counts(docs, text))
+def judged(docs: DataFrame, text: str = "text", rounds: int = 30, columns: list[str] | None = None) -> DataFrame:
+    """``docs``, or those of its columns, with its counts, base_failed, p_good and kept. Rows are written with their counts once, for the fit and for the verdicts."""
+    df = counts(docs, text)
+    df = written(df if columns is None else df.select(*(F.col(f"`{c}`") for c in columns), *COUNTS))
     model = fit_docs(df, rounds)
     df = df.withColumn("base_failed", base_failed())
     return df.withColumn("p_good", 1 / (1 + F.exp(-model.log_odds(votes())))).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

@@ -240,3 +240,39 @@ def test_garch_likelihood_rises(spark):
     assert 0.05 < fine.alpha < 0.3 and 0.6 < fine.beta < 0.95
     z = np.array(values(garch.residuals(df, garch.fitted(df, nus=(6.0,), rounds=0)), "z"))
     assert z.std() == pytest.approx(1, abs=0.1)
+
+
+def test_deflated_sharpe_counts_its_trials(spark):
+    rng = np.random.default_rng(9)
+    trials = {k: rng.standard_normal(200) * 0.01 + 0.0005 * k for k in range(6)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in trials.items() for x in v], "trial int, pnl double")
+    got = inf.deflated_sharpe(df, "pnl", ["trial"])
+    sr = {k: v.mean() / v.std(ddof=1) for k, v in trials.items()}
+    best = max(sr, key=sr.get)
+    v = trials[best]
+    z = (v - v.mean()) / v.std()
+    skew, kurtosis = (z**3).mean(), (z**4).mean()
+    benchmark = inf.expected_max_sharpe(float(np.var(list(sr.values()), ddof=1)), 6)
+    want = distributions.normal_cdf((sr[best] - benchmark) * math.sqrt(199) / math.sqrt(1 - skew * sr[best] + (kurtosis - 1) / 4 * sr[best] ** 2))
+    assert got["best"] == {"trial": best} and got["trials"] == 6
+    assert got["benchmark"] == pytest.approx(benchmark) and got["dsr"] == pytest.approx(want)
+    assert inf.deflated_sharpe(df.limit(0), "pnl", ["trial"])["dsr"] is None
+
+
+def test_auc_interval_is_of_replicates_drawn_by_blocks(spark):
+    rng = np.random.default_rng(10)
+    y = (rng.random(120) < 0.4).astype(int)
+    x = np.round(y * 0.8 + rng.standard_normal(120), 2)
+    df = spark.createDataFrame([("s", DAY + dt.timedelta(days=i), float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "series_id string, ts date, x double, y int")
+    got = inf.auc_bootstrap(df, "x", "y", ["series_id"], 60, 10).first()
+    rows, drawn = inf._drawn(df, ["series_id"], 60, 10, True, 7, 50)
+    reps = drawn.join(rows, ["series_id", "_i"]).select("rep", "x", "y").toPandas()
+
+    def auc(p):
+        a, b = p.x[p.y == 1].to_numpy(), p.x[p.y == 0].to_numpy()
+        return ((a[:, None] > b) + 0.5 * (a[:, None] == b)).mean()
+
+    values = [auc(p) for _, p in reps.groupby("rep")]
+    assert len(values) == 60 and all(len(p) == 120 for _, p in reps.groupby("rep"))
+    assert got["value"] == pytest.approx(auc(pd.DataFrame({"x": x, "y": y})))
+    assert (got["low"], got["high"]) == (pytest.approx(np.quantile(values, 0.025)), pytest.approx(np.quantile(values, 0.975)))

@@ -159,7 +159,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate:
 def scored(
     docs: DataFrame, labels: DataFrame, learn: str, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 20_000, buckets: int = 2**14, width: int = 32
 ) -> DataFrame:
-    """(id, score) of each row of ``docs``; rows of ``labels`` (id, label) for which the SQL condition ``learn`` holds are learned from."""
+    """(id, score) of each row of ``docs``; rows of ``labels`` (id, label) for which the SQL condition ``learn`` holds are learned from. Ids are whole numbers, or what casts to them."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs, text, buckets, width))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

@@ -365,7 +365,22 @@ def bpc(spark, d):
     return rounded(B.composite(B.market_proxies(P.type_day(spark, d))).select("ts", *_ZS, "bpc"))
 
 
-@query()
+def _rolling_z(x: str) -> str:
+    f = S.rows(251)
+    return f"CASE WHEN count({x}) OVER {f} >= 60 THEN ({x} - avg({x}) OVER {f}) / greatest(stddev_samp({x}) OVER {f}, 1e-8) END"
+
+
+_SIDE = {side: f"CASE WHEN market {side} 0 THEN market END" for side in "<>"}
+
+
+@query(
+    f"""WITH {S.TYPE_DAY}, {S.MARKET}, disp AS (SELECT ts, -stddev_samp(ret) AS herd FROM panel GROUP BY ts),
+    m AS (SELECT series_id, ts, ret AS market, stress, herd, lag(ret) OVER ({S.W}) AS l, row_number() OVER ({S.W}) AS rn FROM stressed JOIN disp USING (ts)),
+    x AS (SELECT *, abs(market) / nullif({S.rolling('stddev_samp', 'market', 20, 10)}, 0) AS mv, -({S.rolling('avg', 'stress', 5, 2)}) AS sent FROM m), y AS (SELECT *, {S.rolling('avg', 'mv', 20, 10)} AS move FROM x)
+    SELECT ts, {r('market', 'market')}, {r(_rolling_z('herd'), 'herding_z')}, {r(f'CASE WHEN rn >= 60 THEN corr(market, l) OVER {S.rows(58)} END', 'autocorr')},
+    {r(f"CASE WHEN count({_SIDE['<']}) OVER {S.rows(19)} >= 2 AND count({_SIDE['>']}) OVER {S.rows(19)} >= 2 THEN stddev_pop({_SIDE['<']}) OVER {S.rows(19)} / nullif(stddev_pop({_SIDE['>']}) OVER {S.rows(19)}, 0) - 1 END", 'vol_asym')},
+    {r(f"({S.rolling('stddev_samp', 'market', 20, 10)}) / nullif({S.rolling('stddev_samp', 'market', 252, 60)}, 0)", 'vol_ratio')}, {r(_rolling_z('sent'), 'sentiment')}, {r(_rolling_z('move'), 'illiq_z')} FROM y"""
+)
 def rolling_composite(spark, d):
     return rounded(B.rolling_composite(P.type_day(spark, d)).drop("series_id"))
 

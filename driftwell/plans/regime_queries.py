@@ -142,7 +142,17 @@ def jump_online(spark, d):
     return rounded(jump.labelled(jump.features(weekly(spark, d)), (30.0,), 0.5).select("series_id", "ts", "real_time"))
 
 
-@query()
+_HALVES = (5, 10, 21)
+_WEIGHT = {h: f"0.5 ** ((a.rn - b.rn) / {h}.0)" for h in _HALVES}
+_FEATURES = {f"{kind}{h}": sql.format(h=h) for h in _HALVES for kind, sql in (("mean", "m{h}"), ("down", "ln(d{h})"), ("sortino", "m{h} / d{h}"))}
+
+
+@query(
+    f"""WITH {S.BRAND_WEEK}, v AS (SELECT series_id, ts, ret AS x, row_number() OVER ({S.W}) AS rn FROM panel WHERE ret IS NOT NULL),
+    e AS (SELECT a.series_id, a.ts, a.rn, {', '.join(f"sum(b.x * {w}) / sum({w}) AS m{h}, greatest(sqrt(sum(least(b.x, 0) ** 2 * {w}) / sum({w})), 1e-8) AS d{h}" for h, w in _WEIGHT.items())} FROM v a JOIN v b ON a.series_id = b.series_id AND b.rn <= a.rn GROUP BY 1, 2, 3),
+    f AS (SELECT series_id, ts, rn, {', '.join(f'{sql} AS {name}' for name, sql in _FEATURES.items())} FROM e), s AS (SELECT series_id, {', '.join(f'avg({n}) AS a_{n}, stddev_pop({n}) AS s_{n}' for n in _FEATURES)} FROM f WHERE rn <= 200 GROUP BY 1)
+    SELECT series_id, ts, {', '.join(r(f'greatest(-5, least(5, ({n} - a_{n}) / CASE WHEN s_{n} > 1e-12 THEN s_{n} ELSE 1 END))', n) for n in _FEATURES)} FROM f JOIN s USING (series_id)"""
+)
 def jump_features(spark, d):
     return rounded(jump.features(weekly(spark, d), n_fit=200))
 

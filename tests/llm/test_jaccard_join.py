@@ -141,3 +141,15 @@ def test_recall_on_the_documents_table(spark):
     assert pairs
     assert all(got[texts[a][0]].class_id == got[texts[b][0]].class_id for a, b in pairs)
     assert all(got[d].n_links == links[t] + len(ds) - 1 for t, ds in texts.items() for d in ds)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    changed = list(words)
+    changed[30_000] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "w1 " * 60_000), (4, "short text")]
+    df = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "doc_id long, text string, node string, id long, open boolean")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    kept = jj.first_of_each(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == df.columns

@@ -346,3 +346,19 @@ def test_whole_licenses_speak_for_their_directories_at_any_size_of_the_corpus(sp
         rows += [(10 + k, f"some ordinary words of text {k % 7}", f"other/{k}") for k in range(n)]
         got = {r.doc_id: (r.license, r.origin) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, path string")).where("license is not null").collect()}
         assert got == {1: ("MIT", "header"), 2: ("MIT", "directory"), 3: ("Apache-2.0", "header")}
+
+
+def test_licenses_of_long_texts_and_ties_of_a_directory(spark):
+    long = "word " * 200_000 + "\n" + licenses.TEMPLATES["CC0-1.0"] + "\n" + "word " * 1000
+    rows = [
+        (1, long, "x/one.txt"), (2, licenses.TEMPLATES["CC-BY-4.0"], "d/b"), (3, licenses.TEMPLATES["CC-BY-4.0"], "d/a"), (4, licenses.TEMPLATES["CC-BY-SA-4.0"], "d/c"), (5, "plain", "d/e/f"), (6, None, "d//g"), (7, "plain", "/"),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scanned(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, path string, score double")).collect()}
+    assert got[1] == ("CC0-1.0", "header") and got[5] == ("CC-BY-4.0", "directory") and got[7] == (None, "none")
+    assert len(got) == len(rows)
+
+
+def test_license_scan_of_an_empty_table_and_no_templates(spark, odd):
+    df = odd.selectExpr("doc_id", "text", "source as path")
+    assert licenses.scanned(df, headers={}, texts={}).where("license is not null").count() == 0
+    assert licenses.scanned(df.limit(0)).count() == 0

@@ -66,17 +66,23 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of that many rows at most, for what runs inside; then the session's setting holds again."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """That setting of the session for what runs inside; then the one before holds again."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of that many rows at most, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    return setting(spark, key, str(rows if now <= 0 else min(rows, now)))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves every bit of the output."""
     with np.errstate(over="ignore"):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import bucketed, dropped, line_keys, saved, slices, small_batches
+from driftwell.llm.common import bucketed, dropped, line_keys, saved, setting, slices, small_batches
 
 KEY = ("h1", "h2")
 
@@ -28,6 +28,11 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sorted_scans(spark: SparkSession):
+    """Buckets of one sorted file each, as runs are written, are read as sorted, so merge joins of runs sort nothing."""
+    return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+
 class LineRuns:
     """The runs of a store, as bucketed tables below a folder that all executors share."""
 
@@ -148,9 +153,10 @@ def frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10, bat
     spark, made = docs.sparkSession, []
     counts = bucketed(line_counts(docs, text, batches), _parts(spark), KEY, made, KEY)
     runs = LineRuns(spark, threshold)
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b))
-    found = saved(runs.frequent())
+    with sorted_scans(spark):
+        for b in range(batches):
+            runs.add(counts.where(F.col("batch") == b))
+        found = saved(runs.frequent())
     runs.drop()
     dropped(spark, made)
     return found

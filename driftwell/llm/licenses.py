@@ -7,8 +7,8 @@ with whole files, and so are the headers.
 
 Few pieces have to be compared:
 
-- a piece whose cosine with a template reaches a threshold shares one of the template's heaviest terms, those before which the
-  rest of its weight is under the threshold; texts and pieces without such a term are dropped unseen;
+- a piece whose cosine with a template reaches a threshold shares one of the template's rarest terms, as many as leave the
+  rest of its weight under the threshold; texts and pieces without such a term are dropped unseen;
 - idf is 1 at least, so a piece's length is at least that of its plain counts, which bounds its cosine from above; the
   document frequencies of other terms are then counted for those of the pieces that can still reach the threshold, by a join.
 
@@ -93,7 +93,7 @@ class Model:
         """Terms of which a text within ``threshold`` of a template has one at least."""
         out: set[str] = set()
         for v in self.vectors.values():
-            heavy = sorted(v, key=lambda t: (-v[t], t))
+            heavy = sorted(v, key=lambda t: (-self.idf[t], t))  # rare terms first: any order is exact, and this one drops most texts
             rest = sum(x * x for x in v.values())
             for t in heavy:
                 if rest < threshold * threshold - 1e-12:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, fixity, jaccard_join, licenses, line_dedup, packing, quality_classifier, quality_rules, suffix_tree, url_filter
+from driftwell.llm import decontaminate, fixity, jaccard_join, licenses, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_tree, url_filter
 from driftwell.llm import pipeline as corpus
 from driftwell.llm.common import remainder
 from driftwell.llm.sql import ORACLE_SQL
@@ -73,6 +73,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts repeat themselves, by a hash of the id, before they are searched."""
+    docs = periodic_runs.with_planted_run(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("top", periodic_runs.longest())
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -80,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_quality_classifier, op2_quality_rules, op3_url_filter, op4_line_dedup, op5_jaccard_join, op6_license_scan,
-        op7_best_fit_packing, op8_fixity_audit, op9_suffix_tree, op10_decontamination, pipeline,
+        op7_best_fit_packing, op8_fixity_audit, op9_suffix_tree, op10_decontamination, op11_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in named}
 

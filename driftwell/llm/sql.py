@@ -110,4 +110,26 @@ ORACLE_SQL = {
             CASE WHEN kind > 0 THEN CAST(second_offset AS BIGINT) ELSE -1 END AS second_offset, coalesce(CAST(second_bytes AS BIGINT), -1) AS second_bytes
         FROM placed WHERE kind < 3
     """,
+    "op13_lexical_search": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ), queries AS (
+            SELECT item_id, row_number() OVER () AS item, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+            FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+        ), asked AS (SELECT item, item_id, unnest(terms) AS term FROM queries
+        ), corpus AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM texts WHERE len(terms) > 0
+        ), cells AS (
+            SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM cells GROUP BY term), corpus
+        ), scores AS (
+            SELECT item, item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+            FROM asked JOIN cells USING (term) JOIN weights USING (term), corpus GROUP BY ALL
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row_id) AS rank FROM scores WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }

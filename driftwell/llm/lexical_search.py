@@ -30,7 +30,8 @@ from driftwell.llm.common import saved, slices, small_batches, word_hashes, writ
 
 _TERMS = np.zeros(256, np.uint8)
 _TERMS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-BLOCK = 4096
+#: Documents of a block, and paths that are followed at once.
+BLOCK, PATHS = 4096, 1 << 17
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ def _taken(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def descend(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray, best: Best, base: int, width: int = 8) -> None:
     """Adds the best columns for all items, whose (item, row, weight) are sorted by item. Columns are numbered from ``base`` on.
 
-    In each round every item's ``width`` highest ranges are halved, twice as many in the next.
+    In each round every item's ``width`` highest ranges are halved, twice as many in the next, until some ``PATHS`` paths are followed at once.
     """
     if not len(item) or not len(treap.value):
         return
@@ -123,7 +124,8 @@ def descend(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
     bound = np.add.reduceat(weight * treap.value[0], start)
     pool = np.stack([own, np.zeros_like(own), np.zeros_like(own), bound, start, count])
     node, paths = np.zeros(len(item), np.int64), len(item)
-    arena = [np.array(x) for x in (node, row, weight)]
+    arena = [x.astype(np.int32) for x in (node, row, weight)]
+    widest = max(width, PATHS // paths)
     while True:
         pool = pool[:, best.may(pool[0], pool[3], base + (pool[2] << (treap.depth - pool[1])))]
         if not pool.shape[1]:
@@ -133,7 +135,7 @@ def descend(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
         now, pool = pool[:, first], pool[:, ~first]
         at = _taken(now[4], now[5])
         of = np.repeat(np.arange(now.shape[1]), now[5])
-        node, row, weight = (x[at] for x in arena)
+        node, row, weight = (x[at].astype(np.int64) for x in arena)
         half = (row >> (treap.depth - 1 - now[1][of])) & 1
         # left halves, then right ones, of each range
         node = np.concatenate([treap.quarter(node, half, np.full_like(half, side)) for side in (0, 1)])
@@ -146,16 +148,19 @@ def descend(treap: Treap, item: np.ndarray, row: np.ndarray, weight: np.ndarray,
         new = np.stack([now[0][fresh // 2], now[1][fresh // 2] + 1, now[2][fresh // 2] * 2 + fresh % 2, bound, start, np.diff(np.append(start, len(of)))])
         done = new[1] == treap.depth
         best.add(new[0][done], new[3][done], base + new[2][done])
-        new = new[:, ~done]
-        # what new ranges hold goes behind what is there
+        new = new[:, ~done & best.may(new[0], new[3], base + (new[2] << (treap.depth - new[1])))]
+        # what new ranges hold goes behind what is there; where that is full, what no range needs any more goes first
         at = _taken(new[4], new[5])
         more = len(at)
         if paths + more > len(arena[0]):
-            arena = [np.concatenate([x[:paths], np.zeros(max(paths, more), np.int64)]) for x in arena]
+            pool = pool[:, best.may(pool[0], pool[3], base + (pool[2] << (treap.depth - pool[1])))]
+            need = _taken(pool[4], pool[5])
+            pool[4], paths = np.cumsum(pool[5]) - pool[5], len(need)
+            arena = [np.concatenate([x[need], np.zeros(paths + more, np.int32)]) for x in arena]
         for x, y in zip(arena, (node, row, weight)):
             x[paths : paths + more] = y[at]
         new[4] = paths + np.cumsum(new[5]) - new[5]
-        paths, width = paths + more, min(2 * width, 1024)
+        paths, width = paths + more, min(2 * width, widest)
         pool = np.concatenate([pool, new], axis=1)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, fixity, jaccard_join, lexical_search, licenses, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_tree, url_filter
+from driftwell.llm import decontaminate, fixity, jaccard_join, lexical_search, licenses, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, suffix_tree, url_filter
 from driftwell.llm import pipeline as corpus
 from driftwell.llm.common import remainder
 from driftwell.llm.sql import ORACLE_SQL
@@ -84,6 +84,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_quality_classifier, op2_quality_rules, op3_url_filter, op4_line_dedup, op5_jaccard_join, op6_license_scan,
-        op7_best_fit_packing, op8_fixity_audit, op9_suffix_tree, op10_decontamination, op11_periodic_runs, op13_lexical_search, pipeline,
+        op7_best_fit_packing, op8_fixity_audit, op9_suffix_tree, op10_decontamination, op11_periodic_runs, op12_suffix_dedup, op13_lexical_search, pipeline,
     )
     return {f.__name__: f for f in named}
 

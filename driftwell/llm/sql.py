@@ -110,6 +110,26 @@ ORACLE_SQL = {
             CASE WHEN kind > 0 THEN CAST(second_offset AS BIGINT) ELSE -1 END AS second_offset, coalesce(CAST(second_bytes AS BIGINT), -1) AS second_bytes
         FROM placed WHERE kind < 3
     """,
+    "op12_suffix_dedup": r"""
+        WITH texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS MATERIALIZED (
+            SELECT row_id, s, md5(substr(h, 2 * s + 1, 400)) AS string FROM (SELECT row_id, h, unnest(range(len(h) // 2 - 199)) AS s FROM texts)
+        ), starts AS (
+            SELECT row_id, s FROM strings WHERE string IN (SELECT string FROM strings GROUP BY string HAVING count(*) > 1)
+        ), marked AS (
+            SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY row_id ORDER BY s) + 200 THEN 1 ELSE 0 END AS fresh FROM starts
+        ), spans AS (
+            SELECT row_id, min(s) AS a, max(s) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY row_id ORDER BY s) AS span FROM marked) GROUP BY row_id, span
+        ), parts AS (
+            SELECT row_id, a, b, coalesce(lag(b) OVER (PARTITION BY row_id ORDER BY a), 0) AS before FROM spans
+        ), cut AS (
+            SELECT p.row_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM parts p JOIN texts t ON p.row_id = t.row_id GROUP BY p.row_id
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM texts t LEFT JOIN cut c ON t.row_id = c.row_id
+    """,
     "op13_lexical_search": r"""
         WITH texts AS (
             SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms

@@ -1,16 +1,16 @@
-"""Change points of mean and variance by penalised binary segmentation, as window aggregates; and volatility clusters of the
-segments by exact two-means.
-
-Splits are greedy, so boundaries can differ from those of an optimal search over all segmentations.
+"""Change points of mean and variance: the best of all segmentations by pruned dynamic programming, or greedy binary
+splits as window aggregates; and volatility clusters of the segments by exact two-means.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftwell.operators.blocks import saved
+from driftwell.operators.blocks import numbered, saved
 
 
 def _cost(n, s1, s2):
@@ -42,6 +42,82 @@ def segmented(df: DataFrame, column: str = "ret", penalty: float = 3.0, least: i
     return rows.select("series_id", "ts", "x", "segment")
 
 
+def cheapest(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, penalty: float, least: int, floor: float = 1e-6, pruned: bool = True) -> tuple[list[int], float]:
+    """(cells where segments begin, cost) of the cheapest segmentation of cells with ``n`` values, their sums and sums of squares.
+
+    A segment costs its values times ln(variance + floor), plus the penalty, and has ``least`` values or more; fewer in all are one segment. Since a
+    segment never costs less than its halves without penalty, a beginning that is dearer than the cheapest segmentation up to some end,
+    penalty included, is never needed by segments that end ``least`` values after that end or later: there the other beginning is as near.
+    Ties go to the longest last segment.
+    """
+    at, a1, a2 = (np.append(0.0, np.cumsum(x)) for x in (n, s1, s2))
+    m = len(n)
+
+    def cost(starts: np.ndarray, end: int) -> np.ndarray:
+        size = at[end] - at[starts]
+        mean = (a1[end] - a1[starts]) / size
+        return size * np.log(np.maximum((a2[end] - a2[starts]) / size - mean * mean, 0.0) + floor)
+
+    best, last = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+    best[0] = 0.0
+    if at[m] < 2 * least:
+        return [0], float(cost(np.array([0]), m)[0] + penalty) if m else 0.0
+    open_, until, entered = np.zeros(0, np.int64), np.zeros(0), 0
+    for end in range(1, m + 1):
+        fresh = []
+        while entered < end and at[end] - at[entered] >= least:
+            if np.isfinite(best[entered]):
+                fresh.append(entered)
+            entered += 1
+        keep = until > at[end]
+        open_, until = np.append(open_[keep], fresh).astype(np.int64), np.append(until[keep], np.full(len(fresh), np.inf))
+        if not len(open_):
+            continue
+        value = best[open_] + cost(open_, end)
+        i = int(np.argmin(value))
+        best[end], last[end] = value[i] + penalty, open_[i]
+        if pruned:
+            until = np.where((value > best[end]) & np.isinf(until), at[end] + least, until)
+    starts, end = [], m
+    while end > 0:
+        end = int(last[end])
+        starts.append(end)
+    return starts[::-1], float(best[m])
+
+
+def optimal(df: DataFrame, column: str = "ret", penalty: float = 3.0, least: int = 21, grid: int = 5, floor: float = 1e-6) -> DataFrame:
+    """(series_id, ts, x, segment, cost): segments, from 0, of the cheapest segmentation of each series among boundaries at every ``grid`` rows,
+    with ``penalty`` * ln(rows of the series) a segment; ``cost`` is that of the whole segmentation.
+
+    Rows are numbered in ranges and summed by cell of ``grid`` rows; the search sees three numbers a cell, and its labels go back to the rows
+    by a join on cells, so no task holds the rows of a series. Rows whose value is null are left out.
+    """
+    series = dict(df.dtypes)["series_id"]
+    rows = numbered(df.where(F.col(column).isNotNull()).select("series_id", "ts", F.col(column).cast("double").alias("x")))
+    rows = saved(rows.select("series_id", "ts", "x", F.floor(F.col("rn") / grid).alias("cell")))
+    # centred first, so that sums of squares keep their digits
+    means = rows.groupBy("series_id").agg(F.avg("x").alias("mean"))
+    y = F.col("x") - F.col("mean")
+    cells = rows.join(means, "series_id").groupBy("series_id", "cell").agg(F.count("*").alias("n"), F.sum(y).alias("s1"), F.sum(y * y).alias("s2"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("cell")
+        n = p["n"].to_numpy(float)
+        starts, cost = cheapest(n, p["s1"].to_numpy(float), p["s2"].to_numpy(float), penalty * np.log(n.sum()), least, floor)
+        segment = np.repeat(np.arange(len(starts)), np.diff([*starts, len(n)]))
+        return pd.DataFrame({"series_id": p["series_id"], "cell": p["cell"], "segment": segment, "cost": cost})
+
+    found = cells.groupBy("series_id").applyInPandas(run, f"series_id {series}, cell long, segment int, cost double")
+    return rows.join(found, ["series_id", "cell"]).select("series_id", "ts", "x", "segment", "cost")
+
+
+def cost(rows: DataFrame, penalty: float = 3.0, floor: float = 1e-6) -> DataFrame:
+    """(series_id, segments, cost) of a segmentation, by the measure of ``optimal``."""
+    segs = rows.groupBy("series_id", "segment").agg(F.count("*").alias("n"), F.var_pop("x").alias("var"))
+    total = F.sum(F.col("n") * F.log(F.col("var") + floor)) + penalty * F.count("*") * F.log(F.sum("n"))
+    return segs.groupBy("series_id").agg(F.count("*").alias("segments"), total.alias("cost"))
+
+
 def clustered(rows: DataFrame) -> DataFrame:
     """(series_id, segment, start, stop, n, sd, label): 1 for the segments of the upper of two clusters of log deviation.
 

@@ -157,9 +157,40 @@ def jump_features(spark, d):
     return rounded(jump.features(weekly(spark, d), n_fit=200))
 
 
-@query()
+#: The cheapest segmentation by dynamic programming over every earlier beginning: lists hold the best cost up to each cell and where its last segment begins.
+_SEGMENTED = f"""{S.TYPE_DAY}, v AS (SELECT series_id, ts, ret AS x, row_number() OVER ({S.W}) - 1 AS rn, ret - avg(ret) OVER (PARTITION BY series_id) AS y FROM panel WHERE ret IS NOT NULL),
+    cells AS (SELECT series_id, rn // 5 AS cell, count(*) AS n, sum(y) AS s1, sum(y * y) AS s2 FROM v GROUP BY 1, 2),
+    upto AS (SELECT series_id, cell, sum(n) OVER (PARTITION BY series_id ORDER BY cell) AS n, sum(s1) OVER (PARTITION BY series_id ORDER BY cell) AS s1, sum(s2) OVER (PARTITION BY series_id ORDER BY cell) AS s2 FROM cells),
+    sums AS MATERIALIZED (SELECT series_id, list_prepend(0, list(n ORDER BY cell)) AS n, list_prepend(0, list(s1 ORDER BY cell)) AS s1, list_prepend(0, list(s2 ORDER BY cell)) AS s2, 3 * ln(max(n)) AS pen FROM upto GROUP BY 1),
+    search AS (SELECT series_id, 0 AS j, [0.0::DOUBLE] AS best, 0 AS start FROM sums
+        UNION ALL SELECT series_id, j + 1, list_append(best, got.v + pen), got.s FROM (SELECT series_id, j, best, pen,
+            list_min(list_transform(list_filter(range(0, j + 1), lambda i: best[i + 1] IS NOT NULL AND (n[j + 2] - n[i + 1] >= 21 OR i = 0 AND n[len(n)] < 42 AND j + 2 = len(n))), lambda i: {{'v': best[i + 1] + (n[j + 2] - n[i + 1])
+                * ln(greatest((s2[j + 2] - s2[i + 1]) / (n[j + 2] - n[i + 1]) - ((s1[j + 2] - s1[i + 1]) / (n[j + 2] - n[i + 1])) ** 2, 0) + 1e-6), 's': i}})) AS got
+            FROM search JOIN sums USING (series_id) WHERE j + 1 < len(n))),
+    walk AS (SELECT series_id, j AS stop, start FROM search WHERE (series_id, j) IN (SELECT (series_id, max(j)) FROM search GROUP BY series_id)
+        UNION ALL SELECT s.series_id, s.j, s.start FROM walk w JOIN search s ON s.series_id = w.series_id AND s.j = w.start WHERE w.start > 0),
+    segs AS (SELECT series_id, start, stop, row_number() OVER (PARTITION BY series_id ORDER BY start) - 1 AS segment FROM walk)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SEGMENTED}, g AS (SELECT v.series_id, segment, min(ts) AS start, max(ts) AS stop, count(*) AS n, stddev_pop(x) AS sd, ln(greatest(stddev_pop(x), 1e-12)) AS l FROM v JOIN segs s ON v.series_id = s.series_id AND rn // 5 >= s.start AND rn // 5 < s.stop GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS m, sum(l) OVER w AS a, sum(l) OVER (PARTITION BY series_id) AS t FROM g WINDOW w AS (PARTITION BY series_id ORDER BY l, segment)),
+    c AS (SELECT series_id, i AS cut FROM o WHERE i < m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY a * a / i + (t - a) * (t - a) / (m - i) DESC, i) = 1)
+    SELECT o.series_id, segment, start, stop, n, {r('sd', 'sd')}, coalesce(CAST(i > cut AS INT), 0) AS label FROM o LEFT JOIN c USING (series_id)""",
+    dates=("start", "stop"),
+)
 def changepoints(spark, d):
-    return rounded(segments.clustered(segments.segmented(P.type_day(spark, d))))
+    """The cheapest of all segmentations of each daily series, and its segments in two clusters of deviation."""
+    return rounded(segments.clustered(segments.optimal(P.type_day(spark, d))))
+
+
+@query()
+def changepoints_greedy(spark, d):
+    """Binary splits instead, each the best of its segment: what they cost beside the cheapest segmentation at the same boundaries and penalty."""
+    df = P.type_day(spark, d)
+    best = segments.optimal(df, grid=1).groupBy("series_id").agg(F.countDistinct("segment").alias("segments"), F.max("cost").alias("cost"))
+    greedy = segments.cost(segments.segmented(df)).select("series_id", F.col("segments").alias("greedy_segments"), F.col("cost").alias("greedy_cost"))
+    return rounded(best.join(greedy, "series_id"), "cost", "greedy_cost")
 
 
 @query()

@@ -200,6 +200,37 @@ def test_regimes_are_recovered(spark):
     assert all(abs((r.start - DAY).days - t) <= 6 for r, t in zip(cuts, (0, 150, 300, 450)))
 
 
+def test_cheapest_segmentation_equals_an_unpruned_search():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        n = int(rng.integers(1, 260))
+        x = rng.standard_normal(n) * np.repeat(rng.uniform(0.3, 3, n // 40 + 1), 40)[:n] if k % 5 else np.round(rng.standard_normal(n)) * (rng.random(n) < 0.2)
+        for grid, least in ((5, 21), (1, 4), (3, 7)):
+            at = np.arange(0, n, grid)
+            cells = np.diff(np.append(at, n)).astype(float), np.add.reduceat(x, at), np.add.reduceat(x * x, at)
+            penalty = rng.uniform(0.2, 3) * np.log(max(n, 2))
+            starts, cost = segments.cheapest(*cells, penalty, least)
+            assert (starts, cost) == segments.cheapest(*cells, penalty, least, pruned=False)
+            parts = [x[a * grid : b * grid] for a, b in zip(starts, [*starts[1:], n])]
+            assert cost == pytest.approx(sum(len(p) * np.log(p.var() + 1e-6) + penalty for p in parts), abs=1e-6)
+            assert len(parts) == 1 or min(map(len, parts)) >= least
+
+
+def test_optimal_segments_cost_no_more_than_greedy_ones(spark):
+    scale = np.concatenate([np.repeat([0.01, 0.05, 0.01, 0.05], 150), np.repeat([0.02, 0.03, 0.025, 0.015, 0.05, 0.01], 70)])
+    df = panel(spark, {"a": noise(len(scale)) * scale, "b": noise(len(scale)) * 0.01, "short": noise(30), "one": [0.5]})
+    found = segments.optimal(df, grid=1)
+    assert found.count() == 2 * len(scale) + 31
+    best = {r.series_id: r.cost for r in found.select("series_id", "cost").distinct().collect()}
+    assert best == pytest.approx({r.series_id: r.cost for r in segments.cost(found).collect()}, abs=1e-6)
+    greedy = {r.series_id: r.cost for r in segments.cost(segments.segmented(df)).collect()}
+    assert set(best) == set(greedy) and all(best[s] <= greedy[s] + 1e-6 for s in best)
+    assert best["a"] < greedy["a"]
+    cuts = segments.clustered(segments.optimal(df.where("series_id = 'a'"))).orderBy("start").collect()
+    assert [r.segment for r in cuts] == list(range(len(cuts))) and sum(r.n for r in cuts) == len(scale)
+    assert segments.optimal(df.limit(0)).count() == 0
+
+
 def test_fits_tell_whether_they_converged():
     x = noise(200) * np.repeat([0.5, 2.0], 100)
     assert not hmm.fit(x, 2, restarts=2, most=2)["converged"]

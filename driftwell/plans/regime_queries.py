@@ -195,13 +195,14 @@ def changepoints_greedy(spark, d):
 
 @query()
 def garch_fit(spark, d):
-    return rounded(garch.fitted(weekly(spark, d), nus=(0.0, 4.0, 8.0), rounds=1))
+    """The most likely parameters of each brand under normal and Student errors."""
+    return rounded(garch.by_law(weekly(spark, d)))
 
 
 @query()
 def garch_pit(spark, d):
     df = weekly(spark, d)
-    return rounded(garch.residuals(df, garch.fitted(df, nus=(0.0, 4.0, 8.0), rounds=1)))
+    return rounded(garch.residuals(df, garch.fitted(df)))
 
 
 @query(
@@ -212,7 +213,7 @@ def garch_pit(spark, d):
 def garch_filter(spark, d):
     """Variances under alpha 0.1, beta 0.85 and each series' own mean and variance."""
     df = weekly(spark, d)
-    given = df.groupBy("series_id").agg(F.avg("ret").alias("mean"), F.var_pop("ret").alias("target")).withColumns({"alpha": F.lit(0.1), "beta": F.lit(0.85), "nu": F.lit(0.0)})
+    given = df.groupBy("series_id").agg(F.avg("ret").alias("mean"), F.var_pop("ret").alias("target")).withColumns({"alpha": F.lit(0.1), "beta": F.lit(0.85), "omega": 0.05 * F.col("target"), "nu": F.lit(0.0)})
     return rounded(garch.residuals(df, given).select("series_id", "ts", "variance", "z"))
 
 

@@ -258,19 +258,72 @@ def test_fits_by_blocks_are_those_of_whole_series(spark):
     assert got.a == pytest.approx(want["a"].tolist(), abs=1e-6) and got.pi == pytest.approx(want["pi"].tolist(), abs=1e-8)
 
 
-def test_garch_likelihood_rises(spark):
-    rng = np.random.default_rng(8)
-    h, x = 1.0, []
-    for _ in range(600):
-        v = math.sqrt(h) * rng.standard_normal()
-        x.append(v)
-        h = 0.05 + 0.15 * v * v + 0.8 * h
-    df = panel(spark, {"a": x})
-    coarse, fine = (garch.fitted(df, nus=(0.0,), rounds=k).first() for k in (0, 2))
-    assert fine.loglik >= coarse.loglik - 1e-9
-    assert 0.05 < fine.alpha < 0.3 and 0.6 < fine.beta < 0.95
-    z = np.array(values(garch.residuals(df, garch.fitted(df, nus=(6.0,), rounds=0)), "z"))
-    assert z.std() == pytest.approx(1, abs=0.1)
+def simulated(n, omega, alpha, beta, nu, seed):
+    rng = np.random.default_rng(seed)
+    h, x = omega / (1 - alpha - beta), []
+    for _ in range(n):
+        v = math.sqrt(h) * (rng.standard_t(nu) * math.sqrt((nu - 2) / nu) if nu else rng.standard_normal())
+        x.append(0.03 + v)
+        h = omega + alpha * v * v + beta * h
+    return np.array(x)
+
+
+def direct_garch(x, student):
+    """The highest likelihood that a simplex search from several starts finds, by the recursion row by row."""
+
+    def value(p):
+        mean, omega, alpha, beta, nu = p
+        if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 1 or not 2.01 < nu < 500:
+            return -math.inf
+        e2 = (x - mean) ** 2
+        return float(garch.loglik(e2, garch.variances(e2, x.var(), np.array([alpha]), np.array([beta]), np.array([omega])), nu if student else None)[0])
+
+    best = -math.inf
+    for alpha, beta in ((0.1, 0.8), (0.2, 0.4)):
+        start = np.array([x.mean(), x.var() * (1 - alpha - beta), alpha, beta, 7.0])
+        simplex = [start, *(start + np.diag(np.array([0.1 * x.std(), 0.5 * start[1], 0.05, -0.1, 3.0]))[k] for k in range(5 if student else 4))]
+        pairs = sorted(((value(p), k, p) for k, p in enumerate(simplex)), reverse=True)
+        for k in range(400):
+            worst, middle = pairs[-1], np.mean([q[2] for q in pairs[:-1]], axis=0)
+            tried = [(value(p), 10 + k, p) for p in (middle + w * (middle - worst[2]) for w in (1.0, 2.0, 0.5, -0.5))]
+            top = max(tried, key=lambda q: q[0])
+            if top[0] > worst[0]:
+                pairs[-1] = top
+            else:
+                pairs = [pairs[0], *((value(p), q[1], p) for q in pairs[1:] for p in [(q[2] + pairs[0][2]) / 2])]
+            pairs.sort(key=lambda q: (q[0], q[1]), reverse=True)
+        best = max(best, pairs[0][0])
+    return best
+
+
+def test_garch_by_likelihood(spark):
+    series = {"a": simulated(400, 0.05, 0.15, 0.8, 0, 1), "b": simulated(300, 0.2, 0.3, 0.5, 5, 2), "c": simulated(120, 1.0, 0.0, 0.0, 0, 3)}
+    df = panel(spark, {**series, "short": noise(30), "flat": [1.0] * 60})
+    found = {(r.series_id, r.law): r for r in garch.by_law(df).collect()}
+    assert set(found) == {(s, law) for s in series for law in ("normal", "student")} and all(r.converged for r in found.values())
+    for (s, law), r in found.items():
+        e2 = (series[s] - r["mean"]) ** 2
+        h = garch.variances(e2, r.target, np.array([r.alpha]), np.array([r.beta]), np.array([r.omega]))
+        assert r.loglik == pytest.approx(float(garch.loglik(e2, h, r.nu or None)[0]), abs=1e-8)
+        assert r.loglik >= direct_garch(series[s], law == "student") - 1e-4
+    for nus, law in (((0.0,), "normal"), ((4.0, 8.0, 12.0), "student")):
+        for r in garch.gridded(df, nus=nus).collect():
+            assert found[r.series_id, law].loglik >= r.loglik
+    chosen = {r.series_id: r for r in garch.fitted(df).collect()}
+    assert chosen["a"].law == "normal" and chosen["b"].law == "student" and 0.05 < chosen["a"].alpha < 0.4 and 0.4 < chosen["a"].beta < 0.95
+    z = garch.residuals(df, garch.fitted(df)).groupBy("series_id").agg(F.stddev("z").alias("z")).collect()
+    assert [r.z for r in z] == pytest.approx([1] * 3, abs=0.1)
+
+
+def test_garch_by_rounds_over_blocks_is_that_of_whole_series(spark):
+    df = panel(spark, {"a": simulated(241, 0.05, 0.15, 0.8, 0, 1), "b": simulated(200, 0.2, 0.3, 0.5, 5, 2), "short": simulated(60, 0.2, 0.3, 0.5, 5, 3)})
+    whole = {(r.series_id, r.law): r for r in garch.by_law(df).collect()}
+    for size in (80, 240):
+        parts = {(r.series_id, r.law): r for r in garch.by_law(df, size=size).collect()}
+        assert set(parts) == set(whole)
+        for k, r in whole.items():
+            assert parts[k].loglik == pytest.approx(r.loglik, abs=1e-6) and parts[k].n == r.n
+            assert (parts[k].alpha, parts[k].beta, parts[k].omega) == pytest.approx((r.alpha, r.beta, r.omega), abs=2e-3)
 
 
 def test_deflated_sharpe_counts_its_trials(spark):

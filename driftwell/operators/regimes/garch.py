@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.distributions import normal_ppf, student_cdf
-from driftwell.operators.blocks import numbered, saved
+from driftwell.operators.blocks import numbered, saved, spread
 
 
 def variances(e2: np.ndarray, target: float, alpha: np.ndarray, beta: np.ndarray, omega: np.ndarray | None = None) -> np.ndarray:
@@ -270,7 +270,7 @@ def by_law(df: DataFrame, column: str = "ret", laws: tuple[str, ...] = ("normal"
                 out.append((f["series_id"], *_row(max(found, key=lambda s: s.value), int(f["n"]))))
         return pd.DataFrame(out, columns=names)
 
-    short = blocks.where(F.col("n") <= size).groupBy("series_id").applyInPandas(whole, schema)
+    short = spread(blocks.where(F.col("n") <= size), "series_id").groupBy("series_id").applyInPandas(whole, schema)
     long = blocks.where(F.col("n") > size)
     found = _by_rounds(long, series, schema, laws, count, most) if not long.isEmpty() else None
     return short if found is None else short.unionByName(found)
@@ -407,7 +407,7 @@ def gridded(df: DataFrame, column: str = "ret", nus: tuple[float, ...] = (0.0, 4
             near = best.select("series_id", F.col("alpha").alias("a0"), F.col("beta").alias("b0"), "nu")
             grid = rows.join(near, "series_id").withColumn("alpha", F.explode(F.array(*(F.greatest(F.lit(0.0), F.col("a0") + (i / (steps - 1) - 0.5) * 0.07 * width) for i in range(steps)))))
             grid = grid.withColumn("betas", F.array(*(F.col("b0") + (i / (2 * steps) - 0.5) * 0.06 * width for i in range(2 * steps + 1)))).drop("a0", "b0")
-        tried = grid.groupBy("series_id", "alpha", "nu").applyInPandas(run, schema)
+        tried = spread(grid, "series_id", "alpha", "nu").groupBy("series_id", "alpha", "nu").applyInPandas(run, schema)
         best = tried.groupBy("series_id").agg(F.max(F.struct("loglik", "alpha", "beta", "nu", "mean", "target", "n")).alias("b")).select("series_id", "b.*")
         width /= 4
     p = F.when(F.col("nu") > 0, 5).otherwise(4)

@@ -7,12 +7,14 @@ forward pass from each state, summaries are composed in order, and blocks are re
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators.blocks import numbered, saved
+from driftwell.operators.blocks import numbered, saved, spread
 
 FLOOR = 1e-3
 PARAMETERS = "k int, pi array<double>, a array<double>, mu array<double>, sd array<double>, loglik double, bic double, n long, converged boolean"
@@ -24,30 +26,71 @@ def densities(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return -0.5 * ((x - mu) / sd) ** 2 - np.log(sd) - 0.9189385332046727
 
 
-def forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered probabilities and log predictive densities of (T, ..., K) log densities."""
+def _in_blocks(b: np.ndarray) -> np.ndarray:
+    """(T, ..., K) as blocks of about sqrt(T) rows: place in block, block, ..., K. Rows behind the last are 1, which moves nothing that matters."""
+    size = math.isqrt(max(len(b) - 1, 0)) + 1
+    count = -(-len(b) // size)
+    padded = np.concatenate([b, np.ones((count * size - len(b), *b.shape[1:]))])
+    return np.swapaxes(padded.reshape(count, size, *b.shape[1:]), 0, 1)
+
+
+def _maps(blocks: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Each block's matrix, up to a factor: the state before a block to the state before the next."""
+    m = blocks[0][..., :, None] * a
+    for b in blocks[1:]:
+        m = (m * b[..., None, :]) @ a
+        m /= m.max((-1, -2), keepdims=True)
+    return m
+
+
+def _left(now: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (now[..., None, :] @ m)[..., 0, :]
+
+
+def _right(m: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return (m @ now[..., None])[..., 0]
+
+
+def forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered probabilities and log predictive densities of (T, ..., K) log densities.
+
+    All blocks of rows move at once: a block's matrix, carries over blocks, and blocks from their carries.
+    """
     top = logb.max(-1)
-    b = np.exp(logb - top[..., None])
-    out, scale = np.empty_like(b), np.empty(b.shape[:-1])
-    now = pi
-    for t in range(len(b)):
-        now = now * b[t]
+    blocks = _in_blocks(np.exp(logb - top[..., None]))
+    maps = _maps(blocks, a) if maps is None else maps
+    carry, now = np.empty(blocks.shape[1:]), pi
+    for k in range(len(carry)):
+        carry[k] = now
+        now = _left(now, maps[k])
+        now = now / now.sum(-1, keepdims=True)
+    out, scale = np.empty_like(blocks), np.empty(blocks.shape[:-1])
+    now = carry
+    for t in range(len(blocks)):
+        now = now * blocks[t]
         total = now.sum(-1)
         scale[t] = total
         out[t] = now = now / total[..., None]
-        now = np.einsum("...i,...ij->...j", now, a)
-    return out, np.log(scale) + top
+        now = _left(now, a)
+    whole = lambda x: np.swapaxes(x, 0, 1).reshape(-1, *x.shape[2:])[: len(logb)]
+    return whole(out), np.log(whole(scale)) + top
 
 
-def backward(logb: np.ndarray, a: np.ndarray) -> np.ndarray:
+def backward(logb: np.ndarray, a: np.ndarray, maps: np.ndarray | None = None) -> np.ndarray:
     """Backward variables, each scaled to a sum of 1."""
-    b = np.exp(logb - logb.max(-1, keepdims=True))
-    out = np.empty_like(b)
-    out[-1] = now = np.full(b.shape[1:], 1 / b.shape[-1])
-    for t in range(len(b) - 2, -1, -1):
-        now = np.einsum("...ij,...j->...i", a, b[t + 1] * now)
+    blocks = _in_blocks(np.exp(logb - logb.max(-1, keepdims=True)))
+    maps = _maps(blocks, a) if maps is None else maps
+    after, now = np.empty(blocks.shape[1:]), np.full(blocks.shape[2:], 1 / blocks.shape[-1])
+    for k in range(len(after) - 1, -1, -1):  # of the state behind a block
+        after[k] = now
+        now = _right(maps[k], now)
+        now = now / now.sum(-1, keepdims=True)
+    out, now = np.empty_like(blocks), after
+    for t in range(len(blocks) - 1, -1, -1):
+        now = _right(a, now)
         out[t] = now = now / now.sum(-1, keepdims=True)
-    return out
+        now = now * blocks[t]
+    return np.swapaxes(out, 0, 1).reshape(-1, *out.shape[2:])[: len(logb)]
 
 
 def starts(centre: float, spread: float, k: int, restarts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,29 +104,38 @@ def starts(centre: float, spread: float, k: int, restarts: int) -> tuple[np.ndar
 
 
 def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: float = 1e-6) -> dict:
-    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation. ``converged`` tells whether that one settled within ``most`` rounds."""
+    """Baum-Welch from ``restarts`` starts spread in scale; the best of them, states ordered by deviation. ``converged`` tells whether that one settled within ``most`` rounds.
+
+    A restart that has settled takes no part in later rounds.
+    """
     n, spread = len(x), max(float(x.std()), FLOOR)
     pi, a, mu, sd = starts(x.mean(), spread, k, restarts)
     last, settled = np.full(restarts, -np.inf), np.zeros(restarts, bool)
     for _ in range(most):
-        logb = densities(x, mu, sd)
-        alpha, ll = forward(logb, pi, a)
-        beta = backward(logb, a)
-        gamma = alpha * beta
-        gamma /= gamma.sum(-1, keepdims=True)
+        on = np.flatnonzero(~settled)
+        logb = densities(x, mu[on], sd[on])
+        b = np.exp(logb - logb.max(-1, keepdims=True))
+        maps = _maps(_in_blocks(b), a[on])
+        alpha, ll = forward(logb, pi[on], a[on], maps)
         total = ll.sum(0)
-        settled = total - last < tolerance * np.abs(total)
-        if np.all(settled):
+        stop = total - last[on] < tolerance * np.abs(total)
+        last[on], settled[on[stop]] = total, True
+        if stop.all():
             break
-        last = total
-        b = np.exp(logb - logb.max(-1, keepdims=True))
-        xi = np.einsum("tri,rij,trj->trij", alpha[:-1], a, b[1:] * beta[1:])
+        # restarts that have settled keep what they have
+        go = ~stop
+        on, logb, b, alpha = on[go], logb[:, go], b[:, go], alpha[:, go]
+        beta = backward(logb, a[on], maps[:, go])
+        gamma = alpha * beta
+        gamma /= gamma.sum(-1, keepdims=True)
+        ahead = b[1:] * beta[1:]
+        xi = alpha[:-1, ..., :, None] * a[on] * ahead[..., None, :]
         xi = (xi / xi.sum((-1, -2), keepdims=True)).sum(0)
         weight = np.maximum(gamma.sum(0), 1e-10)
-        a = (xi + 1e-10) / (xi + 1e-10).sum(-1, keepdims=True)
-        pi = gamma[0]
-        mu = np.einsum("trk,t->rk", gamma, x) / weight
-        sd = np.sqrt(np.maximum(np.einsum("trk,trk->rk", gamma, (x[:, None, None] - mu) ** 2) / weight, (FLOOR * spread) ** 2))
+        a[on] = (xi + 1e-10) / (xi + 1e-10).sum(-1, keepdims=True)
+        pi[on] = gamma[0]
+        mu[on] = np.einsum("trk,t->rk", gamma, x) / weight
+        sd[on] = np.sqrt(np.maximum((gamma * (x[:, None, None] - mu[on]) ** 2).sum(0) / weight, (FLOOR * spread) ** 2))
     total = forward(densities(x, mu, sd), pi, a)[1].sum(0)
     r = int(np.argmax(total))
     o = np.argsort(sd[r], kind="stable")
@@ -104,7 +156,7 @@ def fitted(df: DataFrame, column: str = "ret", by: tuple[str, ...] = ("series_id
         got = fit(p["x"].to_numpy(float), int(p["states"].iloc[0]), restarts, most)
         return pd.DataFrame([{**{c: p[c].iloc[0] for c in by}, **{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in got.items()}}])
 
-    return rows.groupBy(*by, "states").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), PARAMETERS]))
+    return spread(rows, *by, "states").groupBy(*by, "states").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), PARAMETERS]))
 
 
 def labelled(df: DataFrame, parameters: DataFrame, column: str = "ret", by: tuple[str, ...] = ("series_id",), smooth: bool = False) -> DataFrame:
@@ -313,4 +365,4 @@ def yearly(df: DataFrame, column: str = "ret", k: int = 2, first: int = 100, res
         new = p[~old]
         return pd.DataFrame({"series_id": new["series_id"], "ts": new["ts"], "year": new["year"], "p_high": state[~old][:, -1], "label": (state[~old].argmax(1) == k - 1).astype(np.int32)})
 
-    return rows.groupBy("series_id", "year").applyInPandas(run, f"series_id {kinds['series_id']}, ts {kinds['ts']}, year int, p_high double, label int")
+    return spread(rows, "series_id", "year").groupBy("series_id", "year").applyInPandas(run, f"series_id {kinds['series_id']}, ts {kinds['ts']}, year int, p_high double, label int")

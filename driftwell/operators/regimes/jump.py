@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.operators.blocks import spread
+
 FEATURES = [f"{f}{h}" for h in (5, 10, 21) for f in ("mean", "down", "sortino")]
 
 
@@ -86,4 +88,4 @@ def labelled(feats: DataFrame, penalties: tuple[float, ...] = (10.0, 30.0, 100.0
         loss = 0.5 * ((x[:, None, :] - c[None]) ** 2).sum(-1)
         return pd.DataFrame({"series_id": p["series_id"], "ts": p["ts"], "penalty": penalty, "ex_post": path(loss, penalty)[0], "real_time": online(loss, penalty), "objective": value})
 
-    return rows.groupBy("series_id", "penalty").applyInPandas(run, f"series_id {kinds['series_id']}, ts {kinds['ts']}, penalty double, ex_post int, real_time int, objective double")
+    return spread(rows, "series_id", "penalty").groupBy("series_id", "penalty").applyInPandas(run, f"series_id {kinds['series_id']}, ts {kinds['ts']}, penalty double, ex_post int, real_time int, objective double")

@@ -96,6 +96,56 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, start: str | None = Non
     return rows.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, schema).drop("rn", "block")
 
 
+def recursion(u: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """y_t = a y_(t-1) + u_t along the last axis, from ``start``: in doubling steps, so that time is no loop."""
+    y = u.copy()
+    y[..., 0] += a * start
+    step, power = 1, np.array(a, float)
+    while step < y.shape[-1] and np.any(np.abs(power) > 1e-300):
+        y[..., step:] += power[..., None] * y[..., :-step].copy()
+        step, power = 2 * step, power * power
+    return y
+
+
+def decayed(df: DataFrame, means: dict[str, tuple[str, float]], size: int = 4096) -> DataFrame:
+    """``df`` with rn (from 0, in time order of its series), and for each name the mean of a column with weights that halve in so many rows.
+
+    All means are one scan: a block ends with its weighted sums and the sum of weights, which are carried over blocks and decayed by its rows. Values are not null.
+    """
+    rows = saved(numbered(df, size))
+    kinds, names = dict(rows.dtypes), list(means)
+    series, columns = kinds["series_id"], [c for c, _ in means.values()]
+    keep = np.array([0.5 ** (1 / h) for _, h in means.values()])
+
+    def sums(p: pd.DataFrame, start: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return recursion(p[columns].to_numpy(float).T, keep, start), recursion(np.ones((len(keep), len(p))), keep, weight)
+
+    def summary(p: pd.DataFrame) -> pd.DataFrame:
+        own, weight = sums(p.sort_values("rn"), np.zeros(len(keep)), np.zeros(len(keep)))
+        return pd.DataFrame({"series_id": [p["series_id"].iloc[0]], "block": [p["block"].iloc[0]], "rows": [len(p)], "own": [own[:, -1].tolist()], "weight": [weight[:, -1].tolist()]})
+
+    parts = rows.groupBy("series_id", "block").applyInPandas(summary, f"series_id {series}, block long, rows int, own array<double>, weight array<double>")
+
+    def carried(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        now, weight, out = np.zeros(len(keep)), np.zeros(len(keep)), []
+        for n, own, w in zip(p["rows"], p["own"], p["weight"]):
+            out.append([*now, *weight])
+            now, weight = keep**n * now + own, keep**n * weight + w
+        return pd.DataFrame({"series_id": p["series_id"], "block": p["block"], "carry": out})
+
+    carries = parts.groupBy("series_id").applyInPandas(carried, f"series_id {series}, block long, carry array<double>")
+
+    def replay(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rn")
+        carry = np.asarray(p["carry"].iloc[0]).reshape(2, -1)
+        own, weight = sums(p, *carry)
+        return p.drop(columns=["carry"]).assign(**dict(zip(names, own / weight)))
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), *(f"`{c}` double" for c in names)])
+    return rows.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, schema).drop("block")
+
+
 def ewma(df: DataFrame, column: str, out: str, alpha: float | None = None, half_life: float | None = None, size: int = 4096) -> DataFrame:
     """Exponentially weighted mean: with ``alpha``, y = (1 - alpha) y + alpha x from the first row; with ``half_life``, weights that halve in so many rows, over their sum."""
     if half_life is None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.distributions import normal_ppf, student_cdf
-from driftwell.operators.blocks import numbered, saved, spread
+from driftwell.operators.blocks import numbered, recursion, saved, spread
 
 
 def variances(e2: np.ndarray, target: float, alpha: np.ndarray, beta: np.ndarray, omega: np.ndarray | None = None) -> np.ndarray:
@@ -62,17 +62,6 @@ def jacobian(phi: np.ndarray, target: float) -> np.ndarray:
     return out
 
 
-def _recursion(u: np.ndarray, beta: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """y_t = beta y_(t-1) + u_t along the last axis, by doubling steps."""
-    y = u.copy()
-    y[..., 0] += beta * start
-    step, power = 1, beta.copy()
-    while step < y.shape[-1] and np.any(np.abs(power) > 1e-300):
-        y[..., step:] += power[..., None] * y[..., :-step].copy()
-        step, power = 2 * step, power * power
-    return y
-
-
 def _states(x: np.ndarray, theta: np.ndarray, target: float, first: bool, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Errors and (variance, its derivatives by mean, omega, alpha, beta), candidates by these by rows of a block.
 
@@ -86,9 +75,9 @@ def _states(x: np.ndarray, theta: np.ndarray, target: float, first: bool, carry:
     b = beta[:, 0]
     start = np.full(len(theta), target) if first else carry[:, 0]
     slope = np.zeros((len(theta), 4)) if first else carry[:, 1:]
-    h = _recursion(omega + alpha * before**2, b, start)
+    h = recursion(omega + alpha * before**2, b, start)
     last = np.concatenate([start[:, None], h[:, :-1]], 1)
-    parts = [h, *(_recursion(u, b, slope[:, k]) for k, u in enumerate((-2 * alpha * before, np.ones_like(before), before**2, last)))]
+    parts = [h, *(recursion(u, b, slope[:, k]) for k, u in enumerate((-2 * alpha * before, np.ones_like(before), before**2, last)))]
     out = np.stack(parts, 1)
     if first:
         begin = np.concatenate([np.full((len(theta), 1, 1), target), np.zeros((len(theta), 4, 1))], 1)

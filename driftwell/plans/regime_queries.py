@@ -147,14 +147,38 @@ _WEIGHT = {h: f"0.5 ** ((a.rn - b.rn) / {h}.0)" for h in _HALVES}
 _FEATURES = {f"{kind}{h}": sql.format(h=h) for h in _HALVES for kind, sql in (("mean", "m{h}"), ("down", "ln(d{h})"), ("sortino", "m{h} / d{h}"))}
 
 
-@query(
-    f"""WITH {S.BRAND_WEEK}, v AS (SELECT series_id, ts, ret AS x, row_number() OVER ({S.W}) AS rn FROM panel WHERE ret IS NOT NULL),
+_SCALED = f"""{S.BRAND_WEEK}, v AS (SELECT series_id, ts, ret AS x, row_number() OVER ({S.W}) AS rn FROM panel WHERE ret IS NOT NULL),
     e AS (SELECT a.series_id, a.ts, a.rn, {', '.join(f"sum(b.x * {w}) / sum({w}) AS m{h}, greatest(sqrt(sum(least(b.x, 0) ** 2 * {w}) / sum({w})), 1e-8) AS d{h}" for h, w in _WEIGHT.items())} FROM v a JOIN v b ON a.series_id = b.series_id AND b.rn <= a.rn GROUP BY 1, 2, 3),
-    f AS (SELECT series_id, ts, rn, {', '.join(f'{sql} AS {name}' for name, sql in _FEATURES.items())} FROM e), s AS (SELECT series_id, {', '.join(f'avg({n}) AS a_{n}, stddev_pop({n}) AS s_{n}' for n in _FEATURES)} FROM f WHERE rn <= 200 GROUP BY 1)
-    SELECT series_id, ts, {', '.join(r(f'greatest(-5, least(5, ({n} - a_{n}) / CASE WHEN s_{n} > 1e-12 THEN s_{n} ELSE 1 END))', n) for n in _FEATURES)} FROM f JOIN s USING (series_id)"""
-)
+    f AS (SELECT series_id, ts, rn, {', '.join(f'{sql} AS {name}' for name, sql in _FEATURES.items())} FROM e), s AS (SELECT series_id, {', '.join(f'avg({n}) AS a_{n}, stddev_pop({n}) AS s_{n}' for n in _FEATURES)} FROM f WHERE rn <= 200 GROUP BY 1),
+    z AS MATERIALIZED (SELECT series_id, ts, rn, {', '.join(f'greatest(-5, least(5, ({n} - a_{n}) / CASE WHEN s_{n} > 1e-12 THEN s_{n} ELSE 1 END)) AS {n}' for n in _FEATURES)} FROM f JOIN s USING (series_id))"""
+
+
+@query(f"WITH {_SCALED} SELECT series_id, ts, {', '.join(r(n, n) for n in _FEATURES)} FROM z")
 def jump_features(spark, d):
-    return rounded(jump.features(weekly(spark, d), n_fit=200))
+    """On blocks of 64 rows, as for series of any length."""
+    return rounded(jump.block_features(weekly(spark, d), n_fit=200, size=64))
+
+
+#: A calm and a wild state: good means and little downside, and the other way round.
+_CALM = {n: {"mean": 0.3, "down": -0.5, "sortino": 0.3}[n.rstrip("0123456789")] for n in _FEATURES}
+_COST = {k: " + ".join(f"0.5 * ({n} - {sign * c}) ** 2" for n, c in _CALM.items()) for k, sign in ((0, 1), (1, -1))}
+
+
+@query(
+    f"""WITH RECURSIVE {_SCALED}, l AS MATERIALIZED (SELECT series_id, ts, rn, {_COST[0]} AS l0, {_COST[1]} AS l1 FROM z),
+    fw AS (SELECT series_id, ts, rn, l0 AS v0, l1 AS v1, 0 AS b0, 1 AS b1 FROM l WHERE rn = 1
+        UNION ALL SELECT l.series_id, l.ts, l.rn, least(v0, v1 + 5) + l0, least(v1, v0 + 5) + l1, CASE WHEN v0 <= least(v0, v1) + 5 THEN 0 ELSE 1 END, CASE WHEN v1 <= least(v0, v1) + 5 THEN 1 ELSE 0 END
+        FROM fw JOIN l ON l.series_id = fw.series_id AND l.rn = fw.rn + 1),
+    bw AS (SELECT series_id, rn, CASE WHEN v0 <= v1 THEN 0 ELSE 1 END AS now FROM fw WHERE (series_id, rn) IN (SELECT (series_id, max(rn)) FROM fw GROUP BY series_id)
+        UNION ALL SELECT fw.series_id, fw.rn - 1, CASE WHEN bw.now = 0 THEN b0 ELSE b1 END FROM bw JOIN fw ON fw.series_id = bw.series_id AND fw.rn = bw.rn WHERE fw.rn > 1)
+    SELECT series_id, ts, CAST(now AS INT) AS ex_post, CASE WHEN v0 <= v1 THEN 0 ELSE 1 END AS real_time FROM fw JOIN bw USING (series_id, rn)"""
+)
+def jump_labels(spark, d):
+    """Labels of two given states at a penalty of 5, on blocks of 64 rows."""
+    feats = jump.block_features(weekly(spark, d), n_fit=200, size=64)
+    centres = F.array(*(F.lit(sign * c) for sign in (1, -1) for c in (_CALM[n] for n in jump.FEATURES)))
+    given = feats.select("series_id").distinct().select("series_id", F.lit(5.0).alias("penalty"), centres.alias("centres"))
+    return jump.block_labelled(feats, given, size=64).select("series_id", "ts", "ex_post", "real_time")
 
 
 #: The cheapest segmentation by dynamic programming over every earlier beginning: lists hold the best cost up to each cell and where its last segment begins.

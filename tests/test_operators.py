@@ -231,6 +231,26 @@ def test_optimal_segments_cost_no_more_than_greedy_ones(spark):
     assert segments.optimal(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [7, 64, 5000])
+def test_jump_labels_by_blocks_are_those_of_whole_series(spark, size):
+    rng = np.random.default_rng(4)
+    series = {"a": noise(150) * np.repeat([0.5, 2.0, 0.7], 50), "b": rng.standard_normal(64), "c": [0.1]}
+    df = panel(spark, series)
+    whole, feats = jump.features(df, n_fit=100).toPandas(), jump.block_features(df, n_fit=100, size=size)
+    parts = feats.toPandas()
+    for p in (whole, parts):
+        p.sort_values(["series_id", "ts"], inplace=True)
+    assert np.allclose(whole[jump.FEATURES], parts[jump.FEATURES], atol=1e-9) and len(whole) == 215
+    centres = np.round(rng.standard_normal((3, 9)), 2)
+    given = [(s, p, centres.ravel().tolist()) for s in series for p in (0.5, 6.0)]
+    got = jump.block_labelled(feats, spark.createDataFrame(given, "series_id string, penalty double, centres array<double>"), size).toPandas().sort_values(["series_id", "penalty", "ts"])
+    for s, penalty, _ in given:
+        x = whole[whole.series_id == s][jump.FEATURES].to_numpy()
+        loss = 0.5 * ((x[:, None, :] - centres[None]) ** 2).sum(-1)
+        own = got[(got.series_id == s) & (got.penalty == penalty)]
+        assert own.ex_post.tolist() == jump.path(loss, penalty)[0].tolist() and own.real_time.tolist() == jump.online(loss, penalty).tolist()
+
+
 def test_fits_tell_whether_they_converged():
     x = noise(200) * np.repeat([0.5, 2.0], 100)
     assert not hmm.fit(x, 2, restarts=2, most=2)["converged"]

@@ -8,6 +8,7 @@ forward pass from each state, summaries are composed in order, and blocks are re
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,12 @@ def densities(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return -0.5 * ((x - mu) / sd) ** 2 - np.log(sd) - 0.9189385332046727
 
 
-def _in_blocks(b: np.ndarray) -> np.ndarray:
-    """(T, ..., K) as blocks of about sqrt(T) rows: place in block, block, ..., K. Rows behind the last are 1, which moves nothing that matters."""
+def _in_blocks(b: np.ndarray, front: bool = False) -> np.ndarray:
+    """(T, ..., K) as blocks of about sqrt(T) rows: place in block, block, ..., K. Rows of 1 fill them up behind the last row, or before the first, where nothing that matters comes from them."""
     size = math.isqrt(max(len(b) - 1, 0)) + 1
     count = -(-len(b) // size)
-    padded = np.concatenate([b, np.ones((count * size - len(b), *b.shape[1:]))])
+    fill = np.ones((count * size - len(b), *b.shape[1:]))
+    padded = np.concatenate([fill, b] if front else [b, fill])
     return np.swapaxes(padded.reshape(count, size, *b.shape[1:]), 0, 1)
 
 
@@ -51,14 +53,14 @@ def _right(m: np.ndarray, now: np.ndarray) -> np.ndarray:
     return (m @ now[..., None])[..., 0]
 
 
-def forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Filtered probabilities and log predictive densities of (T, ..., K) log densities.
 
     All blocks of rows move at once: a block's matrix, carries over blocks, and blocks from their carries.
     """
     top = logb.max(-1)
     blocks = _in_blocks(np.exp(logb - top[..., None]))
-    maps = _maps(blocks, a) if maps is None else maps
+    maps = _maps(blocks, a)
     carry, now = np.empty(blocks.shape[1:]), pi
     for k in range(len(carry)):
         carry[k] = now
@@ -76,21 +78,22 @@ def forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray, maps: np.ndarray |
     return whole(out), np.log(whole(scale)) + top
 
 
-def backward(logb: np.ndarray, a: np.ndarray, maps: np.ndarray | None = None) -> np.ndarray:
-    """Backward variables, each scaled to a sum of 1."""
-    blocks = _in_blocks(np.exp(logb - logb.max(-1, keepdims=True)))
-    maps = _maps(blocks, a) if maps is None else maps
-    after, now = np.empty(blocks.shape[1:]), np.full(blocks.shape[2:], 1 / blocks.shape[-1])
-    for k in range(len(after) - 1, -1, -1):  # of the state behind a block
-        after[k] = now
+def backward(logb: np.ndarray, a: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Backward variables, each scaled to a sum of 1. ``after`` is that of the row behind the last, times its densities, if there is one."""
+    blocks = _in_blocks(np.exp(logb - logb.max(-1, keepdims=True)), front=True)
+    maps = _maps(blocks, a)
+    ends, now = np.empty(blocks.shape[1:]), np.full(blocks.shape[2:], 1 / blocks.shape[-1]) if after is None else after
+    for k in range(len(ends) - 1, -1, -1):  # of the row behind a block
+        ends[k] = now
         now = _right(maps[k], now)
         now = now / now.sum(-1, keepdims=True)
-    out, now = np.empty_like(blocks), after
+    out, now = np.empty_like(blocks), ends
     for t in range(len(blocks) - 1, -1, -1):
         now = _right(a, now)
         out[t] = now = now / now.sum(-1, keepdims=True)
         now = now * blocks[t]
-    return np.swapaxes(out, 0, 1).reshape(-1, *out.shape[2:])[: len(logb)]
+    out = np.swapaxes(out, 0, 1).reshape(-1, *out.shape[2:])
+    return out[len(out) - len(logb) :]
 
 
 def starts(centre: float, spread: float, k: int, restarts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +118,7 @@ def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: fl
         on = np.flatnonzero(~settled)
         logb = densities(x, mu[on], sd[on])
         b = np.exp(logb - logb.max(-1, keepdims=True))
-        maps = _maps(_in_blocks(b), a[on])
-        alpha, ll = forward(logb, pi[on], a[on], maps)
+        alpha, ll = forward(logb, pi[on], a[on])
         total = ll.sum(0)
         stop = total - last[on] < tolerance * np.abs(total)
         last[on], settled[on[stop]] = total, True
@@ -125,7 +127,7 @@ def fit(x: np.ndarray, k: int, restarts: int = 4, most: int = 100, tolerance: fl
         # restarts that have settled keep what they have
         go = ~stop
         on, logb, b, alpha = on[go], logb[:, go], b[:, go], alpha[:, go]
-        beta = backward(logb, a[on], maps[:, go])
+        beta = backward(logb, a[on])
         gamma = alpha * beta
         gamma /= gamma.sum(-1, keepdims=True)
         ahead = b[1:] * beta[1:]
@@ -225,46 +227,58 @@ def block_filter(df: DataFrame, parameters: DataFrame, column: str = "ret", size
     return rows.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, f"series_id {series}, ts {kinds['ts']}, p_high double, log_score double")
 
 
-def block_fitted(df: DataFrame, column: str = "ret", k: int = 2, rounds: int = 20, size: int = 4096) -> DataFrame:
-    """(series_id, k, pi, a, mu, sd, loglik, n) by ``rounds`` rounds of Baum-Welch from one start, with blocks of ``size`` rows as tasks.
+def block_fitted(df: DataFrame, column: str = "ret", states: tuple[int, ...] = (2,), restarts: int = 1, rounds: int = 100, tolerance: float = 1e-6, size: int = 4096) -> DataFrame:
+    """(series_id, k, pi, a, mu, sd, loglik, bic, n, converged) as ``fitted`` gives, with blocks of ``size`` rows as tasks.
 
-    A round is three steps: a block's matrix; forward and backward carries of its series, one row a block; and the block's
-    expected counts, summed by series. States are ordered by deviation.
+    A round of Baum-Welch is one job over all (series, states, restart) that have not settled: a block's matrix; forward and backward carries of its
+    series, one row a block; and the block's expected counts, summed by series. The likelihood of what has not settled in ``rounds`` rounds is that before the last one.
     """
-    kinds = dict(df.dtypes)
-    series = kinds["series_id"]
+    series = dict(df.dtypes)["series_id"]
     rows = saved(numbered(df.where(F.col(column).isNotNull()).select("series_id", "ts", F.col(column).cast("double").alias("x")), size))
     stats = rows.groupBy("series_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
-    schema = f"series_id {series}, k int, pi array<double>, a array<double>, mu array<double>, sd array<double>, spread double, loglik double, n long"
+    blocks = rows.groupBy("series_id", "block").agg(F.sort_array(F.collect_list(F.struct("rn", "x"))).alias("xs"))
+    ends = stats.select("series_id", F.floor((F.col("n") - 1) / size).alias("end"))
+    blocks = saved(blocks.join(ends, "series_id").select("series_id", "block", F.col("xs.x").alias("xs"), (F.col("block") == F.col("end")).alias("last")))
+
+    key = ["series_id", "k", "start"]
+    kind = f"series_id {series}, k int, start int"
+    model = f"{kind}, pi array<double>, a array<double>, mu array<double>, sd array<double>, spread double, loglik double, n long, settled boolean"
+    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    given = ["pi", "a", "mu", "sd"]
 
     def first(frames):
         for p in frames:
             out = []
             for r in p.itertuples():
                 spread = max(float(r.s), FLOOR)
-                pi, a, mu, sd = (v[0] for v in starts(r.m, spread, k, 1))
-                out.append((r.series_id, k, pi.tolist(), a.ravel().tolist(), mu.tolist(), sd.tolist(), spread, float("-inf"), r.n))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                for k in states:
+                    out += [(r.series_id, k, i, pi.tolist(), a.ravel().tolist(), mu.tolist(), sd.tolist(), spread, float("-inf"), r.n, False) for i, (pi, a, mu, sd) in enumerate(zip(*starts(r.m, spread, k, restarts)))]
+            yield pd.DataFrame(out, columns=columns(model))
 
-    parameters = saved(stats.mapInPandas(first, schema))
-
-    def parts(p: pd.DataFrame) -> tuple:
-        m = p.iloc[0]
-        logb, a = densities(p["x"].to_numpy(float), np.array(m["mu"]), np.array(m["sd"])), np.array(m["a"]).reshape(k, k)
-        top = logb.max(1)
-        return np.exp(logb - top[:, None]), top, a
+    def parts(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.asarray(r.xs, float)
+        return x, densities(x, np.asarray(r.mu, float), np.asarray(r.sd, float)), np.asarray(r.a, float).reshape(r.k, r.k)
 
-    def summary(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rn")
-        b, _, a = parts(p)
-        m = np.eye(k)
-        for row in b:
-            m = (m * row) @ a
-            m /= m.max()
-        return pd.DataFrame({"series_id": [p["series_id"].iloc[0]], "block": [p["block"].iloc[0]], "m": [m.ravel().tolist()], "pi": [list(p["pi"].iloc[0])]})
+    def summary(frames):
+        for p in frames:
+            out = []
+            for r in p.itertuples():
+                _, logb, a = parts(r)
+                inner = _maps(_in_blocks(np.exp(logb - logb.max(1, keepdims=True)), front=True), a)
+                # rows that fill up the first inner block come before all, and would move the state: that block is made of its own rows
+                size_ = math.isqrt(max(len(logb) - 1, 0)) + 1
+                own = len(logb) - size_ * (len(inner) - 1)
+                inner[0] = _maps(np.exp(logb[:own] - logb[:own].max(1, keepdims=True))[:, None], a)[0]
+                m = inner[0]
+                for other in inner[1:]:
+                    m = m @ other
+                    m /= m.max()
+                out.append((r.series_id, r.k, r.start, r.block, m.ravel().tolist(), r.pi))
+            yield pd.DataFrame(out, columns=[*key, "block", "m", "pi"])
 
     def carried(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("block")
+        k = int(p["k"].iloc[0])
         ms = [np.array(m).reshape(k, k) for m in p["m"]]
         before, now = [], np.array(p["pi"].iloc[0], float)
         for m in ms:
@@ -276,63 +290,64 @@ def block_fitted(df: DataFrame, column: str = "ret", k: int = 2, rounds: int = 2
             after.append(now.tolist())
             now = m @ now
             now /= now.sum()
-        return pd.DataFrame({"series_id": p["series_id"], "block": p["block"], "before": before, "after": after[::-1]})
+        return p[[*key, "block"]].assign(before=before, after=after[::-1])
 
-    sums = f"series_id {series}, block long, w array<double>, wx array<double>, wxx array<double>, xi array<double>, first array<double>, ll double"
+    sums = f"{kind}, block long, w array<double>, wx array<double>, wxx array<double>, xi array<double>, first array<double>, ll double"
 
-    def expected(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rn")
-        b, top, a = parts(p)
-        n, x = len(p), p["x"].to_numpy(float)
-        alpha, ll, now = np.empty((n, k)), top.sum(), np.array(p["before"].iloc[0])
-        for t in range(n):
-            now = now * b[t]
-            ll += np.log(now.sum())
-            alpha[t] = now = now / now.sum()
-            now = now @ a
-        beta, xi, now = np.empty((n, k)), np.zeros((k, k)), np.array(p["after"].iloc[0])  # of the state after the block
-        for t in range(n - 1, -1, -1):
-            joint = alpha[t][:, None] * a * now[None, :]
-            if t < n - 1 or not p["last"].iloc[0]:
-                xi += joint / joint.sum()
-            beta[t] = a @ now
-            now = b[t] * beta[t]
-            now /= now.sum()
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        m = np.array(p["mu"].iloc[0])
-        return pd.DataFrame([(p["series_id"].iloc[0], p["block"].iloc[0], gamma.sum(0).tolist(), (gamma * x[:, None]).sum(0).tolist(), (gamma * (x[:, None] - m) ** 2).sum(0).tolist(), xi.ravel().tolist(), gamma[0].tolist(), ll)], columns=[c.split()[0] for c in sums.split(", ")])
+    def expected(frames):
+        for p in frames:
+            out = []
+            for r in p.itertuples():
+                x, logb, a = parts(r)
+                after = np.asarray(r.after, float)
+                alpha, ll = forward(logb, np.asarray(r.before, float), a)
+                beta = backward(logb, a, after)
+                gamma = alpha * beta
+                gamma /= gamma.sum(1, keepdims=True)
+                ahead = np.concatenate([(np.exp(logb - logb.max(1, keepdims=True)) * beta)[1:], np.zeros((0, len(after))) if r.last else after[None]])
+                joint = alpha[: len(ahead), :, None] * a * ahead[:, None, :]
+                xi = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                out.append((r.series_id, r.k, r.start, r.block, gamma.sum(0).tolist(), (gamma * x[:, None]).sum(0).tolist(), (gamma * (x[:, None] - np.asarray(r.mu)) ** 2).sum(0).tolist(), xi.ravel().tolist(), gamma[0].tolist(), float(ll.sum())))
+            yield pd.DataFrame(out, columns=columns(sums))
 
     def maximised(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        old, p = q.iloc[0], p.sort_values("block")
-        w, wx, wd, xi = (np.sum(np.array(p[c].tolist()), axis=0) for c in ("w", "wx", "wxx", "xi"))
-        w = np.maximum(w, 1e-10)
-        mu = wx / w
-        var = np.maximum(wd / w - (mu - np.array(old["mu"])) ** 2, (FLOOR * old["spread"]) ** 2)
-        xi = xi.reshape(k, k) + 1e-10
-        return pd.DataFrame([(old["series_id"], k, p["first"].iloc[0], (xi / xi.sum(1, keepdims=True)).ravel().tolist(), mu.tolist(), np.sqrt(var).tolist(), old["spread"], float(p["ll"].sum()), old["n"])], columns=[c.split()[0] for c in schema.split(", ")])
-
-    last = rows.groupBy("series_id").agg(F.max("block").alias("end"))
-    rows = saved(rows.join(last, "series_id").withColumn("last", F.col("block") == F.col("end")).drop("end"))
+        old, p = q.iloc[0].to_dict(), p.sort_values("block")
+        k, total = int(old["k"]), float(p["ll"].sum())
+        old["settled"], old["loglik"] = bool(total - old["loglik"] < tolerance * abs(total)), total
+        if not old["settled"]:
+            w, wx, wd, xi = (np.sum(np.array(p[c].tolist()), axis=0) for c in ("w", "wx", "wxx", "xi"))
+            w = np.maximum(w, 1e-10)
+            mu, xi = wx / w, xi.reshape(k, k) + 1e-10
+            var = np.maximum(wd / w - (mu - np.array(old["mu"])) ** 2, (FLOOR * old["spread"]) ** 2)
+            old["pi"], old["a"], old["mu"], old["sd"] = list(p["first"].iloc[0]), (xi / xi.sum(1, keepdims=True)).ravel().tolist(), mu.tolist(), np.sqrt(var).tolist()
+        return pd.DataFrame([[old[c] for c in columns(model)]], columns=columns(model))
+
+    open_, done = saved(stats.mapInPandas(first, model)), []
     for _ in range(rounds):
-        now = rows.join(parameters.select("series_id", "pi", "a", "mu", "sd"), "series_id")
-        maps = now.groupBy("series_id", "block").applyInPandas(summary, f"series_id {series}, block long, m array<double>, pi array<double>")
-        carries = maps.groupBy("series_id").applyInPandas(carried, f"series_id {series}, block long, before array<double>, after array<double>")
-        told = now.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(expected, sums)
-        old = parameters.withColumnRenamed("series_id", "_series").withColumn("series_id", F.col("_series"))
-        parameters = saved(told.groupBy("series_id").cogroup(old.groupBy("_series")).applyInPandas(maximised, schema))
+        now = blocks.join(open_.select(*key, *given), "series_id")
+        maps = now.mapInPandas(summary, f"{kind}, block long, m array<double>, pi array<double>")
+        carries = maps.groupBy(*key).applyInPandas(carried, f"{kind}, block long, before array<double>, after array<double>")
+        told = now.join(carries, [*key, "block"]).mapInPandas(expected, sums)
+        old = open_.select(*(F.col(c).alias(f"_{c}") for c in key), *open_.columns)
+        after = saved(told.groupBy(*key).cogroup(old.groupBy(*(f"_{c}" for c in key))).applyInPandas(maximised, model))
+        done.append(after.where("settled"))
+        open_ = after.where("not settled")
+        if open_.isEmpty():
+            break
 
     def ordered(frames):
         for p in frames:
-            for c in p.index:
-                o = np.argsort(np.array(p.at[c, "sd"]), kind="stable")
-                a = np.array(p.at[c, "a"]).reshape(k, k)[np.ix_(o, o)].ravel().tolist()
-                for name in ("pi", "mu", "sd"):
-                    p.at[c, name] = np.array(p.at[c, name])[o].tolist()
-                p.at[c, "a"] = a
-            yield p
-
-    return parameters.mapInPandas(ordered, schema).drop("spread")
+            out = []
+            for r in p.itertuples():
+                o = np.argsort(np.asarray(r.sd), kind="stable")
+                free = (r.k - 1) + r.k * (r.k - 1) + 2 * r.k
+                a = np.asarray(r.a).reshape(r.k, r.k)[np.ix_(o, o)].ravel().tolist()
+                out.append((r.series_id, r.k, np.asarray(r.pi)[o].tolist(), a, np.asarray(r.mu)[o].tolist(), np.asarray(r.sd)[o].tolist(), r.loglik, -2 * r.loglik + free * math.log(r.n), r.n, r.settled))
+            yield pd.DataFrame(out, columns=["series_id", *columns(PARAMETERS)])
+
+    names = [c for c in columns(model) if c not in ("series_id", "k", "loglik")]
+    best = reduce(DataFrame.unionByName, [*done, open_]).groupBy("series_id", "k").agg(F.max(F.struct("loglik", *names)).alias("b")).select("series_id", "k", "b.*")
+    return best.mapInPandas(ordered, f"series_id {series}, {PARAMETERS}")
 
 
 def parameter_table(parameters: DataFrame, periods: int = 252) -> DataFrame:

@@ -47,7 +47,7 @@ def hmm_fit(spark, d):
 @query()
 def hmm_block_fit(spark, d):
     """Five rounds of the fit on blocks of 128 rows, as for series of any length."""
-    fits = hmm.block_fitted(weekly(spark, d), rounds=5, size=128)
+    fits = hmm.block_fitted(weekly(spark, d), states=(1, 2), rounds=5, size=128)
     return rounded(fits.select("series_id", "k", "loglik", "n", F.get("sd", F.lit(0)).alias("sd_low"), F.element_at("sd", -1).alias("sd_high")))
 
 

@@ -335,6 +335,16 @@ def test_garch_by_likelihood(spark):
     assert [r.z for r in z] == pytest.approx([1] * 3, abs=0.1)
 
 
+def test_fits_by_blocks_settle_one_by_one(spark):
+    series = {"a": noise(150) * np.repeat([0.5, 2.0, 0.7], 50), "b": noise(97) * np.repeat([1.0, 3.0], [60, 37])}
+    got = {(r.series_id, r.k): r for r in hmm.block_fitted(panel(spark, series), states=(1, 2), restarts=2, tolerance=1e-4, size=40).collect()}
+    assert set(got) == {(s, k) for s in series for k in (1, 2)}
+    for (s, k), r in got.items():
+        want = hmm.fit(np.asarray(series[s]), k, restarts=2, tolerance=1e-4)
+        assert r.converged and want["converged"] and r.loglik == pytest.approx(want["loglik"], abs=1e-6) and r.bic == pytest.approx(want["bic"], abs=1e-6)
+        assert r.sd == pytest.approx(want["sd"].tolist(), abs=1e-6) and r.a == pytest.approx(want["a"].tolist(), abs=1e-6)
+
+
 def test_garch_by_rounds_over_blocks_is_that_of_whole_series(spark):
     df = panel(spark, {"a": simulated(241, 0.05, 0.15, 0.8, 0, 1), "b": simulated(200, 0.2, 0.3, 0.5, 5, 2), "short": simulated(60, 0.2, 0.3, 0.5, 5, 3)})
     whole = {(r.series_id, r.law): r for r in garch.by_law(df).collect()}

@@ -3,6 +3,8 @@ recursions run as a scan over blocks."""
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,18 +14,18 @@ from pyspark.sql.window import Window as W
 from driftwell.sources.shared import saved
 
 
-def numbered(df: DataFrame, size: int = 4096) -> DataFrame:
-    """``df`` with rn (from 0, in time order of its series) and block (rn div size).
+def numbered(df: DataFrame, size: int = 4096, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """``df`` with rn (from 0, in time order of its series, or in another ``order``) and block (rn div size).
 
     Rows are dealt to ranges of (series_id, ts) and numbered inside a range; a range's rows of a series come after those of the
     ranges before. Only one row a range and series is summed in order. The ranges are written once, since they come from a
     sample and could be others when made again.
     """
-    dealt = df.repartitionByRange("series_id", "ts").withColumn("_range", F.spark_partition_id())
+    dealt = df.repartitionByRange("series_id", *order).withColumn("_range", F.spark_partition_id())
     dealt = saved(dealt)
     sizes = dealt.groupBy("series_id", "_range").count()
     before = sizes.select("series_id", "_range", (F.sum("count").over(W.partitionBy("series_id").orderBy("_range")) - F.col("count")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("series_id", "_range").orderBy("ts")) - 1
+    own = F.row_number().over(W.partitionBy("series_id", "_range").orderBy(*order)) - 1
     out = dealt.withColumn("_own", own).join(before, ["series_id", "_range"]).withColumn("rn", F.col("_own") + F.col("_before"))
     return out.withColumn("block", F.floor(F.col("rn") / size)).drop("_range", "_own", "_before")
 
@@ -96,6 +98,64 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, start: str | None = Non
     return rows.join(carries, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, schema).drop("rn", "block")
 
 
+def earlier_quantiles(df: DataFrame, column: str, outs: dict[str, float], count: str = "earlier", size: int = 4096) -> DataFrame:
+    """``df`` with the interpolated quantiles of all strictly earlier values of each row's series, exactly, and how many they are; null where there is none.
+
+    A series is cut twice: into blocks of ``size`` rows in time, and into buckets of ``size`` values in order. Counts of (block, bucket) tell which buckets hold the
+    ranks that a quantile can reach while a block's rows come in; those buckets' earlier values go to the block, which puts its own in between, one by one. That moves
+    n log n values; a task has one block with about two buckets a quantile of earlier values, or a series' counts, (n / size)^2 numbers. Null values count as missing rows.
+    """
+    shares = list(outs.values())
+    kinds = dict(df.dtypes)
+    series = kinds["series_id"]
+    whole = df.where(F.col(column).isNotNull())
+    rows = numbered(whole.select("series_id", "ts", F.col(column).cast("double").alias("x")), size).select("series_id", "ts", "x", "rn", "block")
+    rows = saved(numbered(rows.withColumnRenamed("rn", "at").withColumnRenamed("block", "own"), size, ("x", "ts")).select("series_id", "ts", "x", "at", "own", F.col("block").alias("bucket")))
+    counts = rows.groupBy("series_id", "own", "bucket").count()
+
+    def wanted(p: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(p["own"].max()) + 1, int(p["bucket"].max()) + 1), np.int64)
+        grid[p["own"], p["bucket"]] = p["count"]
+        upto, out = np.zeros(grid.shape[1], np.int64), []
+        for block, own in enumerate(grid):
+            ends, m, n = np.cumsum(upto), int(upto.sum()), int(own.sum())
+            for i, share in enumerate(shares):
+                # ranks that the quantile's neighbours can have among the earlier values, n more coming in below or above
+                low, high = int((max(m, 1) - 1) * share) - n - 1, int((m + n) * share) + 2
+                a, b = np.searchsorted(ends, max(low, 0), "right"), min(np.searchsorted(ends, min(high, m), "left"), len(ends) - 1)
+                if m:
+                    out += [(block, i, c, int(ends[a - 1]) if a else 0) for c in range(int(a), int(b) + 1)]
+            upto = upto + own
+        found = pd.DataFrame(out, columns=["to", "share", "bucket", "below"])
+        found.insert(0, "series_id", p["series_id"].iloc[0])
+        return found
+
+    asked = counts.groupBy("series_id").applyInPandas(wanted, f"series_id {series}, to long, share int, bucket long, below long")
+    sent = rows.select("series_id", "bucket", "own", "x").join(asked, ["series_id", "bucket"]).where(F.col("own") < F.col("to")).select(F.col("series_id").alias("_series"), F.col("to").alias("_to"), "share", "below", F.col("x").alias("v"))
+
+    def told(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("at")
+        at, x = p["at"].to_numpy(), p["x"].tolist()
+        done = {"series_id": p["series_id"], "ts": p["ts"], count: at}
+        for i, (name, share) in enumerate(outs.items()):
+            own = q[q["share"] == i]
+            held, below, got = sorted(own["v"].tolist()), int(own["below"].iloc[0]) if len(own) else 0, []
+            for m, v in zip(at.tolist(), x):
+                if m:
+                    h = (m - 1) * share
+                    lo = int(h)
+                    a = held[lo - below]
+                    got.append(a + (held[lo + 1 - below] - a) * (h - lo) if h > lo else a)
+                else:
+                    got.append(None)
+                insort(held, v)
+            done[name] = pd.array(got, "Float64")
+        return pd.DataFrame(done)
+
+    schema = ", ".join([f"series_id {series}", f"ts {kinds['ts']}", f"{count} long", *(f"`{n}` double" for n in outs)])
+    return df.join(rows.groupBy("series_id", "own").cogroup(sent.groupBy("_series", "_to")).applyInPandas(told, schema), ["series_id", "ts"], "left")
+
+
 def recursion(u: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
     """y_t = a y_(t-1) + u_t along the last axis, from ``start``: in doubling steps, so that time is no loop."""
     y = u.copy()

@@ -308,7 +308,7 @@ def rolling_tau(spark, d):
 )
 def expanding_tercile(spark, d):
     df = P.brand_week(spark, d).withColumn("ret", F.round("ret", 9))
-    return df.select("series_id", "ts", R.tercile_state("ret").alias("state"))
+    return R.tercile_states(df.select("series_id", "ts", "ret"), "ret", size=256).select("series_id", "ts", "state")
 
 
 @query(

@@ -251,6 +251,26 @@ def test_jump_labels_by_blocks_are_those_of_whole_series(spark, size):
         assert own.ex_post.tolist() == jump.path(loss, penalty)[0].tolist() and own.real_time.tolist() == jump.online(loss, penalty).tolist()
 
 
+@pytest.mark.parametrize("size", [5, 64, 5000])
+def test_expanding_quantiles_by_blocks_are_those_of_all_earlier_rows(spark, size):
+    rng = np.random.default_rng(size)
+    series = {"a": np.round(rng.standard_normal(150), 1), "trend": np.arange(130.0) + rng.standard_normal(130), "fall": -np.arange(90.0), "same": [2.0] * 40, "one": [1.0], "gaps": [None, 1.0, None, 3.0, 2.0, None, 2.5] * 9}
+    df = panel(spark, series).select("series_id", "ts", "ret")
+    got = blocks.earlier_quantiles(df, "ret", {"low": 0.33, "high": 0.9}, size=size).toPandas().sort_values(["series_id", "ts"])
+    for s, x in series.items():
+        own, seen = got[got.series_id == s], []
+        assert len(own) == len(x)
+        for v, r in zip(x, own.itertuples()):
+            if v is None:
+                assert r.earlier is None or np.isnan(r.earlier)
+                continue
+            assert r.earlier == len(seen)
+            assert (np.isnan(r.low), np.isnan(r.high)) == (True, True) if not seen else (r.low, r.high) == pytest.approx(np.quantile(seen, [0.33, 0.9]).tolist(), abs=1e-9)
+            seen.append(v)
+    states = rolling.tercile_states(df, "ret", 20, size).withColumn("want", rolling.tercile_state("ret", 20))
+    assert states.where("NOT (state <=> want)").count() == 0 and states.count() == df.count()
+
+
 def test_fits_tell_whether_they_converged():
     x = noise(200) * np.repeat([0.5, 2.0], 100)
     assert not hmm.fit(x, 2, restarts=2, most=2)["converged"]

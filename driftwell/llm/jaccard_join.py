@@ -5,9 +5,8 @@
    neighbours in that order share the longest prefixes. Classes whose prefix of the least depth is their own in every tree
    go no further. The least depth is the longest at which a pair at the threshold shares a prefix in some tree with probability ``recall``.
 3. Candidates come from the longest prefixes first. Classes that share one are joined to the smallest of them, so that a prefix of
-   any size gives no more edges than members; a component of those edges is verified by exact shingle sets, in pairs of blocks of
-   ``block`` classes, and only those pairs of blocks that some prefix brings together. Groups count links and return one row of
-   each class, never the pairs.
+   any size gives no more edges than members; a component of those edges is verified by exact shingle sets, in all pairs of its blocks of
+   ``block`` classes. Groups count links and return one row of each class, never the pairs.
 4. Each class's recall is measured: its links stand for 1 / p links, p being the probability that a pair of that similarity shares
    a prefix so long, and one link at the threshold may always be unseen. Prefixes are shortened, by ``step`` labels, for
    classes whose recall is under the target; members of large dense groups stop early. A shorter prefix inside one verified component
@@ -226,10 +225,9 @@ def _round(matched: DataFrame, state: DataFrame, sets: DataFrame, depth: int, de
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     members = members.join(sizes, "root").select("id", F.col("comp").alias("was"), "root", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
     members = saved(members)
-    several = rows.select("node", "id").join(members.where("blocks > 1").select("id", "root", "block"), "id").groupBy("node", "root").agg(F.collect_set("block").alias("b"))
-    others = several.select("root", F.explode("b").alias("block"), "b").select("root", "block", F.explode("b").alias("other")).groupBy("root", "block").agg(F.collect_set("other").alias("others"))
-    dealt = members.join(others, ["root", "block"], "left").withColumn("other", F.explode(F.coalesce("others", F.array("block"))))
-    groups = sets.join(dealt.groupBy("id", "was", "root", "block").agg(F.collect_list("other").alias("others")), "id").withColumn("other", F.explode("others"))
+    # any two classes of a component are compared once: later depths pass over pairs inside a component, so none may be left out here
+    dealt = members.withColumn("others", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    groups = sets.join(dealt, "id").withColumn("other", F.explode("others"))
     groups = groups.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "was", "block", "n", "shingles")
     links = groups.groupBy("root", "i", "j").applyInArrow(_linked(threshold, depth, trees), "id long, peer long, links long, found long, owed double")
     return members.select("id", "root"), saved(links.where("found > 0"))

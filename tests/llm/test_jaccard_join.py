@@ -56,6 +56,14 @@ def test_equals_all_pairs(spark, block):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_drifting_texts_lose_no_link_whatever_the_block(spark, block):
+    words = [f"w{k}" for k in range(400 * 5 + 104)]
+    rows = [(k, " ".join(words[5 * k : 5 * k + 104])) for k in range(400)]
+    found = jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted(map(tuple, found)) == [(k, 0, sum(0 <= k + d < 400 for d in (-2, -1, 1, 2))) for k in range(400)]
+
+
 def test_first_of_each(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, t1 string")

@@ -251,9 +251,3 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str], alpha: float = 0.05
     later = W.partitionBy(*by).orderBy("rank").rowsBetween(0, W.unboundedFollowing)
     last = F.max(F.when(F.col(p) <= F.col("threshold"), F.col("rank"))).over(family)
     return df.withColumns({"adjusted_p": F.min("adjusted_p_raw").over(later), "reject": F.coalesce(F.col("rank") <= last, F.lit(False))}).drop("_n")
-
-
-def bic(loglik: Column, states: Column, n: Column) -> Column:
-    """-2 L + p ln n with p = (K - 1) + K (K - 1) + 2 K free parameters."""
-    return -2 * loglik + ((states - 1) + states * (states - 1) + 2 * states) * F.log(n)
-

@@ -21,10 +21,6 @@ def aligned(*series: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("ts").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
 
-def reindexed(df: DataFrame, calendar: DataFrame) -> DataFrame:
-    """All dates of the calendar, with nulls where ``df`` has none."""
-    return calendar.join(df, "ts", "left")
-
 
 def as_of(left: DataFrame, right: DataFrame, value: str, out: str | None = None, by: str | None = None, strict: bool = False) -> DataFrame:
     """``left`` with the last non-null value of ``right`` at or before its date (before, if strict).
@@ -56,12 +52,6 @@ def method_pairs(labels: DataFrame) -> DataFrame:
     return two.select("series_id", "ts", F.col("x.method").alias("a"), F.col("y.method").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
 
 
-def gridded(df: DataFrame, grid: list[tuple], schema: str) -> DataFrame:
-    """Each row once for each combination of parameters: an explode, so nothing is joined."""
-    names = [c.split()[0] for c in schema.split(",")]
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, g))) for g in grid))
-    return df.withColumn("_g", F.explode(rows)).select(*df.columns, *(F.col(f"_g.{n}") for n in names))
-
 
 def weekdays(df: DataFrame) -> DataFrame:
     """(ts) of all weekdays from the first to the last date of ``df``."""

@@ -21,7 +21,6 @@ def aligned(*series: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("ts").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
 
-
 def as_of(left: DataFrame, right: DataFrame, value: str, out: str | None = None, by: str | None = None, strict: bool = False) -> DataFrame:
     """``left`` with the last non-null value of ``right`` at or before its date (before, if strict).
 
@@ -52,7 +51,6 @@ def method_pairs(labels: DataFrame) -> DataFrame:
     return two.select("series_id", "ts", F.col("x.method").alias("a"), F.col("y.method").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
 
 
-
 def weekdays(df: DataFrame) -> DataFrame:
     """(ts) of all weekdays from the first to the last date of ``df``."""
     ends = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).where("a is not null")

@@ -399,13 +399,14 @@ def fold_summary(spark, d):
 
 @query(
     f"""WITH {_WALK}, x AS (SELECT w.ts, CASE WHEN eff < 0.5 THEN 'low' WHEN eff < 0.8 THEN 'medium' WHEN eff >= 0.8 THEN 'high' ELSE 'none' END AS regime, gross - 0.001 * turnover AS pnl FROM walk w LEFT JOIN eff USING (ts) WHERE gross IS NOT NULL)
-    SELECT regime, count(*) AS n, {r('avg(pnl) * 252', 'ann_return')}, {r('count(*) / sum(count(*)) OVER ()', 'share')} FROM x GROUP BY 1"""
+    SELECT regime, count(*) AS n, {r('avg(pnl) * 252', 'ann_return')}, {r('stddev_samp(pnl) * sqrt(252)', 'ann_vol')}, {r('CASE WHEN count(*) >= 5 THEN avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252) END', 'sharpe')},
+    {r('avg(CAST(pnl > 0 AS INT)) FILTER (pnl <> 0)', 'win_rate')}, {r('count(*) / sum(count(*)) OVER ()', 'share')} FROM x GROUP BY 1"""
 )
 def regime_performance(spark, d):
     panel, eff = brand_signals(spark, d)
     run = T.net(T.walk_forward(panel, eff, **_FIXED), 0.001).join(eff, "ts", "left")
     run = run.withColumns({"regime": F.coalesce(cleaning.level("eff", 0.5, 0.8), F.lit("none")), "strategy": F.lit("conditional")})
-    return rounded(T.by_regime(run, "regime", ["strategy"]).select("regime", "n", "ann_return", "share"))
+    return rounded(T.by_regime(run, "regime", ["strategy"]).select("regime", "n", "ann_return", "ann_vol", "sharpe", "win_rate", "share"))
 
 
 @query(

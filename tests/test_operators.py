@@ -11,6 +11,7 @@ from driftwell.functions import distributions
 from driftwell.operators import backtest, blocks, cleaning, efficiency, joins, rolling
 from driftwell.operators import inference as inf
 from driftwell.operators.regimes import dating, garch, hmm, jump, segments
+from driftwell.sources.panel import write_table
 from pyspark.sql import functions as F
 
 DAY = dt.date(2020, 1, 1)
@@ -271,6 +272,16 @@ def test_expanding_quantiles_by_blocks_are_those_of_all_earlier_rows(spark, size
     assert states.where("NOT (state <=> want)").count() == 0 and states.count() == df.count()
 
 
+@pytest.mark.parametrize("form", ["parquet", "csv", "json"])
+def test_tables_are_written_and_read_again(spark, tmp_path, form):
+    df = panel(spark, {"a": [0.5, None, -1.25], "b": []})
+    for _ in range(2):  # a second one replaces the first
+        write_table(df, f"{tmp_path}/{form}", form)
+    reader = spark.read.schema(df.schema)
+    back = reader.csv(f"{tmp_path}/{form}", header=True) if form == "csv" else reader.format(form).load(f"{tmp_path}/{form}")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_fits_tell_whether_they_converged():
     x = noise(200) * np.repeat([0.5, 2.0], 100)
     assert not hmm.fit(x, 2, restarts=2, most=2)["converged"]

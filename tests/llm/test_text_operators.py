@@ -331,7 +331,7 @@ def test_license_scores_equal_brute_force(spark):
         size = math.sqrt(sum(x * x for x in v.values())) or 1
         return {w: x / size for w, x in v.items()}
 
-    templates = [(k, vector(x)) for k, x in [*licenses.TEMPLATES.items(), *((k, p) for k, t in licenses.TEXTS.items() for p in t.split("\n"))]]
+    templates = [(k, vector(x)) for k, x in [*licenses.TEMPLATES.items(), *licenses.TEXTS.items()]]
     got = {r.doc_id: (r.license, r.score) for r in licenses.scanned(df).where("origin = 'header'").collect()}
     for k, t in enumerate(texts):
         v = vector(t)
@@ -349,6 +349,30 @@ def test_whole_licenses_speak_for_their_directories_at_any_size_of_the_corpus(sp
         assert got == {1: ("MIT", "header"), 2: ("MIT", "directory"), 3: ("Apache-2.0", "header")}
 
 
+def test_license_files_are_told_apart_whatever_the_corpus(spark):
+    """Whole licenses, with a name and without some words, speak for what lies beside and below them; a license that is no template speaks for nothing, and a notice in a file counts as a whole."""
+    rng = random.Random(3)
+    whole = licenses.whole_licenses()
+    for n in (20, 1000):
+        rows = []
+        for k, (name, text) in enumerate(sorted(whole.items())):
+            words = text.split(" ")
+            changed = "Copyright 2020 Somebody\n\n" + " ".join(w for w in words if rng.random() > 0.02)
+            rows += [(10 * k, changed, f"{name}/LICENSE"), (10 * k + 1, "int a plain file", f"{name}/src/deep/a.py")]
+        rows += [(902, "# " + licenses.TEXTS["GPL-2.0"].replace("\n", "\n#\n# ") + "\n\nimport os\n" * 20, "notice/a.py"), (903, "plain", "notice/b.py")]
+        rows += [(2000 + k, f"some ordinary words of text {k % 7}", f"other/{k}") for k in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+        got = {r.doc_id: (r.license, r.origin) for r in licenses.scanned(df).collect()}
+        for k, name in enumerate(sorted(whole)):
+            assert got[10 * k] == (name, "text") and got[10 * k + 1] == (name, "directory")
+        unknown = [k for k, name in enumerate(sorted(whole)) if name in ("BSD-3-Clause", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+        less = {name: text for k, (name, text) in enumerate(sorted(whole.items())) if k not in unknown}
+        without = {r.doc_id: (r.license, r.origin) for r in licenses.scanned(df, texts=licenses.TEXTS, wholes=less).collect()}
+        assert all(without[10 * k + 1] == (None, "none") for k in unknown)
+        assert got[902] == ("GPL-2.0", "header") and got[903] == (None, "none")
+        assert all(got[2000 + k] == (None, "none") for k in range(n))
+
+
 def test_licenses_of_long_texts_and_ties_of_a_directory(spark):
     long = "word " * 200_000 + "\n" + licenses.TEMPLATES["CC0-1.0"] + "\n" + "word " * 1000
     rows = [

@@ -12,8 +12,10 @@ from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
 from driftwell.functions.distributions import normal_cdf, normal_ppf
+from driftwell.operators import ranks
 from driftwell.operators.cleaning import in_time
 from driftwell.operators.rolling import YEAR
+from driftwell.sources.shared import saved
 
 
 def sharpe(x: str) -> Column:
@@ -25,11 +27,11 @@ def sharpe(x: str) -> Column:
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, n_pos, n_neg, auc) by average ranks: distinct scores are counted first, and only they are put in order."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    g = rows.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("w", F.col("p") * (below + F.col("q") / 2))
-    out = g.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w"))
-    return out.select(*by, "n_pos", "n_neg", ratio(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+    g = rows.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_q"))
+    below = F.coalesce(F.sum("_q").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("_w", F.col("_p") * (below + F.col("_q") / 2))
+    out = g.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum("_w").alias("_w"))
+    return out.select(*by, "n_pos", "n_neg", ratio(F.col("_w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def classification(df: DataFrame, predicted: str, label: str, by: list[str]) -> DataFrame:
@@ -168,19 +170,74 @@ def alpha_beta(df: DataFrame, y: str, x: str, by: list[str], lags: int = 10) ->
     return g.join(s, by).select(*by, "n", "alpha", "beta", F.when(var > 0, F.try_divide(F.col("alpha") * F.col("n"), F.sqrt(var))).alias("t_alpha"))
 
 
+def _starts(sizes: DataFrame, replicates: int, length: int, circular: bool, seed: int) -> DataFrame:
+    """(by, _n, rep, b, s, k): block b of a replicate takes k rows from rank s on; s is the first 32 bits of md5('seed-rep-b'), modulo where blocks may begin, and the last block is cut so that a replicate has n rows."""
+    starts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / length))))
+    span = F.col("_n") if circular else F.greatest(F.col("_n") - length, F.lit(1))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long")
+    return starts.withColumns({"s": hashed % span, "k": F.least(F.lit(length), F.col("_n") - F.col("b") * length)})
+
+
 def _drawn(df: DataFrame, by: list[str], replicates: int, length: int, circular: bool, seed: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their rank _i, and (by, rep, _i) of what each replicate draws: blocks of ``length`` ranks that begin at hashes of replicate and block; the last is cut so that a replicate has n rows."""
+    """Rows with their rank _i, and (by, rep, _i) of what each replicate draws."""
     order = W.partitionBy(*by).orderBy("ts")
     rows = df.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(W.partitionBy(*by))}).where(F.col("_n") >= least)
-    sizes = rows.groupBy(*by).agg(F.first("_n").alias("_n"))
-    starts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / length))))
-    span = F.col("_n") if circular else F.greatest(F.col("_n") - length, F.lit(1))
-    starts = starts.withColumn("s", F.pmod(F.xxhash64(F.lit(seed), "rep", "b"), span))
-    size = F.least(F.lit(length), F.col("_n") - F.col("b") * length)
-    drawn = starts.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), size - 1))).withColumn("_i", F.pmod(F.col("s") + F.col("o"), F.col("_n")).cast("int"))
+    starts = _starts(rows.groupBy(*by).agg(F.first("_n").alias("_n")), replicates, length, circular, seed)
+    drawn = starts.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("_i", F.pmod(F.col("s") + F.col("o"), F.col("_n")).cast("int"))
     return rows.drop("_n"), drawn.select(*by, "rep", "_i")
 
 
+def moment_replicates(df: DataFrame, columns: list[str], by: list[str], replicates: int = 200, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((by, n, mean_<c>, var_<c>) of the groups, and with rep of their block-bootstrap replicates), from running sums.
+
+    A replicate's block is the difference of two running sums, so 2 n / length look-ups stand for n drawn rows (a third where a block
+    runs over the end). Sums are of deviations from the group's mean. A variance within rounding of 0 is 0. Groups are rows
+    with all columns not null, of ``least`` rows at least; ``by`` is not null. A group may be longer than a task can hold.
+    """
+    df = saved(df.dropna(subset=[*by, *columns]).select(*by, "ts", *columns))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_m_{c}") for c in columns)).where(F.col("_n") >= least)
+    sizes = saved(sizes)
+    centred = {f"_1_{c}": F.col(c).cast("double") - F.col(f"_m_{c}") for c in columns}
+    rows = df.join(sizes, by).withColumns(centred)
+    rows = rows.withColumns({f"_2_{c}": F.col(f"_1_{c}") * F.col(f"_1_{c}") for c in columns})
+    names = [f"_{j}_{c}" for c in columns for j in (1, 2)]
+    sums = ranks.running_sums(rows.select(*by, "ts", *names), by, [F.col("ts")], names, parts)
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_i"), *(F.sum(c).alias(f"_s_{c}") for c in names))
+    at = ["_i", *(f"_s_{c}" for c in names)]
+    table = sums.select(*by, *at).unionByName(totals.select(*by, *at))
+    end = F.col("s") + F.col("k")
+    over = end > F.col("_n")
+    ends = F.array(F.struct(F.col("s").alias("_i"), F.lit(-1.0).alias("sign")), F.struct(F.when(over, end - F.col("_n")).otherwise(end).alias("_i"), F.lit(1.0).alias("sign")), F.struct(F.when(over, F.col("_n")).alias("_i"), F.lit(1.0).alias("sign")))
+    looked = _starts(sizes.select(*by, "_n"), replicates, length, circular, seed).select(*by, "rep", F.explode(ends).alias("e")).select(*by, "rep", "e.*").where("_i is not null")
+    reps = looked.join(table, [*by, "_i"]).groupBy(*by, "rep").agg(*(F.sum(F.col("sign") * F.col(f"_s_{c}")).alias(f"_s_{c}") for c in names))
+
+    def moments(t: DataFrame, *keys: str) -> DataFrame:
+        out = [F.col("_n").alias("n")]
+        for c in columns:
+            s1, s2 = F.col(f"_s__1_{c}"), F.col(f"_s__2_{c}")
+            var = (s2 - s1 * s1 / F.col("_n")) / (F.col("_n") - 1)
+            scale = F.greatest(F.col(f"_all_{c}") / F.col("_n"), F.pow(F.col(f"_m_{c}"), F.lit(2.0)))
+            out += [(F.col(f"_m_{c}") + s1 / F.col("_n")).alias(f"mean_{c}"), F.when(var > 1e-13 * scale, var).otherwise(0.0).alias(f"var_{c}")]
+        return t.select(*by, *keys, *out)
+
+    sizes = sizes.join(totals.select(*by, *(F.col(f"_s__2_{c}").alias(f"_all_{c}") for c in columns)), by)
+    return moments(totals.drop("_i").join(sizes, by)), moments(reps.join(sizes, by), "rep")
+
+
+def moment_sharpe(c: str) -> Column:
+    """``sharpe`` of a column, from its moments."""
+    return F.when((F.col("n") >= 5) & (F.col(f"var_{c}") > 0), F.try_divide(F.col(f"mean_{c}"), F.sqrt(f"var_{c}")) * math.sqrt(YEAR))
+
+
+def moment_bootstrap(df: DataFrame, columns: list[str], metrics: dict[str, Column], by: list[str], replicates: int = 200, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, level: float = 0.95) -> DataFrame:
+    """(by, metric, value, low, high) as ``block_bootstrap`` from the same starts, for metrics of n, mean_<c> and var_<c>, by ``moment_replicates``."""
+    groups, reps = moment_replicates(df, columns, by, replicates, length, circular, seed, least)
+    stack = lambda d, *keys: d.select(*by, *keys, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), m.cast("double").alias("value")) for k, m in metrics.items()))).alias("z")).select(*by, *keys, "z.*")
+    tail = (1 - level) / 2
+    ends = stack(reps, "rep").groupBy(*by, "metric").agg(F.percentile("value", F.lit(tail)).alias("low"), F.percentile("value", F.lit(1 - tail)).alias("high"))
+    return stack(groups).join(ends, [*by, "metric"], "left")
+
+
 def block_bootstrap(df: DataFrame, metrics: dict[str, Column], by: list[str], replicates: int = 200, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, level: float = 0.95) -> DataFrame:
     """(by, metric, value, low, high): percentile intervals of aggregates over block-bootstrap replicates.
 
@@ -207,11 +264,10 @@ def auc_bootstrap(df: DataFrame, score: str, label: str, by: list[str], replicat
 
 def sharpe_difference(df: DataFrame, a: str, b: str, by: list[str], replicates: int = 200, length: int = 21, seed: int = 7) -> DataFrame:
     """(by, value, low, high, p): difference of two Sharpe ratios with the same blocks for both; p is twice the smaller share of replicates on either side of 0."""
-    x = F.coalesce(sharpe(a), F.lit(0.0)) - F.coalesce(sharpe(b), F.lit(0.0))
-    rows, drawn = _drawn(df, by, replicates, length, True, seed, 1)
-    reps = drawn.join(rows, [*by, "_i"]).groupBy(*by, "rep").agg(x.alias("d"))
-    ends = reps.groupBy(*by).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("_l"), F.avg((F.col("d") >= 0).cast("double")).alias("_h"))
-    return rows.groupBy(*by).agg(x.alias("value")).join(ends, by).select(*by, "value", "low", "high", F.least(F.lit(1.0), 2 * F.least("_l", "_h")).alias("p"))
+    d = (F.coalesce(moment_sharpe(a), F.lit(0.0)) - F.coalesce(moment_sharpe(b), F.lit(0.0))).alias("d")
+    groups, reps = moment_replicates(df, [a, b], by, replicates, length, True, seed, 1)
+    ends = reps.select(*by, d).groupBy(*by).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("_l"), F.avg((F.col("d") >= 0).cast("double")).alias("_h"))
+    return groups.select(*by, d.alias("value")).join(ends, by).select(*by, "value", "low", "high", F.least(F.lit(1.0), 2 * F.least("_l", "_h")).alias("p"))
 
 
 def probabilistic_sharpe(df: DataFrame, column: str, by: list[str], benchmark: float = 0.0) -> DataFrame:

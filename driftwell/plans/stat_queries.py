@@ -10,6 +10,7 @@ from driftwell.operators import aggregates as A
 from driftwell.operators import backtest as T
 from driftwell.operators import cleaning, joins
 from driftwell.operators import inference as I
+from driftwell.operators import ranks as K
 from driftwell.operators import rolling as R
 from driftwell.operators.regimes import dating
 from driftwell.plans import fixtures as S
@@ -283,10 +284,70 @@ def t_tests(spark, d):
     return rounded(g.withColumns({"p_normal": two_sided_p("t"), "p": two_sided_t("t", (F.col("n") - 1).cast("double"))}))
 
 
-@query()
+#: Circular blocks of 21 rows, 100 replicates, of the series in x (series_id, ts, values); starts are hashes.
+DRAWN = f"""k AS (SELECT *, row_number() OVER ({S.W}) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM x), sizes AS (SELECT DISTINCT series_id, n FROM k WHERE n >= 50),
+    blocks AS (SELECT series_id, n, rep, b, CAST('0x' || substr(md5('7-' || rep || '-' || b), 1, 8) AS BIGINT) % n AS s, least(21, n - 21 * b) AS len FROM (SELECT series_id, n, rep, unnest(range(0, CAST(floor((n - 1) / 21) AS BIGINT) + 1)) AS b FROM (SELECT *, unnest(range(0, 100)) AS rep FROM sizes))),
+    picks AS (SELECT series_id, rep, (s + o) % n AS i FROM (SELECT *, unnest(range(0, len)) AS o FROM blocks)), drawn AS (SELECT p.rep, k.* FROM picks p JOIN k USING (series_id, i))"""
+_SHARPE = "CASE WHEN count({0}) >= 5 AND stddev_samp({0}) > 1e-7 THEN avg({0}) / stddev_samp({0}) * sqrt(252) END"
+
+
+@query(
+    f"""WITH {S.BRAND_WEEK}, x AS (SELECT series_id, ts, ret FROM panel WHERE ret IS NOT NULL), {DRAWN},
+    v AS (SELECT k.series_id, avg(ret) AS mean, {_SHARPE.format("ret")} AS sharpe FROM k WHERE n >= 50 GROUP BY 1), q AS (SELECT series_id, rep, avg(ret) AS mean, {_SHARPE.format("ret")} AS sharpe FROM drawn GROUP BY 1, 2),
+    e AS (SELECT series_id, quantile_cont(mean, 0.025) AS ml, quantile_cont(mean, 0.975) AS mh, quantile_cont(sharpe, 0.025) AS sl, quantile_cont(sharpe, 0.975) AS sh FROM q GROUP BY 1)
+    SELECT series_id, 'mean' AS metric, {r('mean', 'value')}, {r('ml', 'low')}, {r('mh', 'high')} FROM v JOIN e USING (series_id) UNION ALL SELECT series_id, 'sharpe', {r('sharpe', 'value')}, {r('sl', 'low')}, {r('sh', 'high')} FROM v JOIN e USING (series_id)"""
+)
 def bootstrap_ci(spark, d):
     df = P.brand_week(spark, d).where("ret is not null")
-    return rounded(I.block_bootstrap(df, {"mean": F.avg("ret"), "sharpe": I.sharpe("ret")}, ["series_id"], 100))
+    return rounded(I.moment_bootstrap(df, ["ret"], {"mean": F.col("mean_ret"), "sharpe": I.moment_sharpe("ret")}, ["series_id"], 100))
+
+
+@query(
+    f"""WITH {S.BRAND_WEEK}, y AS (SELECT series_id, ts, ret AS a, sign(lag(ret) OVER ({S.W})) * ret AS b FROM panel), x AS (SELECT * FROM y WHERE a IS NOT NULL AND b IS NOT NULL), {DRAWN.replace("WHERE n >= 50", "")},
+    q AS (SELECT series_id, rep, coalesce({_SHARPE.format("a")}, 0) - coalesce({_SHARPE.format("b")}, 0) AS d FROM drawn GROUP BY 1, 2), v AS (SELECT series_id, coalesce({_SHARPE.format("a")}, 0) - coalesce({_SHARPE.format("b")}, 0) AS value FROM x GROUP BY 1),
+    e AS (SELECT series_id, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, least(1.0, 2 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT)))) AS p FROM q GROUP BY 1)
+    SELECT series_id, {r('value', 'value')}, {r('low', 'low')}, {r('high', 'high')}, {r('p', 'p')} FROM v JOIN e USING (series_id)"""
+)
+def sharpe_gap(spark, d):
+    """Holding a series against following its last return: the difference of Sharpe ratios by paired blocks."""
+    df = P.brand_week(spark, d)
+    df = df.withColumns({"a": F.col("ret"), "b": F.signum(F.lag("ret").over(cleaning.in_time())) * F.col("ret")}).where("a is not null and b is not null")
+    return rounded(I.sharpe_difference(df, "a", "b", ["series_id"], 100))
+
+
+#: One family of as many tests as there are lines: how far a line's unit price is above its part's mean.
+_LINE_P = """f AS (SELECT l_orderkey, l_linenumber, round(exp(-8 * abs(l_extendedprice / l_quantity / 1000 - 1) * (1 + l_tax)), 9) AS p, CAST(l_returnflag = 'R' AS INT) AS returned, l_extendedprice AS price FROM lineitem)"""
+
+
+def _lines(spark, d) -> DataFrame:
+    p = F.round(F.exp(-8 * F.abs(F.col("l_extendedprice") / F.col("l_quantity") / 1000 - 1) * (1 + F.col("l_tax"))), 9)
+    return P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("returned"), F.col("l_extendedprice").alias("price"))
+
+
+@query(
+    f"""WITH {_LINE_P}, g AS (SELECT price, sum(returned) AS p, sum(1 - returned) AS q FROM f GROUP BY 1), c AS (SELECT p, q, p * (coalesce(sum(q) OVER (ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS w FROM g)
+    SELECT CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(q) AS BIGINT) AS n_neg, {r('sum(w) / nullif(sum(p) * sum(q), 0)', 'auc')} FROM c"""
+)
+def auc_of_all_lines(spark, d):
+    """Price against return over all lines as one group."""
+    return rounded(K.auc(_lines(spark, d), "price", "returned", []))
+
+
+@query(
+    f"""WITH {_LINE_P}, k AS (SELECT l_orderkey, l_linenumber, p, row_number() OVER (ORDER BY p, l_orderkey, l_linenumber) AS rank, count(*) OVER () AS n FROM f WHERE p IS NOT NULL), a AS (SELECT *, 0.05 * rank / n AS threshold, least(1.0, p * n / rank) AS raw FROM k),
+    z AS (SELECT *, min(raw) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj, max(CASE WHEN p <= threshold THEN rank END) OVER () AS m FROM a)
+    SELECT l_orderkey, l_linenumber, {r('p', 'p')}, CAST(rank AS BIGINT) AS rank, {r('threshold', 'threshold')}, {r('raw', 'adjusted_p_raw')}, {r('adj', 'adjusted_p')}, coalesce(rank <= m, false) AS reject FROM z"""
+)
+def false_discovery_of_all_lines(spark, d):
+    """All lines as one family of tests."""
+    return rounded(K.benjamini_hochberg(_lines(spark, d).select("l_orderkey", "l_linenumber", "p"), "p", []))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS rank FROM lineitem")
+def rank_of_all_lines(spark, d):
+    """All lines by price, dearest first."""
+    lines = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return K.ranked(lines, [], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")])
 
 
 @query()

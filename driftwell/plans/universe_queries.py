@@ -13,8 +13,10 @@ from driftwell.operators.regimes import hmm
 from driftwell.plans import fixtures as S
 from driftwell.plans import regime_queries
 from driftwell.plans.panel_queries import last_dates, r, rounded, stressed
+from driftwell.plans.stat_queries import DRAWN
 from driftwell.sources import panel as P
 from driftwell.sources.shared import new_folder
+from driftwell.sources.stages import resumed
 from driftwell.sources.tables import table
 
 QUERIES: dict = {}
@@ -96,6 +98,21 @@ def detection_table(spark, d):
     return rounded(I.auc(_detections(spark, d), "v", "y", ["series_id", "label", "score"]))
 
 
+@query(
+    f"""WITH {_LABELS}, m AS (SELECT label || '/' || score AS series_id, ts, round(avg(v), 9) AS v, max(y) AS y FROM s JOIN l USING (ts) WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY label, score, ts), x AS (SELECT * FROM m), {DRAWN},
+    every AS (SELECT series_id, -1 AS rep, v, y FROM k WHERE n >= 50 UNION ALL SELECT series_id, rep, v, y FROM drawn), g AS (SELECT series_id, rep, v, sum(y) AS p, sum(1 - y) AS q FROM every GROUP BY 1, 2, 3),
+    c AS (SELECT series_id, rep, p, q, p * (coalesce(sum(q) OVER (PARTITION BY series_id, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS w FROM g),
+    z AS (SELECT series_id, rep, sum(w) / nullif(sum(p) * sum(q), 0) AS auc FROM c GROUP BY 1, 2)
+    SELECT series_id AS detector, {r('max(auc) FILTER (rep = -1)', 'auc')}, {r('quantile_cont(auc, 0.025) FILTER (rep >= 0)', 'low')}, {r('quantile_cont(auc, 0.975) FILTER (rep >= 0)', 'high')} FROM z GROUP BY 1""",
+    dates=(),
+)
+def detection_intervals(spark, d):
+    """AUC of the three scores, averaged over series, against the four labels, with intervals by circular blocks of 21 dates."""
+    df = _detections(spark, d).where("y is not null").groupBy("label", "score", "ts").agg(F.round(F.avg("v"), 9).alias("v"), F.max("y").alias("y"))
+    df = df.select(F.concat_ws("/", "label", "score").alias("detector"), "ts", "v", "y")
+    return rounded(I.auc_bootstrap(df, "v", "y", ["detector"], 100).select("detector", F.col("value").alias("auc"), "low", "high"))
+
+
 def _detections(spark, d) -> DataFrame:
     order = W.partitionBy("series_id").orderBy("ts")  # the market: one row a date
     m = stressed(spark, d).withColumn("month", F.round(F.sum("ret").over(order.rowsBetween(-20, 0)), 6))
@@ -131,3 +148,15 @@ def varying_features(spark, d):
     """Columns that are not constant, of four."""
     df = P.type_day(spark, d).withColumn("same", F.lit(1.0))
     return spark.createDataFrame([(c,) for c in cleaning.varying(df, ["price", "volume", "ret", "same"])], "feature string")
+
+
+@query(
+    f"""WITH {S.TYPE_DAY}, y AS (SELECT series_id, CAST(year(ts) AS INT) AS y, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS deviation FROM panel GROUP BY 1, 2)
+    SELECT y, count(*) AS series, CAST(sum(n) AS BIGINT) AS n, {r('avg(mean / nullif(deviation, 0))', 'sharpe')}, {r('max(deviation)', 'widest')} FROM y WHERE n >= 5 GROUP BY 1"""
+)
+def staged_years(spark, d):
+    """Three stages that a later run takes up where this one stopped: a panel, its years by series, and the years."""
+    years = lambda spark, df: df.groupBy("series_id", F.year("ts").alias("y")).agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"))
+    summary = lambda spark, df, least: df.where(F.col("n") >= least).groupBy("y").agg(F.count("*").alias("series"), F.sum("n").alias("n"), F.avg(F.try_divide("mean", "deviation")).alias("sharpe"), F.max("deviation").alias("widest"))
+    stages = [("panel", lambda spark, df: P.type_day(spark, d), {}), ("years", years, {}), ("summary", summary, {"least": 5})]
+    return rounded(resumed(spark, new_folder(spark, "stages"), stages, [f"{d}/lineitem.parquet", f"{d}/part.parquet"]))

@@ -141,11 +141,17 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_counts(docs: DataFrame, text: str = "text", batches: int = 4) -> DataFrame:
-    """(batch, h1, h2, n) of all documents, dealt by key; a text's hash picks its batch."""
+    """(batch, h1, h2, n) of all documents, dealt by key; a text's hash picks its batch.
+
+    The batches' counts are columns until keys are dealt out, so that each task adds up its own slices before: a line of all
+    documents sends one row a task.
+    """
     small_batches(docs.sparkSession)
     deal = docs.select(F.pmod(F.xxhash64(text), F.lit(batches)).cast("int").alias("batch"), F.col(text).cast("string").alias("text"))
-    found = deal.mapInArrow(_counted, "batch int, h1 long, h2 long, n long").repartition(_parts(docs.sparkSession), *KEY)
-    return found.groupBy("batch", *KEY).agg(F.sum("n").alias("n"))
+    found = deal.mapInArrow(_counted, "batch int, h1 long, h2 long, n long")
+    by_batch = [F.sum(F.when(F.col("batch") == b, F.col("n"))).alias(f"n{b}") for b in range(batches)]
+    added = found.groupBy(*KEY).agg(*by_batch)
+    return added.select(*KEY, F.posexplode(F.array(*(f"n{b}" for b in range(batches)))).alias("batch", "n")).where("n is not null").select("batch", *KEY, "n")
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", threshold: int = 10, batches: int = 4) -> DataFrame:

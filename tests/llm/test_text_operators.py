@@ -387,3 +387,14 @@ def test_license_scan_of_an_empty_table_and_no_templates(spark, odd):
     df = odd.selectExpr("doc_id", "text", "source as path")
     assert licenses.scanned(df, headers={}, texts={}).where("license is not null").count() == 0
     assert licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_lines_are_added_up_before_they_are_dealt_out(spark):
+    docs = spark.createDataFrame([(k, f"shared\nown {k}\nshared") for k in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    counts = line_dedup.line_counts(docs.repartition(4), batches=3)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(h1") :]
+    assert "partial_sum" in below and below.count("Exchange hashpartitioning(h1") == 1
+    got = counts.collect()
+    assert sum(r.n for r in got) == 80 and {r.n for r in got} != {1} and len({(r.h1, r.h2) for r in got}) == 41
+    assert len(got) == len({(r.batch, r.h1, r.h2) for r in got}) and {r.batch for r in got} <= {0, 1, 2}

@@ -7,7 +7,7 @@ misses n - ceil(t n) of its shingles at most, which is less than width, so it ha
 of any length by signatures loses no match.
 
 1. The signatures of all partitions are one table (hash, item). Each text's window hashes meet it in a join: by broadcast where the
-   table has ``broadcast_rows`` rows at most, which is counted first, and by a shuffle beyond. What comes out is (text, item), once each.
+   table takes ``broadcast_bytes`` at most, which is added up first, and by a shuffle beyond. What comes out is (text, item), once each.
 2. Only texts that were found are read again; each is verified by the exact share of each of its items' shingles.
 
 Two scans of the texts, however long the benchmark is. Texts are named by a 128-bit hash, so ids may be null, repeated or of any type.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import SPACE, held, saved
 
+#: A side of a join is broadcast up to so many bytes of values.
+BROADCAST = 32_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -47,16 +49,25 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_t1": F.xxhash64(F.col(text).cast("string")), "_t2": F.xxhash64(F.lit(1), F.col(text).cast("string"))})
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, to be broadcast if it has so many rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def held_bytes(df: DataFrame) -> int:
+    """The bytes of all values of ``df``: eight a number, and a list's or text's own."""
+    own = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        own = own + (F.coalesce(F.size(c), F.lit(0)) * 8 if kind.startswith("array") else F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    return df.agg(F.coalesce(F.sum(own.cast("long")), F.lit(0))).first()[0]
 
 
-def _found(docs: DataFrame, text: str, items: DataFrame, size: int, threshold: float, broadcast_rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it takes so many bytes at most."""
+    return F.broadcast(df) if held_bytes(df) <= most else df
+
+
+def _found(docs: DataFrame, text: str, items: DataFrame, size: int, threshold: float, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, list[int]]:
     """The items with their numbers, (t1, t2, rows) of texts and the items that they may contain, and the widths of shingles."""
     items = saved(items.withColumn("row", F.monotonically_increasing_id()))
     widths = sorted(r["words"] for r in items.select("words").distinct().collect())  # ``size`` numbers at most
-    hashes = _small(items.select("row", F.explode("signature").alias("hash")), broadcast_rows)
+    hashes = _small(items.select("row", F.explode("signature").alias("hash")), broadcast_bytes)
     texts = _named(docs.select(F.col(text).cast("string").alias("text")), "text").select("_t1", "_t2", F.explode(_windows(F.col("text"), widths)).alias("hash"))
     pairs = texts.join(hashes, "hash").select("_t1", "_t2", "row").distinct()
     return items, saved(pairs.groupBy("_t1", "_t2").agg(F.collect_list("row").alias("_rows"))), widths
@@ -77,31 +88,31 @@ def _window_hashes_of(size: int):
     return run
 
 
-def _verified(docs: DataFrame, text: str, items: DataFrame, found: DataFrame, widths: list[int], threshold: float, broadcast_rows: int) -> DataFrame:
+def _verified(docs: DataFrame, text: str, items: DataFrame, found: DataFrame, widths: list[int], threshold: float, broadcast_bytes: int) -> DataFrame:
     """(columns of docs) with item, n_shared and n_item, of each row and item whose share is large enough."""
-    met = _named(docs, text).join(_small(found, broadcast_rows), ["_t1", "_t2"]).withColumn("_grams", F.array_distinct(_windows(F.col(text).cast("string"), widths)))
+    met = _named(docs, text).join(_small(found, broadcast_bytes), ["_t1", "_t2"]).withColumn("_grams", F.array_distinct(_windows(F.col(text).cast("string"), widths)))
     met = held(met, "_grams").withColumn("row", F.explode("_rows")).drop("_rows")
-    items = _small(items.select("row", "item", "shingles"), broadcast_rows // 100)  # items have many shingles
+    items = _small(items.select("row", "item", "shingles"), broadcast_bytes)
     n, shared = F.size("shingles"), F.size(F.array_intersect("_grams", "shingles"))
     met = met.join(items, "row").withColumns({"n_shared": shared, "n_item": n})
     return met.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).drop("_grams", "shingles", "row")
 
 
 def contained(
-    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_rows: int = 1_000_000
+    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_bytes: int = BROADCAST
 ) -> DataFrame:
     """(id, item id, n_shared, n_item, containment) of each row of ``docs`` and item that it contains to ``threshold`` at least."""
     docs = docs.select(F.col(id).alias("doc"), F.col(text).cast("string").alias("text"))
-    items, found, widths = _found(docs, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_rows)
-    out = _verified(docs, "text", items, found, widths, threshold, broadcast_rows)
+    items, found, widths = _found(docs, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_bytes)
+    out = _verified(docs, "text", items, found, widths, threshold, broadcast_bytes)
     return out.select(F.col("doc").alias(id), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def without_contaminated(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_rows: int = 1_000_000
+    docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, broadcast_bytes: int = BROADCAST
 ) -> DataFrame:
     """``docs`` without the rows that contain an item; decided by text, so ids may be null or repeated."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    items, found, widths = _found(texts, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_rows)
-    bad = saved(_verified(texts, "text", items, found, widths, threshold, broadcast_rows).select("_t1", "_t2").distinct())
-    return _named(docs, text).join(_small(bad, broadcast_rows), ["_t1", "_t2"], "left_anti").drop("_t1", "_t2")
+    items, found, widths = _found(texts, "text", signatures(items, item_id, item_text, size, threshold), size, threshold, broadcast_bytes)
+    bad = saved(_verified(texts, "text", items, found, widths, threshold, broadcast_bytes).select("_t1", "_t2").distinct())
+    return _named(docs, text).join(_small(bad, broadcast_bytes), ["_t1", "_t2"], "left_anti").drop("_t1", "_t2")

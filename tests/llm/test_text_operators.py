@@ -144,7 +144,7 @@ def windows(t, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-@pytest.mark.parametrize("block", [0, 20_000])
+@pytest.mark.parametrize("block", [-1, 20_000, decontaminate.BROADCAST])
 def test_containment_equals_brute_force(spark, block):
     rng = random.Random(4)
     vocabulary = [f"v{k}" for k in range(200)]
@@ -175,14 +175,19 @@ def test_containment_equals_brute_force(spark, block):
                 c = len(own & grams(text, n)) / len(own)
                 if c >= 0.8 - 1e-9:
                     want.add((d, i, round(c, 9)))
-    got = {(r.doc_id, r.item_id, round(r.containment, 9)) for r in decontaminate.contained(df, it, broadcast_rows=block).collect()}
+    got = {(r.doc_id, r.item_id, round(r.containment, 9)) for r in decontaminate.contained(df, it, broadcast_bytes=block).collect()}
     assert got == want and want
-    kept = [r.doc_id for r in decontaminate.without_contaminated(df, it, broadcast_rows=block).collect()]
+    kept = [r.doc_id for r in decontaminate.without_contaminated(df, it, broadcast_bytes=block).collect()]
     bad = {d for d, *_ in want}
     assert sorted(kept) == sorted(d for d, _ in docs if d not in bad)
     assert decontaminate.without_contaminated(df, it).columns == ["doc_id", "text", "item"]
 
 
+def test_what_is_broadcast_is_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(1, "äb", [1, 2, 3]), (None, None, None)], "row long, item string, shingles array<long>")
+    assert decontaminate.held_bytes(df) == 2 * (16 + 8) + 3 + 24 and decontaminate.held_bytes(df.limit(0)) == 0
+
+
 def test_containment_of_text_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([("x", "a b c d e f g h"), ("x", "a b c d e f g h"), (None, "q a b c d e f g h")], "doc_id string, text string")
     items = spark.createDataFrame([("i", "A b c d e f"), ("i", "A b c d e f"), ("short", "g h"), ("none", "z")], "item_id string, text string")

@@ -3,6 +3,7 @@
 1. Host and path are cut from a url by expressions; the longest rule that fits decides.
 2. Names in hosts (parts between dots, hyphens and digits) are often words run together. Word counts of all pages' visible
    texts are a unigram model; each distinct name's substrings are joined with it, and Viterbi picks the likeliest split.
+   A part of a host name has 63 letters at most, so no substring is longer; a longer name, which no real host has, is split into such words.
 3. Urls that rules decide teach a multinomial naive Bayes classifier over host words and path tokens, hashed to ``buckets``
    features. Its table has a fixed size; it judges the rest.
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.common import saved, small_batches
 
-LONGEST = 24
+#: The letters that a part of a host can have at most; no longer word is looked for in one.
+LONGEST = 63
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -55,7 +57,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for html in batch.column(0).to_pylist():
             if html:
-                seen.update(w for w in re.findall(r"[^\W\d_]+", tags.sub(" ", html).lower()) if len(w) <= LONGEST)
+                seen.update(re.findall(r"[^\W\d_]+", tags.sub(" ", html).lower()))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 

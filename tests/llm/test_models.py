@@ -78,6 +78,52 @@ def test_hosts_are_split_and_learned_from(spark):
     assert (got[100].verdict, got[101].verdict) == ("block", "allow")
 
 
+def test_words_of_any_length_that_a_host_can_have(spark):
+    long, longest = "a" * 20 + "bcdefghijklmnopqrstuv", "z" * 31 + "y" * 32
+    assert (len(long), len(longest)) == (41, 63)
+    html = f"<p>{long} {longest} pills</p>" * 50
+    df = spark.createDataFrame([(1, f"http://{long}pills.org/", html), (2, f"http://{longest}.org/", None)], "page_id long, url string, html string")
+    got = {r.page_id: r.words for r in url_filter.judged(df, RULES).collect()}
+    assert got[1][:2] == [long, "pills"] and got[2][0] == longest
+
+
+def test_verdicts_equal_a_direct_bayes(spark):
+    """Counts of the features' own names take the place of hashed ones, so the table has buckets enough for no two to meet."""
+    rules = [("block", "bad.net/"), ("allow", "fine.com/"), ("block", "mixed.org/a/")]
+    rng, stems = random.Random(11), ["cheap", "pills", "spam", "farm", "good", "news", "daily", "garden"]
+    urls = []
+    for k in range(300):
+        words = rng.choices(stems[:5], k=2) if k % 2 else rng.choices(stems[3:], k=2)
+        home = rng.choice(["bad.net", "mixed.org", "other.com"]) if k % 2 else rng.choice(["fine.com", "mixed.org", "other.com"])
+        urls.append(f"http://{''.join(words)}.{home}/{rng.choice(['a', 'b'])}/{rng.choice(stems)}-{k}/x_{rng.randint(0, 99)}?q")
+    text = "<p>" + " ".join(stems + ["net", "org", "com", "bad", "fine", "mixed", "other"]) * 50 + "</p>"
+    df = spark.createDataFrame([(k, u, text if k < 20 else None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    buckets = 2**20
+    got = url_filter.judged(df, rules, buckets=buckets).collect()
+
+    def features(r):
+        steps = [x for x in re.split(r"[^a-z0]+", re.sub(r"\d+", "0", r.path).lower()) if x]
+        return [f"h {w}" for w in r.words] + [f"p {w}" for w in steps]
+
+    said = lambda r: dict((t, v) for v, t in rules).get(r.rule)
+    counts, docs = {"allow": collections.Counter(), "block": collections.Counter()}, collections.Counter()
+    for r in got:
+        if said(r):
+            counts[said(r)].update(features(r))
+            docs[said(r)] += 1
+    total = {c: sum(n.values()) + 0.5 * buckets for c, n in counts.items()}
+    judged = collections.Counter()
+    for r in got:
+        assert "".join(r.words) == re.sub(r"[^a-z]", "", r.host)
+        odds = math.log(docs["block"] / docs["allow"])
+        for f in features(r):
+            odds += math.log((counts["block"][f] + 0.5) / total["block"]) - math.log((counts["allow"][f] + 0.5) / total["allow"])
+        assert r.p_block == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
+        assert r.verdict == (said(r) or ("block" if odds > 0 else "allow"))
+        judged[said(r) is None, r.verdict] += 1
+    assert min(judged[True, "block"], judged[True, "allow"]) > 20
+
+
 def test_a_very_long_host_takes_space_in_proportion(spark):
     name = "cheappills" * 5000
     df = spark.createDataFrame([(1, f"http://{name}.org/", "<p>cheap pills</p>" * 50)], "page_id long, url string, html string")

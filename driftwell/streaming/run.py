@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from driftwell.sources.shared import new_folder
 
+#: The store of state that keeps lists and timers, which recursions need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream; event time has to be a timestamp with a time zone."""
@@ -27,6 +30,12 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
     not in a run that ends with the source.
     """
     spark, at = stream.sparkSession, new_folder(stream.sparkSession, "stream")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

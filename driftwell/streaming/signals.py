@@ -1,7 +1,8 @@
 """Causal panel signals on streams: event-time bars, and per-series recursions with a few numbers of state.
 
-Rows of a trigger come in any order, so a recursion keeps rows in its state until the watermark has passed them and then takes
-them in event-time order; results do not depend on where batches end. Rows behind the watermark are dropped.
+Rows of a trigger come in any order, so a recursion keeps rows in its state until the watermark has passed them, when a timer of the
+series takes them in event-time order; results do not depend on where batches end. Rows that come behind the watermark change
+nothing: bars drop them, and a recursion gives them out as late if it is told to.
 """
 
 from __future__ import annotations
@@ -12,9 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-STATE = "times array<long>, values array<double>, memory array<double>"
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def bars(events: DataFrame, key: str, value: str, size: str = "1 hour", slide: str | None = None, late: str = "2 hours", time: str = "ts") -> DataFrame:
@@ -24,37 +23,92 @@ def bars(events: DataFrame, key: str, value: str, size: str = "1 hour", slide: s
     return g.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")).select("series_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "mean", "low", "high")
 
 
-def recursion(events: DataFrame, key: str, value: str, step, start: list[float], columns: str, late: str = "2 hours", time: str = "ts") -> DataFrame:
+class _Recursion(StatefulProcessor):
+    """Of each series: rows that the watermark has not passed, and the recursion's memory."""
+
+    def __init__(self, step, start: list[float], names: list[str]):
+        self.step, self.start, self.names = step, start, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, x double")
+        self.memory = handle.getValueState("memory", "memory array<double>")
+
+    def close(self) -> None:
+        pass
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        self.memory.update(([float(m) for m in initialState["memory"].iloc[0]],))
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for p in rows:
+            us = p["us"].to_numpy(np.int64)
+            late = us <= mark
+            if late.any():
+                yield pd.DataFrame({"series_id": key[0], "us": us[late], "late": True} | {c: None for c in self.names})
+            if not late.all():
+                self.waiting.appendList([(int(t), float(v)) for t, v in zip(us[~late], p["x"].to_numpy(float)[~late])])
+                first = min(int(us[~late].min()), first) if first is not None else int(us[~late].min())
+        if first is not None:
+            self._wake(first)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(t), float(x)) for t, x in self.waiting.get())
+        memory, out = list(self.memory.get()[0]) if self.memory.exists() else list(self.start), []
+        for us, x in rows:
+            if us > mark:
+                break
+            memory, told = self.step(memory, x)
+            out.append((key[0], us, False, *told))
+        if not out:  # an earlier timer of this trigger has taken them
+            return
+        self.memory.update(([float(m) for m in memory],))
+        rest = rows[len(out) :]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["series_id", "us", "late", *self.names])
+
+
+def recursion(
+    events: DataFrame, key: str, value: str, step, start: list[float], columns: str, late: str = "2 hours", time: str = "ts", told_late: bool = False, history: DataFrame | None = None
+) -> DataFrame:
     """(series_id, ts, columns): ``step(memory, value) -> (memory, outputs)`` over each series' rows in event-time order.
 
-    events: a stream; rows of equal time are taken by value.
+    events: a stream, whose query needs the RocksDB state store (``run.ROCKS``); rows of equal time are taken by value. Rows without a
+    series, time or value are left out.
+    told_late: rows that come behind the watermark come out too, with nulls, and a column ``late`` tells them from the others.
+    history: (series_id, memory), one row a series, of series that do not begin at ``start``, as ``remembered`` gives.
     """
-    rows = events.withWatermark(time, late).select(F.col(key).cast("string").alias("series_id"), F.col(time).alias("ts"), F.unix_micros(F.col(time)).alias("us"), F.col(value).cast("double").alias("x")).where("series_id is not null and ts is not null and x is not null")
+    marked = events.withWatermark(time, late).select(F.col(key).cast("string").alias("series_id"), F.unix_micros(F.col(time)).alias("us"), F.col(value).cast("double").alias("x"))
+    rows = marked.where("series_id is not null and us is not null and x is not null")
     names = [c.split()[0] for c in columns.split(", ")]
+    begun = None if history is None else history.select(F.col("series_id").cast("string").alias("series_id"), "memory").groupBy("series_id")
+    done = rows.groupBy("series_id").transformWithStateInPandas(_Recursion(step, start, names), f"series_id string, us long, late boolean, {columns}", "Append", "EventTime", begun)
+    out = done if told_late else done.where(~F.col("late"))
+    return out.select("series_id", F.timestamp_micros("us").alias("ts"), *(["late"] if told_late else []), *names)
 
-    def run(id: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, values, memory = state.get if state.exists else ([], [], start)
-        times, values, memory = list(times), list(values), list(memory)
+
+def remembered(panel: DataFrame, key: str, value: str, step, start: list[float], time: str = "ts") -> DataFrame:
+    """(series_id, memory) after all rows of a table, a task a series, for a stream that goes on from there."""
+    rows = panel.select(F.col(key).cast("string").alias("series_id"), F.unix_micros(F.col(time)).alias("us"), F.col(value).cast("double").alias("x")).where("series_id is not null and us is not null and x is not null")
+
+    def run(id: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = list(start)
         for p in frames:
-            times += [int(t) for t in p["us"]]
-            values += [float(v) for v in p["x"]]
-        mark = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(times)), key=lambda i: (times[i], values[i]))
-        out = []
-        for i in order:
-            if times[i] > mark:
-                break
-            memory, told = step(memory, values[i])
-            out.append((id[0], times[i], *told))
-        rest = order[len(out) :]
-        state.update(([times[i] for i in rest], [values[i] for i in rest], [float(m) for m in memory]))
-        if rest:
-            state.setTimeoutTimestamp(max(times[rest[0]] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["series_id", "us", *names])
+            for x in p["x"]:
+                memory, _ = step(memory, float(x))
+        yield pd.DataFrame({"series_id": [id[0]], "memory": [[float(m) for m in memory]]})
 
-    done = rows.groupBy("series_id").applyInPandasWithState(run, f"series_id string, us long, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return done.select("series_id", F.timestamp_micros("us").alias("ts"), *names)
+    sorted_rows = rows.repartition("series_id").sortWithinPartitions("series_id", "us", "x")
+    return sorted_rows.groupBy("series_id").applyInPandas(run, "series_id string, memory array<double>")
 
 
 def ewma_step(alpha: float = 0.06):

@@ -301,6 +301,42 @@ def test_scores_equal_brute_force_for_any_size_of_blocks(spark, size):
     assert sum(x[6] for x in there) > sum(x[5] for x in there)
 
 
+def rare_before_common():
+    """Each of many words stands twice, before a common one."""
+    rng = random.Random(3)
+    return [(k, " ".join(f"r{(10 * k + j) % 400} the {rng.choice('abcd')}" for j in range(10))) for k in range(80)]
+
+
+def only_pairs_tell():
+    """After a comes nearly anything; after b comes c, but d after a b, whatever stood before."""
+    rng = random.Random(4)
+    out = []
+    for k in range(120):
+        words = []
+        for _ in range(60):
+            words.append(rng.choice("abcd") if rng.random() < 0.8 else f"x{rng.randrange(200)}")
+            if words[-1] == "b":
+                words.append("d" if words[-2:-1] == ["a"] else "c")
+        out.append((k, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("rows, loose", [(rare_before_common(), False), (only_pairs_tell(), True)], ids=["rare before common", "only pairs tell"])
+def test_few_contexts_pass_through_the_driver(spark, monkeypatch, rows, loose):
+    split, cut, by_join = suffix_tree._split, suffix_tree._bucketed, suffix_tree._loose
+    names, parts, joined = [], [], []
+    monkeypatch.setattr(suffix_tree, "_split", lambda *a: names.append(split(*a)[0]) or split(*a))
+    monkeypatch.setattr(suffix_tree, "_bucketed", lambda df, n, made: parts.append(n) or cut(df, n, made))
+    monkeypatch.setattr(suffix_tree, "_loose", lambda *a: joined.append(1) or by_join(*a))
+    got = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), held(), block_bytes=900).collect()
+    assert max(parts) > 3 and any(len(x) for x in names)
+    assert max(len(x) for x in names) < 2 * max(parts)
+    assert bool(joined) == loose
+    scores, depth = brute_tree(rows, 3, 2.0)
+    assert depth >= 2
+    assert [r.score for r in sorted(got)] == [pytest.approx(x, rel=1e-6) for x in scores]
+
+
 def test_probabilities_of_a_context_add_up_to_one():
     rng = np.random.default_rng(2)
     suffix = rng.dirichlet(np.ones(50))

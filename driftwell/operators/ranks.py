@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
-from driftwell.sources.shared import saved
+from driftwell.sources.shared import saved, written
 
 
 def ranged(df: DataFrame, by: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
@@ -20,18 +20,29 @@ def ranged(df: DataFrame, by: list[str], order: list[str | Column], parts: int |
     return saved(df.repartitionByRange(n, *(F.col(c) for c in by), *order).withColumn("_part", F.spark_partition_id()))
 
 
-def carried(rows: DataFrame, by: list[str], before: dict[str, tuple[str, Column]] | None = None, after: dict[str, tuple[str, Column]] | None = None, whole: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
-    """rows of ``ranged`` with aggregates of the same group's earlier partitions, later ones, and all; each is (``sum``, ``min`` or ``max``, column)."""
-    sides = (before or {}, after or {}, whole or {})
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
+    """df put in order once, as ``ranged`` deals it out, with _part and _id, which numbers a partition's rows in that order without gaps."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*(F.col(c) for c in by), *order]
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    return written(rows).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+
+
+def carried(
+    rows: DataFrame, by: list[str], before: dict[str, tuple[str, Column]] | None = None, after: dict[str, tuple[str, Column]] | None = None, whole: dict[str, tuple[str, Column]] | None = None, own: dict[str, tuple[str, Column]] | None = None
+) -> DataFrame:
+    """rows of ``ranged`` with aggregates of the same group's earlier partitions, later ones, all, and the row's own; each is (``sum``, ``min`` or ``max``, column)."""
+    sides = (before or {}, after or {}, whole or {}, own or {})
     how = {"sum": F.sum, "min": F.min, "max": F.max}
     totals = rows.groupBy(*by, "_part").agg(*(how[f](c).alias(f"_t_{k}") for side in sides for k, (f, c) in side.items()))
-    over = W.partitionBy(*by).orderBy("_part")
-    frames = (over.rowsBetween(W.unboundedPreceding, -1), over.rowsBetween(1, W.unboundedFollowing), over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    group = W.partitionBy(*by)
+    past = lambda o: group.orderBy(o).rowsBetween(W.unboundedPreceding, -1)
+    frames = (past("_part"), past(F.desc("_part")), group, group.orderBy("_part").rowsBetween(0, 0))
     carries = totals.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_at"), *(how[f](f"_t_{k}").over(frame).alias(k) for frame, side in zip(frames, sides) for k, (f, _) in side.items()))
     same = F.col("_part") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return rows.join(carries, same).drop("_at", *(f"_by_{c}" for c in by))
+    return rows.join(carries if by else F.broadcast(carries), same).drop("_at", *(f"_by_{c}" for c in by))  # without groups, one row a partition
 
 
 def _here(by: list[str], order: list[str | Column]):
@@ -67,10 +78,11 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str], alpha: float = 0.05
     """As ``inference.benjamini_hochberg``, with a family over many partitions."""
     df = df.where(F.col(p).isNotNull())
     order = [F.col(p), *(F.col(c) for c in df.columns if c not in by and c != p)]
-    rows = carried(ranged(df, by, order, parts), by, before={"_before": ("sum", F.lit(1))}, whole={"_n": ("sum", F.lit(1))})
-    rows = rows.withColumn("rank", F.coalesce("_before", F.lit(0)) + F.row_number().over(_here(by, order))).drop("_before")
+    rows = carried(numbered(df, by, order, parts), by, before={"_before": ("sum", F.lit(1))}, whole={"_n": ("sum", F.lit(1))}, own={"_first": ("min", F.col("_id"))})
+    rows = rows.withColumn("rank", F.coalesce("_before", F.lit(0)) + F.col("_id") - F.col("_first") + 1).drop("_before", "_first", "_id")
     rows = rows.withColumns({"threshold": alpha * F.col("rank") / F.col("_n"), "adjusted_p_raw": F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("rank"))})
     passed = F.when(F.col(p) <= F.col("threshold"), F.col("rank"))
     rows = carried(rows, by, after={"_later": ("min", F.col("adjusted_p_raw"))}, whole={"_last": ("max", passed)})
-    later = F.min("adjusted_p_raw").over(_here(by, ["rank"]).rowsBetween(0, W.unboundedFollowing))
+    # from the last rank on: Spark takes a frame that ends with the group anew for each of its rows
+    later = F.min("adjusted_p_raw").over(_here(by, [F.desc("rank")]).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumns({"adjusted_p": F.least(later, "_later"), "reject": F.coalesce(F.col("rank") <= F.col("_last"), F.lit(False))}).drop("_n", "_part", "_later", "_last")

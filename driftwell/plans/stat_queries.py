@@ -339,9 +339,10 @@ def auc_of_all_lines(spark, d):
     SELECT l_orderkey, l_linenumber, {r('p', 'p')}, CAST(rank AS BIGINT) AS rank, round(raw, 8) + 0.0 AS adjusted_p_raw, round(adj, 8) + 0.0 AS adjusted_p, coalesce(rank <= m, false) AS reject FROM z"""
 )
 def false_discovery_of_all_lines(spark, d):
-    """All lines as one family of tests. Thresholds, 0.05 rank / n, are left out: many end in a 5 that the engines round apart."""
+    """All lines as one family of tests. Thresholds, 0.05 rank / n, are left out: many end in a 5 that the engines round apart. Other numbers are rounded as SQL does, by their doubles."""
     df = K.benjamini_hochberg(_lines(spark, d).select("l_orderkey", "l_linenumber", "p"), "p", [])
-    return df.select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"), "rank", F.round("adjusted_p_raw", 8).alias("adjusted_p_raw"), F.round("adjusted_p", 8).alias("adjusted_p"), "reject")
+    digits = lambda c, scale: (F.floor(F.col(c) * scale + 0.5) / scale).alias(c)
+    return df.select("l_orderkey", "l_linenumber", digits("p", 1e6), "rank", digits("adjusted_p_raw", 1e8), digits("adjusted_p", 1e8), "reject")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS rank FROM lineitem")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
@@ -15,7 +19,7 @@ from driftwell.functions.distributions import normal_cdf, normal_ppf
 from driftwell.operators import ranks
 from driftwell.operators.cleaning import in_time
 from driftwell.operators.rolling import YEAR
-from driftwell.sources.shared import saved
+from driftwell.sources.shared import saved, written
 
 
 def sharpe(x: str) -> Column:
@@ -170,9 +174,19 @@ def alpha_beta(df: DataFrame, y: str, x: str, by: list[str], lags: int = 10) ->
     return g.join(s, by).select(*by, "n", "alpha", "beta", F.when(var > 0, F.try_divide(F.col("alpha") * F.col("n"), F.sqrt(var))).alias("t_alpha"))
 
 
+#: So many blocks of a replicate come from one row: what a row is exploded to waits in a task's memory, and few rows would leave most tasks without work.
+_BLOCKS = 1024
+#: So many weights a task counts at once.
+_CELLS = 2**21
+
+
 def _starts(sizes: DataFrame, replicates: int, length: int, circular: bool, seed: int) -> DataFrame:
     """(by, _n, rep, b, s, k): block b of a replicate takes k rows from rank s on; s is the first 32 bits of md5('seed-rep-b'), modulo where blocks may begin, and the last block is cut so that a replicate has n rows."""
-    starts = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / length))))
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    some = reps.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / (length * _BLOCKS))))).repartition(parts, *sizes.columns, "rep", "_c")
+    last = F.least(F.floor((F.col("_n") - 1) / length), (F.col("_c") + 1) * _BLOCKS - 1)
+    starts = some.withColumn("b", F.explode(F.sequence(F.col("_c") * _BLOCKS, last))).drop("_c")
     span = F.col("_n") if circular else F.greatest(F.col("_n") - length, F.lit(1))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long")
     return starts.withColumns({"s": hashed % span, "k": F.least(F.lit(length), F.col("_n") - F.col("b") * length)})
@@ -209,7 +223,8 @@ def moment_replicates(df: DataFrame, columns: list[str], by: list[str], replicat
     over = end > F.col("_n")
     ends = F.array(F.struct(F.col("s").alias("_i"), F.lit(-1.0).alias("sign")), F.struct(F.when(over, end - F.col("_n")).otherwise(end).alias("_i"), F.lit(1.0).alias("sign")), F.struct(F.when(over, F.col("_n")).alias("_i"), F.lit(1.0).alias("sign")))
     looked = _starts(sizes.select(*by, "_n"), replicates, length, circular, seed).select(*by, "rep", F.explode(ends).alias("e")).select(*by, "rep", "e.*").where("_i is not null")
-    reps = looked.join(table, [*by, "_i"]).groupBy(*by, "rep").agg(*(F.sum(F.col("sign") * F.col(f"_s_{c}")).alias(f"_s_{c}") for c in names))
+    # by a shuffle: what is exploded is taken for small and would be broadcast, 2 n replicates / length rows
+    reps = looked.hint("merge").join(table, [*by, "_i"]).groupBy(*by, "rep").agg(*(F.sum(F.col("sign") * F.col(f"_s_{c}")).alias(f"_s_{c}") for c in names))
 
     def moments(t: DataFrame, *keys: str) -> DataFrame:
         out = [F.col("_n").alias("n")]
@@ -244,7 +259,7 @@ def block_bootstrap(df: DataFrame, metrics: dict[str, Column], by: list[str], re
     Draws are rows of their own, joined with the data by rank, so replicates spread over tasks; starts come from hashes.
     """
     rows, drawn = _drawn(df, by, replicates, length, circular, seed, least)
-    sample = drawn.join(rows, [*by, "_i"])
+    sample = drawn.hint("merge").join(rows, [*by, "_i"])
     reps = sample.groupBy(*by, "rep").agg(*(m.alias(k) for k, m in metrics.items()))
     values = rows.groupBy(*by).agg(*(m.alias(k) for k, m in metrics.items()))
     stack = lambda d, *keys: d.select(*by, *keys, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in metrics))).alias("z")).select(*by, *keys, "z.*")
@@ -253,13 +268,122 @@ def block_bootstrap(df: DataFrame, metrics: dict[str, Column], by: list[str], re
     return stack(values).join(ends, [*by, "metric"], "left")
 
 
+def _weights(rows: DataFrame, by: list[str], replicates: int, length: int, circular: bool, seed: int) -> DataFrame:
+    """(by, _x, _pos, _w): how many rows of one _x and _pos each replicate draws, among ``_CELLS // replicates`` consecutive rows; _w holds unsigned integers of 1, 2, 4 or 8 bytes."""
+    size = max(1, _CELLS // replicates)
+    end = F.col("s") + F.col("k")
+    spans = F.array(F.struct(F.col("s").alias("lo"), F.least(end, F.col("_n")).alias("hi")), F.struct(F.lit(0).cast("long").alias("lo"), (end - F.col("_n")).alias("hi")))
+    drawn = _starts(rows.select(*by, "_n").distinct(), replicates, length, circular, seed).select(*by, "rep", F.explode(spans).alias("e")).select(*by, "rep", "e.*").where("hi > lo")
+    touched = F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size)))
+    drawn = drawn.select(*(F.col(c).alias(c) for c in by), "rep", "lo", "hi", touched.alias("_c"))  # columns other than those of rows
+    own = rows.select(*by, F.floor(F.col("_i") / size).alias("_c"), (F.col("_i") % size).alias("_i"), "_x", "_pos")
+
+    def count(key: tuple, ends: pa.Table, own: pa.Table) -> pa.Table:
+        place, first = own["_i"].to_numpy(), key[-1].as_py() * size
+        n = int(place.max()) + 1 if len(place) else 0
+        rep = ends["rep"].to_numpy()
+        lo, hi = (np.clip(ends[c].to_numpy() - first, 0, n) for c in ("lo", "hi"))
+        change = np.bincount(lo * replicates + rep, minlength=(n + 1) * replicates) - np.bincount(hi * replicates + rep, minlength=(n + 1) * replicates)
+        weights = change.reshape(-1, replicates).cumsum(axis=0)
+        code = own["_x"].combine_chunks().dictionary_encode().indices.to_numpy() * 2 + own["_pos"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        heads = np.flatnonzero(np.diff(code[order], prepend=-1))
+        sums = np.add.reduceat(weights[place[order]], heads, axis=0) if n else weights[:0]
+        sums = sums.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not n or sums.max() <= np.iinfo(t).max))
+        at = np.arange(len(sums) + 1, dtype=np.int32) * (replicates * sums.itemsize)
+        packed = pa.Array.from_buffers(pa.binary(), len(sums), [None, pa.py_buffer(at), pa.py_buffer(sums.tobytes())])
+        return own.take(pa.array(order[heads])).select([*by, "_x", "_pos"]).append_column("_w", packed)
+
+    out = T.StructType([*(rows.schema[c] for c in (*by, "_x", "_pos")), T.StructField("_w", T.BinaryType())])
+    return drawn.groupBy(*by, "_c").cogroup(own.groupBy(*by, "_c")).applyInArrow(count, out)
+
+
+def _pairs(weights: DataFrame, by: list[str], replicates: int, parts: int | None) -> DataFrame:
+    """(by, _part, p, q, w) of each range of _x: arrays over replicates of the sums of positive and negative weights, and of twice the pairs that are in order within the range, ties by half."""
+    n = parts or int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "_x"]
+    rows = weights.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = head = None  # the row before, and the first one of its group
+        p = q = w = np.zeros(replicates, np.int64)
+        tie = np.zeros((2, replicates), np.int64)  # of the last score so far, which may go on
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(head[c] for c in (*by, "_part")), *(pa.array([x]) for x in (p, q, w))], names=[*by, "_part", "p", "q", "w"])
+
+        def add(pos: np.ndarray, neg: np.ndarray) -> None:
+            nonlocal p, q, w
+            below = q + neg.cumsum(axis=0) - neg
+            p, q, w = p + pos.sum(axis=0), q + neg.sum(axis=0), w + (pos * (2 * below + neg)).sum(axis=0)
+
+        for batch in batches:
+            for t in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                m = t.num_rows
+                new = np.zeros(m, bool)
+                for c in reversed(keys):
+                    group = new.copy() if c == "_x" else None
+                    column = t[c] if before is None else pa.concat_arrays([before[c], t[c]])
+                    differs = np.diff(column.dictionary_encode().indices.to_numpy()) != 0
+                    new |= np.r_[True, differs] if before is None else differs
+                    if c == "_x":
+                        score, new = new, group
+                if before is None:
+                    new[0] = True
+                score |= new
+                x = np.stack([np.frombuffer(b, f"u{len(b) // replicates}").astype(np.int64) for b in t["_w"].to_pylist()])
+                pos = t["_pos"].to_numpy(zero_copy_only=False)[:, None]
+                heads = np.flatnonzero(score)
+                cuts = heads if score[0] else np.r_[0, heads]
+                sums = np.stack([np.add.reduceat(np.where(side, x, 0), cuts, axis=0) for side in (pos, ~pos)], axis=1)
+                if not score[0]:
+                    sums[0] += tie
+                else:
+                    add(tie[:1], tie[1:])
+                groups = np.flatnonzero(new[cuts])
+                for a, b in zip(np.r_[0, groups], np.r_[groups, len(cuts)]):
+                    if a < len(cuts) and new[cuts[a]] and b > a:
+                        if head is not None:
+                            yield told()
+                        head, p, q, w = t.slice(cuts[a], 1), *np.zeros((3, replicates), np.int64)
+                    done = sums[a : b if b < len(cuts) else b - 1]
+                    add(done[:, 0], done[:, 1])
+                tie, before = sums[-1], t.slice(m - 1, 1)
+        if head is not None:
+            add(tie[:1], tie[1:])
+            yield told()
+
+    out = T.StructType([*(weights.schema[c] for c in by), T.StructField("_part", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in "pqw")])
+    return rows.mapInArrow(fold, out)
+
+
+def auc_replicates(df: DataFrame, score: str, label: str, by: list[str], replicates: int = 500, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, parts: int | None = None) -> DataFrame:
+    """(by, rep, n_pos, n_neg, auc) of block-bootstrap replicates, exactly; groups are rows with all columns not null, of ``least`` rows at least.
+
+    A replicate is a weight a row. Weights are counted for stretches of rows from the ends of blocks, an array over replicates a row, and dealt out by ranges
+    of the score, where running sums give each replicate's pairs; so n x replicates numbers are bytes of arrays and never rows. A group may be longer than a task can hold.
+    """
+    x = F.col(score)
+    if df.schema[score].dataType in (T.DoubleType(), T.FloatType()):
+        x = F.when(x == 0, F.lit(0.0).cast(df.schema[score].dataType)).otherwise(x)  # -0.0 too
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in (*by, score, label)))
+    rows = ranks.numbered(df.where(known).select(*by, "ts", x.alias("_x"), (F.col(label) == 1).alias("_pos")), by, [F.col("ts")], parts)
+    rows = ranks.carried(rows, by, before={"_before": ("sum", F.lit(1))}, whole={"_n": ("sum", F.lit(1))}, own={"_first": ("min", F.col("_id"))}).where(F.col("_n") >= least)
+    rows = rows.withColumn("_i", F.coalesce("_before", F.lit(0)) + F.col("_id") - F.col("_first"))
+    ranges = _pairs(written(_weights(rows, by, replicates, length, circular, seed)), by, replicates, parts)
+    each = ranges.select(*by, "_part", F.posexplode(F.arrays_zip("p", "q", "w")).alias("rep", "z")).select(*by, "rep", "_part", "z.*")
+    below = F.coalesce(F.sum("q").over(W.partitionBy(*by, "rep").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = each.withColumn("w", F.col("w") + 2 * F.col("p") * below).groupBy(*by, "rep").agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w"))
+    return out.select(*by, "rep", "n_pos", "n_neg", ratio(F.col("w") / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
+
+
 def auc_bootstrap(df: DataFrame, score: str, label: str, by: list[str], replicates: int = 500, length: int = 21, circular: bool = True, seed: int = 7, least: int = 50, level: float = 0.95) -> DataFrame:
-    """(by, metric, value, low, high): percentile interval of the AUC, from ranks within each replicate; replicates of one class are left out."""
-    rows, drawn = _drawn(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), by, replicates, length, circular, seed, least)
-    reps = auc(drawn.join(rows, [*by, "_i"]), score, label, [*by, "rep"])
+    """(by, metric, value, low, high): percentile interval of the AUC, from ranks within each replicate, by ``auc_replicates``; replicates of one class are left out."""
+    reps = auc_replicates(df, score, label, by, replicates, length, circular, seed, least)
     tail = (1 - level) / 2
     ends = reps.groupBy(*by).agg(F.percentile("auc", F.lit(tail)).alias("low"), F.percentile("auc", F.lit(1 - tail)).alias("high"))
-    return auc(rows, score, label, by).select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")).join(ends, by, "left")
+    whole = ranks.auc(df, score, label, by).where(F.col("n_pos") + F.col("n_neg") >= least)
+    return whole.select(*by, F.lit("auc").alias("metric"), F.col("auc").alias("value")).join(ends, by, "left")
 
 
 def sharpe_difference(df: DataFrame, a: str, b: str, by: list[str], replicates: int = 200, length: int = 21, seed: int = 7) -> DataFrame:

@@ -79,10 +79,13 @@ def balanced_accuracy(spark, d):
 
 @query()
 def bootstrap_auc(spark, d):
-    """A bootstrap interval of the AUC of each language: labels have no time, ids stand for it."""
+    """Bootstrap intervals of each language: labels have no time, ids stand for it. Shares are of drawn rows where they are known."""
     df = scored(spark, d).withColumn("ts", F.col("doc_id"))
-    accuracy = F.avg((F.col("long") == F.col("quality")).cast("double"))
-    rest = I.block_bootstrap(df, {"accuracy": accuracy, "base_rate": F.avg("quality")}, ["lang"], 500)
+    shares = {"accuracy": F.col("long") == F.col("quality"), "base_rate": F.col("quality")}
+    for k, c in shares.items():
+        df = df.withColumns({f"{k}_sum": F.coalesce(c.cast("double"), F.lit(0.0)), f"{k}_of": c.isNotNull().cast("double")})
+    metrics = {k: F.try_divide(F.col(f"mean_{k}_sum"), F.col(f"mean_{k}_of")) for k in shares}
+    rest = I.moment_bootstrap(df, [f"{k}_{x}" for k in shares for x in ("sum", "of")], metrics, ["lang"], 500)
     return rounded(I.auc_bootstrap(df, "n_chars", "quality", ["lang"], 500).unionByName(rest))
 
 

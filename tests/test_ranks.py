@@ -88,3 +88,25 @@ def test_a_long_partition_of_a_family_takes_work_in_proportion_to_its_rows(spark
     last = rank[p <= alpha * rank / n].max()
     assert 0 < last < n and (got["reject"].to_numpy() == (rank <= last)).all()
     assert took < 60
+
+
+@pytest.mark.parametrize("parts, stretch, circular", [(1, 50_000, True), (7, 50, True), (7, 50, False)])
+def test_auc_by_weights_equals_drawn_rows(spark, parts, stretch, circular, monkeypatch):
+    """Few distinct scores, which go over batches and ranges, NaN and zeros of both signs, groups of several stretches, and too short ones."""
+    rng, reps = random.Random(2), 40
+    monkeypatch.setattr(I, "_CELLS", stretch * reps)
+    data = [(g, t, rng.choice([0.0, -0.0, float("nan"), None, round(rng.random(), 1)]), rng.choice([0, 1, 1, None])) for g, n in (("a", 1500), ("b", 130), (None, 90), ("short", 40)) for t in range(n)]
+    df = spark.createDataFrame(data, "g string, ts int, s double, y int")
+    got = {(r.g, r.rep): (r.n_pos, r.n_neg, r.auc) for r in I.auc_replicates(df, "s", "y", ["g"], reps, 21, circular, parts=parts).collect()}
+    rows, drawn = I._drawn(df.where("s is not null and y is not null and g is not null"), ["g"], reps, 21, circular, 7, 50)
+    want = {(r.g, r.rep): (r.n_pos, r.n_neg, r.auc) for r in I.auc(drawn.join(rows, ["g", "_i"]), "s", "y", ["g", "rep"]).collect()}
+    assert got == want and {g for g, _ in got} == {"a", "b"}
+
+
+def test_draws_of_one_large_group_come_from_many_rows(spark):
+    """Before, one task drew all of them, from one row, and held them in its memory."""
+    sizes = spark.createDataFrame([("big", 200_000)], "g string, _n long")
+    starts = I._starts(sizes, 8, 21, True, 7)
+    assert starts.count() == starts.select("rep", "b").distinct().count() == 8 * 9524
+    shares = [r["count"] for r in starts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 1 and max(shares) < 0.6 * 8 * 9524

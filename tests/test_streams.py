@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from driftwell.streaming import run, signals
 from pyspark.sql import functions as F
@@ -88,3 +90,54 @@ def test_a_stream_goes_on_from_a_table(spark, tmp_path):
     assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) == 19
     for g, w in zip(got, want):
         assert g[2:] == pytest.approx(w[2:]) or g[2:] == w[2:]
+
+
+ODD = [0.0, 5.0, -1.0, 5.0, float("nan"), 7.0, 0.0, 0.0, 2.0, 2.0, float("inf"), 3.0, 3.5, 1e-300, 4.0, *(float(10 + 7 * k % 31) for k in range(300))]
+
+
+@pytest.mark.parametrize("name, values", [("volatility", ODD), ("volatility", ODD[1:]), ("volatility", ODD[15:])])
+def test_many_values_at_once_equal_steps(name, values):
+    step, start, _ = STEPS[name]
+    with np.errstate(all="ignore"):
+        for cuts in ([len(values)], [1, 2, 3, 9, len(values)], list(range(1, len(values) + 1))):
+            one = many = start
+            for a, b in zip([0, *cuts], cuts):
+                many, columns = step.many(many, np.array(values[a:b]))
+                for k, v in enumerate(values[a:b]):
+                    one, told = step(one, v)
+                    assert np.array_equal([np.nan if t is None else t for t in told], [c[k] for c in columns], equal_nan=True), (a, k)
+            assert np.array_equal(one, many, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["volatility"])
+def test_a_long_series_in_one_batch(spark, tmp_path, name):
+    """More rows than are sorted at once, out of order and with ties."""
+    step, start, columns = STEPS[name]
+    n = 400_000
+    at = F.pmod(F.xxhash64("id"), F.lit(n // 2))
+    made = spark.range(n).select(F.lit("a").alias("series"), at.alias("minute"), (20 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60))).cast("double").alias("value"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = made.toPandas().sort_values(["minute", "value"])
+    rows = rows[rows.minute <= rows.minute.max() - 120]
+    memory, want = start, []
+    for x in rows.value.tolist():
+        memory, told = step(memory, x)
+        want.append(told)
+    source = spark.readStream.schema("series string, minute long, value double").parquet(f"{tmp_path}/rows")
+    stream = source.withColumn("ts", F.timestamp_seconds(F.lit(int(T0.timestamp())) + F.col("minute") * 60))
+    out = run.available(signals.recursion(stream, "series", "value", step, start, columns))
+    got = out.withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").toPandas()
+    assert (((got.ts - T0.replace(tzinfo=None)).dt.total_seconds() // 60).to_numpy() == rows.minute.to_numpy()).all()
+    assert np.array_equal(got[[c.split()[0] for c in columns.split(", ")]].to_numpy(float), np.array(want, float), equal_nan=True)
+
+
+def test_rows_come_to_a_series_in_chunks():
+    """Before, each row went through the runner, the state and the step alone."""
+    rng = random.Random(8)
+    data = sorted(((rng.choice("abc"), rng.randrange(4000), float(rng.randrange(9))) for _ in range(10_000)), key=lambda r: rng.random())
+    data += [("once", 7, 1.0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*data)], names=["series_id", "us", "x"])
+    (chunks,) = signals._chunks(iter([batch]))
+    back = [(s, *r) for s, us, x in zip(*(c.to_pylist() for c in chunks.columns)) for r in zip(np.frombuffer(us, np.int64).tolist(), np.frombuffer(x).tolist())]
+    assert sorted(back) == sorted(data) and chunks.num_rows <= len(data) / signals._CHUNK + 4
+    assert sum(c.num_rows for c in signals._chunks(iter([batch.slice(0, 0)]))) == 0

@@ -224,4 +224,20 @@ def jump_step(centroids: list[float], penalty: float):
         value = value - value.min()
         return value.tolist(), (int(np.argmin(value)),)
 
+    def many(memory: list[float], x: np.ndarray) -> tuple[list[float], list]:
+        costs, value, labels = 0.5 * (x[:, None] - c) ** 2, memory, []
+        if not (np.isfinite(costs).all() and np.isfinite(memory).all()):
+            for v in x.tolist():
+                value, told = step(value, v)
+                labels += told
+            return value, [labels]
+        for cost in costs.tolist():
+            most = min(value) + penalty
+            value = [(v if v < most else most) + e for v, e in zip(value, cost)]
+            least = min(value)
+            value = [v - least for v in value]
+            labels.append(value.index(0.0))
+        return value, [labels]
+
+    step.many = many
     return step, [0.0] * len(c)

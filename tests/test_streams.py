@@ -95,7 +95,7 @@ def test_a_stream_goes_on_from_a_table(spark, tmp_path):
 ODD = [0.0, 5.0, -1.0, 5.0, float("nan"), 7.0, 0.0, 0.0, 2.0, 2.0, float("inf"), 3.0, 3.5, 1e-300, 4.0, *(float(10 + 7 * k % 31) for k in range(300))]
 
 
-@pytest.mark.parametrize("name, values", [("volatility", ODD), ("volatility", ODD[1:]), ("volatility", ODD[15:])])
+@pytest.mark.parametrize("name, values", [("volatility", ODD), ("volatility", ODD[1:]), ("volatility", ODD[15:]), ("jump", ODD), ("jump", ODD[15:])])
 def test_many_values_at_once_equal_steps(name, values):
     step, start, _ = STEPS[name]
     with np.errstate(all="ignore"):
@@ -109,7 +109,7 @@ def test_many_values_at_once_equal_steps(name, values):
             assert np.array_equal(one, many, equal_nan=True)
 
 
-@pytest.mark.parametrize("name", ["volatility"])
+@pytest.mark.parametrize("name", ["volatility", "jump"])
 def test_a_long_series_in_one_batch(spark, tmp_path, name):
     """More rows than are sorted at once, out of order and with ties."""
     step, start, columns = STEPS[name]
